@@ -15,7 +15,7 @@ from tidewell.llm.sparktools import arrow_batches, cut
 #: The symbols, words in a repeated window, the limits of the base rules.
 SYMBOLS, REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
 #: Metrics: (name, which sides are judged, slack added to the fence on each side).
-METRICS = (("symbol_share", "high", 0.03), ("punct_share", "high", 0.06), ("upper_share", "high", 0.15), ("dup_share", "high", 0.2), ("repeat_share", "high", 0.1), ("word_len", "both", 1.5))
+METRICS = (("symbol_share", "high", 0.03), ("punct_share", "high", 0.06), ("upper_share", "high", 0.15), ("dup_share", "high", 0.4), ("repeat_share", "high", 0.3), ("word_len", "both", 1.5))
 #: Width of a fence in interquartile ranges; rows that a group needs for fences of its own; relative error of a sketch.
 FENCE, LEAST_ROWS, ERROR = 6.0, 100, 0.01
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_punct long, n_upper long"
