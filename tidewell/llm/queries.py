@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import language, mixing, quality, repeats, rules, simhash, sketches, urls
+from tidewell.llm import language, mixing, mixlm, quality, repeats, rules, simhash, sketches, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +43,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_lm": op5_lm,
     "op6_mix": op6_mix,
     "op7_simhash": op7_simhash,
     "op9_rules": op9_rules,
