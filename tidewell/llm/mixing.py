@@ -120,3 +120,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     picked = rows.join(last.select("key", F.col("part").alias("up")), "key", "left")
     copies = F.col("base") + F.coalesce(F.col("up"), F.lit(0.0)).cast("long")
     return picked.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it. doc_ids must be distinct and not null."""
+    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("own_id"), F.col("copies").cast("int").alias("times"))
+    out = docs.join(copies, docs["doc_id"] == F.col("own_id"))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.expr("array_repeat(0, times)")).alias("copy_")).drop("copy_")

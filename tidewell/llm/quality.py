@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.llm.bytestext import Texts, firsts, mix, passes, substring_hash
 from tidewell.llm.neural import Adam, temperature
-from tidewell.llm.sparktools import arrow_batches, cut
+from tidewell.llm.sparktools import arrow_batches
 
 #: Buckets that words are hashed to, dimensions, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
@@ -92,32 +93,22 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return np.where(count > 0, vectors - mean, 0).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, pool): mean and standard deviation of each whole text's word vectors, and the log of its number of words."""
-    arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * DIMS numbers, whatever the corpus
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for texts in passes(b.column(1)):
-                w, n = word_buckets(texts)
-                out = np.zeros((len(texts), 2 * DIMS + 1), np.float32)
-                some = np.flatnonzero(n)
-                begin = firsts(n)
-                for part in np.array_split(some, max(1, len(w) // 50_000)):
-                    if not len(part):
-                        continue
-                    lo = begin[part[0]]
-                    v = shared.value[w[lo : lo + n[part].sum()]]
-                    at, count = firsts(n[part]), n[part][:, None]
-                    mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / count
-                    out[part, :DIMS] = mean
-                    out[part, DIMS:-1] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / count - mean**2, 0))
-                out[:, -1] = np.log1p(n)
-                flat = pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(texts.rows.start, len(texts)), flat], ["doc_id", "pool"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pool array<float>")
+def pool(texts: Texts, vectors: np.ndarray) -> np.ndarray:
+    """Mean and standard deviation of each whole text's word vectors, and the log of its number of words."""
+    w, n = word_buckets(texts)
+    out = np.zeros((len(texts), 2 * DIMS + 1))
+    some, begin = np.flatnonzero(n), firsts(n)
+    for part in np.array_split(some, max(1, len(w) // 50_000)):
+        if not len(part):
+            continue
+        lo = begin[part[0]]
+        v = vectors[w[lo : lo + n[part].sum()]]
+        at, count = firsts(n[part]), n[part][:, None]
+        mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / count
+        out[part, :DIMS] = mean
+        out[part, DIMS:-1] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / count - mean**2, 0))
+    out[:, -1] = np.log1p(n)
+    return out
 
 
 @dataclass
@@ -175,28 +166,67 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE, cut_at: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted): a quality score for each row of docs from its text alone.
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    """Word vectors from all texts, and the network from at most ``sample`` labelled rows that are not held out.
 
-    Word vectors come from all texts; the network from at most ``sample`` labelled rows that are not held out, the ones with
-    the smallest hashes of doc_id. Labels that are null, or that differ for a doc_id, are not learned. Null and empty texts
-    have zero pools and are scored like any other; rows with a null doc_id are scored too; repeated rows score alike; an
-    empty table gives an empty result, and without labels of both classes all scores are the smoothed share of 1.
+    The rows are those with the smallest hashes of doc_id. Labels that are null, or that differ for a doc_id, are
+    not learned; of texts that repeat a doc_id the smallest is.
     """
     spark = docs.sparkSession
-    pools = cut(pooled(docs, word_vectors(context_sums(docs))))
+    vectors = word_vectors(context_sums(docs))
+    shared = spark.sparkContext.broadcast(vectors)  # BUCKETS * DIMS numbers, whatever the corpus
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
-    picked = pools.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = picked.select("doc_id", "quality", "pool").collect()  # the bounded sample
-    rows.sort(key=lambda r: r[0])
-    x = np.array([r[2] for r in rows], float).reshape(len(rows), 2 * DIMS + 1)
-    net = fit(x, np.array([r[1] for r in rows], int))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = known.join(rows.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(x))], ["doc_id", "score"])
+            for texts in passes(b.column(2)):
+                x = pool(texts, shared.value)
+                flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(texts.rows.start, len(texts)) for k in (0, 1)), flat], ["doc_id", "quality", "pool"])
+
+    chosen = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    got = chosen.mapInArrow(run, "doc_id long, quality int, pool array<double>").collect()  # the bounded sample
+    one = {r[0]: r for r in sorted(got, key=lambda r: (r[0], list(r[2])), reverse=True)}
+    got = [one[i] for i in sorted(one)]
+    return vectors, fit(np.array([r[2] for r in got], float).reshape(len(got), 2 * DIMS + 1), np.array([r[1] for r in got], int))
+
+
+def scored(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score") -> DataFrame:
+    """docs with one more column: the quality score of each row's whole text. One pass, no shuffle."""
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
-    out = pools.mapInArrow(run, "doc_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [pool(texts, shared.value[0]) for texts in passes(b.column(at))]
+            score = shared.value[1].score(np.concatenate(x)) if x else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE, cut_at: float = CUT) -> DataFrame:
+    """(doc_id, held_out, score, predicted): a quality score for each row of docs from its text alone.
+
+    Null and empty texts have zero pools and are scored like any other; rows with a null doc_id are scored too;
+    repeated rows score alike; extra columns are ignored; an empty table gives an empty result, and without
+    labels of both classes all scores are the smoothed share of label 1.
+    """
+    vectors, net = learn(docs, labels, folds, fold, sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = scored(rows, vectors, net)
     return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= cut_at).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = CUT, **how) -> DataFrame:
+    """The rows of docs, all columns, that the classifier doesn't reject (score >= cut_at)."""
+    vectors, net = learn(docs, labels, **how)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, vectors, net, name).where(F.col(name) >= cut_at).drop(name)

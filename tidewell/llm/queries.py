@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import language, mixing, mixlm, quality, repeats, rules, simhash, sketches, urls
+from tidewell.llm import language, mixing, mixlm, pieces, quality, repeats, rules, simhash, sketches, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +57,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf_dir, "documents"))
+    scores = F.transform("nbest", lambda x: x["score"])
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.lpad(F.lower(F.hex(F.xxhash64("ids"))), 16, "0").alias("ids_digest"), "score", scores.alias("nbest_scores"), "round_trip")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ", ").alias("reasons"))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm": op5_lm,
     "op6_mix": op6_mix,
     "op7_simhash": op7_simhash,
+    "op8_pieces": op8_pieces,
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
 }

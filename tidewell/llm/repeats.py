@@ -242,3 +242,17 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, wh
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(out["spans"], span), pa.array(out["kept"], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return rows.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
+    """docs, all columns, with each text cut down to what does not start earlier as well; n_chars follows the text.
+
+    Rows as in remove_repeats: one for each doc_id, so of rows that repeat a doc_id one stays.
+    """
+    cut_texts = remove_repeats(docs, min_len, gram, whole_characters=True).select(F.col("doc_id").alias("own_id"), F.decode("kept", "UTF-8").alias("own_text"))
+    rest = docs.where("doc_id is not null")
+    if rest.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rest = rest.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct(F.coalesce("text", F.lit("")), F.xxhash64("*"))).alias("row")).select("row.*")
+    out = rest.drop("text").join(cut_texts, F.col("doc_id") == F.col("own_id"))
+    new = {"text": F.col("own_text"), "n_chars": F.length("own_text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -179,3 +179,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     found = connected_components(links(distinct, radius))
     named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first_of_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """docs, all columns, with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows without a doc_id go; of rows that repeat a doc_id, the one with the smallest text stays (null first).
+    """
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        least = docs.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", F.xxhash64("*"))).alias("row"))
+        docs = least.select("row.*")
+    kept = near_duplicates(docs, words, radius, seed).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
