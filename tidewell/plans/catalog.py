@@ -491,3 +491,116 @@ def likelihood_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream(spark, sf_dir).withColumn("n", F.col("event_id") % 9 + 1).withColumn("a", F.when(F.expr("event_id % 2 = 0"), F.col("value")).otherwise(0.0)).withColumn("b", F.when(F.expr("event_id % 2 = 1"), F.col("value")).otherwise(0.0))
     out = rows.groupBy("user_id").agg(F.count("*").alias("n"), scorecard.bits_saved("a", "b"), *scorecard.likelihood_summary("value", "n"))
     return out.select("user_id", "n", F.round("bits_saved", 6).alias("bits_saved"), F.round("macro_nll", 9).alias("macro_nll"), F.round("micro_nll", 9).alias("micro_nll"))
+
+
+@query("""
+SELECT c_mktsegment, count(*) AS n, round(sum(f), 2) AS urgent, round(sum(h), 2) AS high, round(sum(l), 2) AS low,
+  round(sum(coalesce(f, 0) - coalesce(l, 0)), 2) AS difference
+FROM (SELECT o_custkey, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS f, sum(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END) AS h,
+  sum(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS l FROM orders GROUP BY o_custkey) o JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment
+""")
+def arms_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arms (order priorities) of each customer in one row, by a pivot, and what they come to by segment."""
+    arms = ["1-URGENT", "2-HIGH", "5-LOW"]
+    wide = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderpriority", arms).agg(F.sum("o_totalprice"))
+    rows = wide.join(table(spark, sf_dir, "customer"), wide["o_custkey"] == F.col("c_custkey"))
+    total = lambda c: F.round(F.sum(F.col(f"`{c}`")), 2)
+    difference = F.coalesce(F.col("`1-URGENT`"), F.lit(0)) - F.coalesce(F.col("`5-LOW`"), F.lit(0))
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), total("1-URGENT").alias("urgent"), total("2-HIGH").alias("high"), total("5-LOW").alias("low"), F.round(F.sum(difference), 2).alias("difference"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(CAST(1.0 / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS FLOAT) AS DOUBLE) AS weight,
+  CAST(sum(l_quantity) OVER w AS BIGINT) AS span_end, CAST(sum(l_quantity) OVER w - l_quantity AS BIGINT) AS span_start
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)
+""")
+def batch_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as examples of a batch: weights that make all tokens of the batch count alike, and where each one's tokens lie."""
+    rows = sequence.token_spans(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], "l_quantity")
+    total = F.sum("l_quantity").over(W.partitionBy("l_orderkey"))
+    return rows.select("l_orderkey", "l_linenumber", (1 / total).cast("float").cast("double").alias("weight"), F.col("span_end").cast("long").alias("span_end"), F.col("span_start").cast("long").alias("span_start"))
+
+
+@query(f"""
+SELECT user_id, arg_min(event_id, row(value, event_id)) AS least_id, arg_max(event_id, row(value, -event_id)) AS most_id,
+  array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, count(DISTINCT props) AS n_payloads FROM {STREAM} GROUP BY user_id
+""")
+def extremes_and_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and most with tie-breaks, and a set union, for each user."""
+    return stream(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("least_id"), F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("most_id"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.countDistinct("props").alias("n_payloads"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1
+""")
+def first_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each part: a journal's recovery by earliest row."""
+    return sequence.first_by(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""
+SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+""")
+def claimed_but_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations on keys: customers with finished orders and none in progress."""
+    orders = table(spark, sf_dir, "orders")
+    keys = lambda s: orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("c_custkey"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return customers.join(keys("F"), "c_custkey", "left_semi").join(keys("P"), "c_custkey", "left_anti")
+
+
+@query(f"""
+SELECT w.user_id, w.event_id, count(r.event_id) AS n_seen, max(r.t) AS last_seen FROM {STREAM} w
+LEFT JOIN {STREAM} r ON r.user_id = w.user_id AND NOT r.is_write AND r.t < w.t AND r.t >= w.t - {12 * HOUR} WHERE w.is_write GROUP BY w.user_id, w.event_id
+""")
+def reads_before_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read in the twelve hours before each write, as a range frame."""
+    w = W.partitionBy("user_id").orderBy("t").rangeBetween(-12 * HOUR, -1)
+    rows = stream(spark, sf_dir).withColumn("n_seen", F.count(F.when(~F.col("is_write"), 1)).over(w)).withColumn("last_seen", F.max(F.when(~F.col("is_write"), F.col("t"))).over(w))
+    return rows.where("is_write").select("user_id", "event_id", "n_seen", "last_seen")
+
+
+@query("""
+SELECT doc_id, utf16_len, length(stripped) AS n_stripped, n_the, once FROM (SELECT doc_id,
+  CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS utf16_len, regexp_replace(text, '[\\s]+', '', 'g') AS stripped,
+  CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n_the, instr(text, 'license') > 0 AND instr(substr(text, instr(text, 'license') + 1), 'license') = 0 AS once FROM documents)
+""")
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 length, length without white space, occurrences and single occurrence."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.utf16_length(t).alias("utf16_len"), F.length(text.without_spaces(t)).alias("n_stripped"), text.occurrences(F.lit("the"), t).alias("n_the"), text.occurs_once(F.lit("license"), t).alias("once"))
+
+
+@query("""
+SELECT block_no, arm, count(*) AS n, min(example) AS first_example FROM (SELECT (turn // 2) AS block_no, conv_id AS example FROM conversations WHERE role = 'user') e
+CROSS JOIN (VALUES ('frozen'), ('frontier'), ('own')) a(arm) WHERE block_no > 0 GROUP BY block_no, arm
+""")
+def expected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score keys that a prequential run must bring: each block but the first, each arm, each example."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.floor(F.col("turn") / 2).alias("block_no"), F.col("conv_id").alias("example"))
+    arms = F.explode(F.array(*map(F.lit, ("frozen", "frontier", "own"))))
+    return rows.where("block_no > 0").withColumn("arm", arms).groupBy("block_no", "arm").agg(F.count("*").alias("n"), F.min("example").alias("first_example"))
+
+
+@query()
+def prequential_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prequential run over user turns with the mock model: every block scored before it is learned from."""
+    from tidewell.plans import prequential
+
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("example_id"), F.floor(F.col("turn") / 2).alias("block"), F.col("text").alias("target"))
+    scores, _ = prequential.run(rows, ["frozen", "own"], prequential.MockBackend(), "own")
+    return scorecard.row_scores(scores).groupBy("block", "arm").agg(*scorecard.scorecard(), *scorecard.likelihood_summary("nll", "tokens"))
+
+
+@query()
+def episode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as field states: user turns write, others read; writes that go on with each other are one episode."""
+    from tidewell.operators import episodes
+
+    t = (F.col("turn") * 1_000_000).cast("long")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.when(F.col("role") == "user", "write").otherwise("read").alias("kind"), F.col("turn").alias("sequence"), F.lit(1).alias("pid"), F.lit("w").alias("window_title"), F.lit(1).alias("element"),
+        F.lit("").alias("before_value"), F.col("text").alias("after_value"), t.alias("began_at"), (t + 500_000).alias("available_at"), F.lit("write_delay_elapsed").alias("boundary_reason"), F.lit(None).cast("long").alias("submitted_at"),
+    )
+    members = episodes.fold(rows)
+    return episodes.closed(rows, members).select("session_id", "episode", "n_members", "closure", "reason", "has_loss", F.length("target").alias("n_chars"))
