@@ -17,6 +17,8 @@ from tidewell.llm.sparktools import arrow_batches
 
 #: Buckets that words are hashed to, dimensions, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
+#: Numbers in a document's pool: mean and deviation by dimension, two on neighbouring words, and the length.
+POOL = 2 * DIMS + 3
 #: Labelled rows that the network is fitted on at most (those with the smallest hashes of doc_id), and its shape.
 SAMPLE, HIDDEN, EPOCHS, RATE = 20_000, 32, 60, 3e-3
 #: A document is predicted good from this score on.
@@ -94,9 +96,10 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pool(texts: Texts, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of each whole text's word vectors, and the log of its number of words."""
+    """Mean and standard deviation of each whole text's word vectors, the mean squared distance of neighbouring words'
+    vectors, the share of words equal to the one before, and the log of the number of words."""
     w, n = word_buckets(texts)
-    out = np.zeros((len(texts), 2 * DIMS + 1))
+    out = np.zeros((len(texts), POOL))
     some, begin = np.flatnonzero(n), firsts(n)
     for part in np.array_split(some, max(1, len(w) // 50_000)):
         if not len(part):
@@ -106,7 +109,14 @@ def pool(texts: Texts, vectors: np.ndarray) -> np.ndarray:
         at, count = firsts(n[part]), n[part][:, None]
         mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / count
         out[part, :DIMS] = mean
-        out[part, DIMS:-1] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / count - mean**2, 0))
+        out[part, DIMS : 2 * DIMS] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / count - mean**2, 0))
+        step = np.zeros((len(v), 2))
+        difference = v[1:] - v[:-1]
+        step[1:, 0] = np.einsum("ij,ij->i", difference, difference)
+        own = w[lo : lo + len(v)]
+        step[1:, 1] = own[1:] == own[:-1]
+        step[at] = 0  # a text's first word has none before it
+        out[part, 2 * DIMS : 2 * DIMS + 2] = np.add.reduceat(step, at, axis=0) / count
     out[:, -1] = np.log1p(n)
     return out
 
@@ -191,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     got = chosen.mapInArrow(run, "doc_id long, quality int, pool array<double>").collect()  # the bounded sample
     one = {r[0]: r for r in sorted(got, key=lambda r: (r[0], list(r[2])), reverse=True)}
     got = [one[i] for i in sorted(one)]
-    return vectors, fit(np.array([r[2] for r in got], float).reshape(len(got), 2 * DIMS + 1), np.array([r[1] for r in got], int))
+    return vectors, fit(np.array([r[2] for r in got], float).reshape(len(got), POOL), np.array([r[1] for r in got], int))
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "score") -> DataFrame:

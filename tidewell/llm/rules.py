@@ -15,10 +15,10 @@ from tidewell.llm.sparktools import arrow_batches, cut
 #: The symbols, words in a repeated window, the limits of the base rules.
 SYMBOLS, REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
 #: Metrics: (name, which sides are judged, slack added to the fence on each side).
-METRICS = (("symbol_share", "high", 0.03), ("punct_share", "high", 0.06), ("upper_share", "high", 0.15), ("dup_share", "high", 0.4), ("repeat_share", "high", 0.3), ("word_len", "both", 1.5))
+METRICS = (("symbol_share", "high", 0.03), ("punct_share", "high", 0.06), ("upper_share", "high", 0.15), ("dup_share", "high", 0.4), ("repeat_share", "high", 0.3), ("echo_share", "high", 0.15), ("word_len", "both", 1.5))
 #: Width of a fence in interquartile ranges; rows that a group needs for fences of its own; relative error of a sketch.
 FENCE, LEAST_ROWS, ERROR = 6.0, 100, 0.01
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_punct long, n_upper long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_punct long, n_upper long, n_echo long"
 
 
 def _seen_before(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,8 @@ def text_counts(texts: Texts) -> list[np.ndarray]:
     np.add.at(edge, at[twice], 1)
     np.add.at(edge, at[twice] + REPEAT_WORDS, -1)
     repeated = np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=len(texts))
-    return [n_words.astype(np.int64), word_chars, symbols, dup_lines, repeated, n_lines, punct, upper]
+    echo = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))  # words equal to the one before
+    return [n_words.astype(np.int64), word_chars, symbols, dup_lines, repeated, n_lines, punct, upper, echo]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float],
 def shares(counts: DataFrame) -> DataFrame:
     """Adds the metrics; a text without words has 0 in all."""
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counts.withColumns({"symbol_share": part("n_symbols", "word_chars"), "punct_share": part("n_punct", "word_chars"), "upper_share": part("n_upper", "word_chars"), "dup_share": part("n_dup_lines", "n_lines"), "repeat_share": part("n_repeat_words", "n_words"), "word_len": part("word_chars", "n_words")})
+    return counts.withColumns({"symbol_share": part("n_symbols", "word_chars"), "punct_share": part("n_punct", "word_chars"), "upper_share": part("n_upper", "word_chars"), "dup_share": part("n_dup_lines", "n_lines"), "repeat_share": part("n_repeat_words", "n_words"), "echo_share": part("n_echo", "n_words"), "word_len": part("word_chars", "n_words")})
 
 
 def fences(rows: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
