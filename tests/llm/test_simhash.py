@@ -70,3 +70,47 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_wide_links_against_brute_force(spark):
+    r = random.Random(4)
+    mask = (1 << 256) - 1
+    centers = [r.getrandbits(256) for _ in range(5)]
+    prints = {}
+    for i in range(200):
+        x = r.choice(centers)
+        for _ in range(r.randint(0, 45)):
+            x ^= 1 << r.randrange(256)
+        prints[i] = x
+    lanes = {i: [x >> (64 * k) & (2**64 - 1) for k in range(4)] for i, x in prints.items()}
+    data = [(i, *[int(np.uint64(v).astype(np.int64)) for v in x]) for i, x in lanes.items()]
+    df = spark.createDataFrame(data, "node long, fp long, fp1 long, fp2 long, fp3 long")
+    band = lambda x, k: ((x >> 8 * k) | (x << (256 - 8 * k)) & mask) & 0xFFFF
+    parent = {i: i for i in prints}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 44 and any(band(prints[a], k) == band(prints[b], k) for k in range(32)):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    for tile in (8, 1024):
+        found = {x["node"]: x["component"] for x in connected_components(simhash.links(df, 44, 4, simhash.sliding_bands(4), tile)).collect()}
+        assert {i: found.get(i, i) for i in prints} == {i: find(i) for i in prints}
+
+
+def test_similar_documents_are_found_and_others_left_alone(spark):
+    r = random.Random(8)
+    texts = [[f"w{r.randrange(4000)}" for _ in range(300)] for _ in range(40)]
+    data = [(i, " ".join(t), *[None] * 8) for i, t in enumerate(texts)]
+    for i in range(10):  # one word in a hundred changed: similarity about 0.9
+        t = list(texts[i])
+        for k in (50, 150, 250):
+            t[k] = "changed"
+        data.append((100 + i, " ".join(t), *[None] * 8))
+    kept = {x["doc_id"] for x in simhash.keep_first_of_near_duplicates(frame(spark, data)).collect()}
+    assert kept == set(range(40))
