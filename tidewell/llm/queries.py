@@ -69,7 +69,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "llr")
+    return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("llr", 6).alias("llr"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,6 +85,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
 }
 
-#: None of these can be said in SQL: pivotal rounding and the connected components are iterative, and the
-#: hashes and models are not in the SQL engine. tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    """op10 in SQL: rules, then the smoothed character models of both classes, order by order."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+    steps = ["p0 AS (SELECT g, CAST(1 / 256 AS DOUBLE) AS py, CAST(1 / 256 AS DOUBLE) AS pn FROM counts)"]
+    for k in range(urls.ORDER + 1):
+        steps.append(f"t{k} AS (SELECT right(g, {k + 1}) AS s, sum(yes) AS yes, sum(nay) AS nay FROM counts GROUP BY ALL)")
+        steps.append(f"c{k} AS (SELECT left(s, {k}) AS c, sum(yes) AS cy, sum(nay) AS cn, count(*) FILTER (yes > 0) AS ty, count(*) FILTER (nay > 0) AS tn FROM t{k} GROUP BY ALL)")
+        part = lambda p, n, c, t: f"CASE WHEN {c} + {t} > 0 THEN ({n} + {t} * {p}) / ({c} + {t}) ELSE {p} END"
+        steps.append(f"p{k + 1} AS (SELECT g, {part('py', 'yes', 'cy', 'ty')} AS py, {part('pn', 'nay', 'cn', 'tn')} AS pn FROM p{k} JOIN t{k} ON s = right(g, {k + 1}) JOIN c{k} ON c = left(right(g, {k + 1}), {k}))")
+    pad = "repeat(chr(2), {n}) || body || chr(3)".format(n=urls.ORDER)
+    return f"""
+WITH rules(verdict, h, p) AS (VALUES {rules}),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+x AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+d AS (SELECT page_id, host, path, host || path AS body, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS by_rule
+  FROM x LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+bodies AS (SELECT body, count(*) FILTER (by_rule = 'allow') AS yes, count(*) FILTER (by_rule = 'block') AS nay FROM d GROUP BY ALL),
+cells AS (SELECT body, yes, nay, unnest(list_transform(range(1, length(body) + 2), lambda i: substr({pad}, i, {urls.ORDER + 1}))) AS g FROM bodies),
+counts AS (SELECT g, sum(yes) AS yes, sum(nay) AS nay FROM cells GROUP BY ALL),
+{", ".join(steps)},
+l AS (SELECT body, yes, nay, CAST(sum(CAST(ln(py) - ln(pn) AS DECIMAL(30, 12))) AS DOUBLE) / count(*) AS llr FROM cells JOIN p{urls.ORDER + 1} USING (g) GROUP BY ALL),
+m AS (SELECT (sum(llr * yes) / sum(yes) + sum(llr * nay) / sum(nay)) / 2 AS middle FROM l)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN llr >= middle THEN 'allow' ELSE 'block' END) AS verdict, round(llr, 6) AS llr FROM d JOIN l USING (body), m
+"""
+
+
+#: The others can't be said in SQL: rounding and components are iterative, and the hashes, models and lattices are not in
+#: the SQL engine. tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op10_urls": _url_sql()}
