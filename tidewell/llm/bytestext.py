@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes at a time; a longer text makes a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.bytestext import passes
 from tidewell.llm.neural import Adam, temperature
 from tidewell.llm.quality import held_out
-from tidewell.llm.sparktools import arrow_batches
+from tidewell.llm.sparktools import arrow_batches, released
 
 #: Bytes in a window, of a byte's vector, in each width of filters, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 6, (2, 3, 4), 12
@@ -131,6 +131,7 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
     known = rows.where("lang is not null and doc_id is not null").where(letter & ~held_out(F.col("doc_id"), folds, fold))
     chosen = known.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
 
+    @released
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for win, text, room, at in windows(b.column(2)):
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
         y = np.searchsorted(classes, [r[1] for r in got])
         net = fit(data, y, np.array([r[0] % 7 == 3 for r in got]), classes)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for win, text, room, at in windows(b.column(1)):

@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import Texts, _letters, firsts, passes, powers, substring_hash
-from tidewell.llm.sparktools import arrow_batches
+from tidewell.llm.sparktools import arrow_batches, released
 
 #: The space mark of piece files, and the byte that stands for it here (no UTF-8 text has it).
 MARK, SPACE = "▁", 0xFF
 #: What a character outside the vocabulary costs beyond the dearest piece.
 UNKNOWN = 10.0
 #: Cells of a lattice that one numpy step holds.
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: Bytes of text that a pass takes, and rows of an Arrow batch: the more, the oftener a part is met again.
-PASS, ROWS = 1 << 22, 2000
+PASS, ROWS = 1 << 21, 1000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -224,7 +224,7 @@ class Encoder:
         self.model, self.n, self.known = model, n, {}
 
     def _search(self, part: bytes) -> list[tuple[float, list[int]]]:
-        if len(self.known) > 50_000:
+        if len(self.known) > 20_000:
             self.known.clear()  # a cache only: parts are searched again
         if part not in self.known:
             self.known[part] = n_best(self.model, part, self.n)
@@ -325,6 +325,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3) -> DataFrame:
     arrow_batches(spark, ROWS)
     shared = spark.sparkContext.broadcast(load(path))  # the vocabulary, whatever the corpus
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value, n)
         for b in batches:
@@ -349,6 +350,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     arrow_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.llm.bytestext import Texts, firsts, mix, passes, substring_hash
 from tidewell.llm.neural import Adam, temperature
-from tidewell.llm.sparktools import arrow_batches
+from tidewell.llm.sparktools import arrow_batches, released
 
 #: Buckets that words are hashed to, dimensions, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
@@ -60,6 +60,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     arrow_batches(docs.sparkSession)
     names = [f"c{k}" for k in range(DIMS + 1)]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, sign = index_entries()
         total = np.zeros(BUCKETS * DIMS)
@@ -190,6 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = known.join(rows.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for texts in passes(b.column(2)):
@@ -211,6 +213,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, name: str = "scor
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [pool(texts, shared.value[0]) for texts in passes(b.column(at))]

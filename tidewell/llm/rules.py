@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import Texts, firsts, group_sums, mix, passes, substring_hash
-from tidewell.llm.sparktools import arrow_batches, cut
+from tidewell.llm.sparktools import arrow_batches, cut, released
 
 #: The symbols, words in a repeated window, the limits of the base rules.
 SYMBOLS, REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -79,6 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
     arrow_batches(docs.sparkSession)
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for texts in passes(b.column(3)):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import firsts, mix, passes
-from tidewell.llm.sparktools import arrow_batches, connected_components, cut, partitions
+from tidewell.llm.sparktools import arrow_batches, connected_components, cut, partitions, released
 
 #: Fingerprints in one tile, and in one step of a tile's comparison.
 TILE, STEP = 1024, 256
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, lanes: int = 1
     """
     arrow_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = _fingerprints(b.column(1), words, seed, lanes).view(np.int64)
@@ -165,6 +166,7 @@ def links(prints: DataFrame, radius: int = 4, lanes: int = 1, keys: list[Column]
     lo, hi = F.greatest(F.lit(0), F.col("r") - 1) * F.col("salts"), (F.least(F.lit(last), F.col("r") + 1) + 1) * F.col("salts") - 1
     big = big.withColumn("o", F.explode(F.sequence(lo, hi))).select("band", "key", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2).alias("side"), "node", *cols)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.sources.shared import cut, written
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "written"]
+__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "release", "released", "written"]
 
 #: Rows in one Arrow batch handed to Python; texts are long, so batches are kept short.
 ARROW_ROWS = 500
@@ -18,6 +23,28 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers are kept for the next stages, which need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """For the functions of mapInArrow: release memory when a task's batches are done."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
