@@ -8,7 +8,7 @@ def test_segments(spark):
     seg = "array<struct<type:string,content:string>>"
     data = [([("authored_text", " a "), ("paste", "P"), ("authored_text", "b")],), ([("paste", "P")],), ([("authored_text", "x")],), ([],)]
     rows = spark.createDataFrame(data, f"s {seg}").select(targets.target_text(F.col("s")).alias("t"), targets.target_text(F.col("s"), True).alias("p"), targets.stratum(F.col("s")).alias("k"), targets.authored_length(F.col("s")).alias("n"), targets.without_payloads(F.col("s")).alias("w"), targets.content_of(F.lit(None).cast("string"), F.col("s")).alias("c")).collect()
-    assert [(r["t"], r["p"], r["k"], r["n"]) for r in rows] == [(" a <PASTE>b", " a Pb", "mixed", 3), ("<PASTE>", "P", "paste_only", 0), ("x", "x", "authored_only", 1), ("", "", "empty", 0)]
+    assert [(r["t"], r["p"], r["k"], r["n"]) for r in rows] == [(" a <|paste|>b", " a Pb", "mixed", 3), ("<|paste|>", "P", "paste_only", 0), ("x", "x", "authored_only", 1), ("", "", "empty", 0)]
     assert rows[1]["w"][0]["content"] is None and rows[0]["c"] == " a Pb"
 
 

@@ -115,5 +115,5 @@ def test_scorecard_with_nothing(spark):
     empty = scorecard.row_scores(spark.createDataFrame([], "target string, prediction string"))
     r = empty.agg(*scorecard.scorecard()).first()
     assert r["n"] == 0 and r["micro_similarity"] is None and r["paste_recall"] is None
-    one_ = scorecard.row_scores(spark.createDataFrame([("a<PASTE>", "a<PASTE><PASTE>"), ("", "x")], "target string, prediction string")).agg(*scorecard.scorecard()).first()
+    one_ = scorecard.row_scores(spark.createDataFrame([("a<|paste|>", "a<|paste|><|paste|>"), ("", "x")], "target string, prediction string")).agg(*scorecard.scorecard()).first()
     assert one_["paste_precision"] == 0.5 and one_["paste_recall"] == 1.0 and one_["macro_prefix_coverage"] == 1.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import common_prefix, chars, first_reason, let, minimal_edit, occurs_once, trimmed, without_spaces
 
 #: What a paste shows as; characters of an anchor; the largest step of a coherent trajectory and a terminal jump.
-PASTE, ANCHOR, STEP, JUMP, LOOK_BACK = "<PASTE>", 32, 16, 256, 16
+PASTE, ANCHOR, STEP, JUMP, LOOK_BACK = "<|paste|>", 32, 16, 256, 16
 
 
 def target_text(segments: Column, payloads: bool = False) -> Column:

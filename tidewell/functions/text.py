@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 #: White space as the reference behaviour trims it: Unicode spaces, not blanks alone.
 SPACES = r"(?U)\s+"
 #: Words that mark a submission control, in order of preference.
-SUBMIT_TERMS = ("send", "submit", "ask", "run", "search", "post", "reply", "go")
+SUBMIT_TERMS = ("send", "submit", "post", "publish", "search", "ask", "go", "continue")
 #: Parts of a field's description that make it sensitive.
-SENSITIVE = ("password", "passcode", "one-time code", "verification code", "security code", "credit card", "cvv")
+SENSITIVE = ("one-time code", "one time code", "verification code", "security code", "authentication code", "passcode", "password")
 
 
 def chars(c: Column) -> Column:
@@ -168,14 +168,18 @@ def logical_value(value: Column, placeholder: Column) -> Column:
     return F.when(F.coalesce(shown, F.lit(False)), "").otherwise(value)
 
 
-def is_sensitive(role: Column, description: Column) -> Column:
-    """Secure roles, digit-of-many code fields, and sensitive words."""
+def sensitive_category(role: Column, description: Column) -> Column:
+    """Why a field's text must not be kept: a secure role, one digit of a code, or a credential; null for others."""
     low = F.lower(F.coalesce(description, F.lit("")))
-    words = [F.contains(low, F.lit(w)) for w in SENSITIVE]
-    out = F.lower(F.coalesce(role, F.lit(""))).contains("secure") | low.rlike(r"digit \d+ of \d+")
-    for w in words:
-        out = out | w
-    return out
+    return first_reason(
+        (F.lower(F.coalesce(role, F.lit(""))).contains("securetextfield"), "secure_text_field"),
+        (low.rlike(r"\bdigit\s+\d+\s+of\s+\d+\b"), "segmented_verification_code"),
+        (F.exists(F.array(*map(F.lit, SENSITIVE)), lambda w: F.contains(low, w)), "credential_or_verification_field"),
+    )
+
+
+def is_sensitive(role: Column, description: Column) -> Column:
+    return sensitive_category(role, description).isNotNull()
 
 
 def looks_like_address(c: Column) -> Column:

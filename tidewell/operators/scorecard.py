@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import normalized_line, occurrences, prefix_length
 
 #: Fixed value: what stands for a pasted payload in a target.
-PASTE = "<PASTE>"
+PASTE = "<|paste|>"
 
 
 def row_scores(rows: DataFrame, target: str = "target", prediction: str = "prediction") -> DataFrame:
