@@ -33,12 +33,12 @@ def corpus(seed, n=40):
     return list(zip(r.sample(range(1000), n), texts, strict=True))
 
 
-@pytest.mark.parametrize("least,gram", [(100, 24), (20, 6)])
-def test_against_brute_force(spark, least, gram):
+@pytest.mark.parametrize("least,gram,kinds", [(100, 24, 9999), (20, 6, 9999), (20, 6, 1)])
+def test_against_brute_force(spark, least, gram, kinds):
     for seed in (1, 2):
         data = corpus(seed)
         df = frame(spark, [(i, t, *[None] * 8) for i, t in data]).repartition(3)
-        got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in repeats.remove_repeats(df, least, gram).collect()}
+        got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in repeats.remove_repeats(df, least, gram, most_kinds=kinds).collect()}
         assert got == brute(data, least)
 
 

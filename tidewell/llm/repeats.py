@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import Texts, firsts, mix, passes, powers, raw_texts, substring_hash
-from tidewell.llm.sparktools import arrow_batches, cut, partitions
+from tidewell.llm.sparktools import arrow_batches, cut, partitions, released
 
 #: Bytes in a repeated string at least, and in an anchor.
 MIN_LEN, GRAM = 100, 24
-#: Contexts whose suffixes are sorted together; whole buckets only, so one bucket may take it beyond.
-TOGETHER = 4096
+#: Contexts whose suffixes are sorted together, whole buckets only. Different contexts that one bucket may hold.
+TOGETHER, MOST_KINDS = 4096, 16_384
+#: Tasks that the rows of one very frequent string are dealt over.
+SALTS = 32
 OUT = "group long, length int, doc_id long, start int, is_first boolean"
 
 
@@ -116,6 +118,7 @@ def maximal_repeats(data: np.ndarray, first: np.ndarray, last: np.ndarray, least
 
 
 def _anchored(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -127,25 +130,31 @@ def _anchored(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, whole long, doc_id long, place long")
 
 
-def occurrences(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
+def occurrences(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
     """(group, length, doc_id, start, is_first): repeat groups with all their occurrences, in bytes.
 
     docs: (doc_id, text), doc_id distinct and not null. The groups cover every string of min_len bytes that
     occurs twice: each occurrence of such a string lies in an occurrence of a group that also holds the
     string's other ones, once with is_first. A repeat longer than a context appears as overlapping groups.
+
+    An anchor with more than most_kinds different contexts, as at the edge of a passage that very many documents
+    share, gets no suffix array: its contexts' strings of min_len bytes are the groups, told apart by hashes and
+    reduced to their first by a map-side-combined minimum, so no task holds the anchor's contexts together.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = _anchored(docs, min_len, gram)
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # kept before it is joined: Spark splits a hot key of a join only between two plain exchanges
+    shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     rows = cut(rows.join(shared, "anchor"))
     kinds = cut(rows.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count("*").alias("n")))
     lo, size = F.shiftright("place", 16).cast("int"), (F.col("place").bitwiseAND(F.lit(0xFFFF)) + min_len).cast("int")
     copies = rows.join(kinds.where("n > 1").drop("n"), ["anchor", "whole"]).select(F.col("whole").alias("group"), size.alias("length"), "doc_id", lo.alias("start"), (F.struct("doc_id", "place") == F.col("head")).alias("is_first"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    heads = kinds.join(mixed, "anchor").select("anchor", "head.doc_id", "head.place")
-    wanted = heads.groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("places"))  # at most one a byte of the text
+    mixed = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    heads = kinds.join(mixed, "anchor").select("anchor", "head.doc_id", "head.place", "kinds")
+    wanted = heads.where(F.col("kinds") <= most_kinds).groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("places"))  # at most one a byte of the text
 
+    @released
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = raw_texts(b.column(1))
@@ -165,6 +174,7 @@ def occurrences(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> Da
 
     strings = docs.join(wanted, "doc_id").mapInArrow(slices, "anchor long, doc_id long, start int, bytes binary")
 
+    @released
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             data, offsets = raw_texts(t.column("bytes"))
@@ -196,7 +206,39 @@ def occurrences(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> Da
 
     n = partitions(spark)
     deep = strings.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(buckets, OUT)
-    return copies.union(deep)
+    out = copies.union(deep)
+    hot = heads.where(F.col("kinds") > most_kinds)
+    if not mixed.where(F.col("kinds") > most_kinds).limit(1).count():
+        return out
+
+    @released
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, column, places = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
+            for texts in passes(column):
+                prefix = texts.prefix()
+                own = places.slice(texts.rows.start, len(texts))
+                n = own.value_lengths().to_numpy(zero_copy_only=False)
+                flat = own.flatten()
+                place, anchor = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                doc = np.repeat(np.arange(len(n)), n)
+                many = (place & 0xFFFF) + 1
+                of = np.repeat(np.arange(len(place)), many)
+                start = (place >> 16)[of] + np.arange(many.sum()) - np.repeat(firsts(many), many)
+                at = texts.starts[doc[of]] + start
+                head = substring_hash(prefix, at, at + min_len)
+                cols = [anchor[of], head.view(np.int64), ids[texts.rows][doc[of]].astype(np.int64), start.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "head", "doc_id", "start"])
+
+    asked = hot.groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("places"))
+    # not kept in between: so the texts' exchange serves this, the buckets and the removal, and is written once
+    strings = docs.join(asked, "doc_id").mapInArrow(windows, "anchor long, head long, doc_id long, start int")
+    first = strings.groupBy("anchor", "head").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a string may stand in very many documents, so its rows are dealt over SALTS tasks
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = strings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    wide = salted.join(first, ["anchor", "head", "salt"]).select(F.col("head").alias("group"), F.lit(min_len).alias("length"), "doc_id", "start", (F.struct("doc_id", "start") == F.col("first")).alias("is_first"))
+    return out.union(wide)
 
 
 def one_text_each(docs: DataFrame) -> DataFrame:
@@ -207,7 +249,7 @@ def one_text_each(docs: DataFrame) -> DataFrame:
     return rows
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, whole_characters: bool = False, most_kinds: int = MOST_KINDS) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each text without the bytes of strings that start earlier as well.
 
     Earlier: in a document of smaller doc_id, or before in the same document, judged on the input. spans are the removed
@@ -217,9 +259,10 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, wh
     table gives an empty result.
     """
     rows = one_text_each(docs)
-    later = occurrences(rows, min_len, gram).where("not is_first")
+    later = occurrences(rows, min_len, gram, most_kinds).where("not is_first")
     spans = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("runs"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = raw_texts(b.column(1))
