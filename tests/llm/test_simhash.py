@@ -114,3 +114,53 @@ def test_similar_documents_are_found_and_others_left_alone(spark):
         data.append((100 + i, " ".join(t), *[None] * 8))
     kept = {x["doc_id"] for x in simhash.keep_first_of_near_duplicates(frame(spark, data)).collect()}
     assert kept == set(range(40))
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_link_from_their_exact_similarity_on(spark):
+    r = random.Random(11)
+    pairs = []
+    while len(pairs) < 120:  # a head and a tail change: any similarity
+        words = [f"w{r.randrange(9000)}" for _ in range(r.choice([60, 120, 400]))]
+        k = r.randint(1, len(words) // 4)
+        other = words[:-k] + [f"x{r.randrange(9000)}" for _ in range(k)]
+        a, b = " ".join(words), " ".join(other)
+        if 0.6 <= jaccard(a, b) <= 0.79 or 0.8 <= jaccard(a, b) <= 0.85:
+            pairs.append((a, b))
+    ten = [f"s{i}" for i in range(10)]
+    pairs += [(" ".join(ten), " ".join([*ten[:-1], "other"])), ("q1 q2 q3 q4 q5 q6 q7 q8", "q1 q2 q3 q4 q5 q6 q7 q8 q9")]
+    data = [(2 * i + s, p[s], *[None] * 8) for i, p in enumerate(pairs) for s in (0, 1)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(frame(spark, data)).collect()}
+    want = {2 * i + s: 2 * i if s == 0 or jaccard(*p) >= 0.8 else 2 * i + 1 for i, p in enumerate(pairs) for s in (0, 1)}
+    assert 40 < sum(jaccard(*p) < 0.8 for p in pairs) < 110
+    assert got == want
+
+
+def test_similar_documents_against_brute_force_in_groups(spark):
+    r = random.Random(12)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(30):
+            t = list(base)
+            for _ in range(r.randint(0, 4)):
+                t[r.randrange(80)] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
