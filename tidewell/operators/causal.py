@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,40 @@ def strictly_after(keys: str | Sequence[str], at: str):
     return W.partitionBy(*_keys(keys)).orderBy(at).rangeBetween(1, W.unboundedFollowing)
 
 
+def prefix_digests(rows: DataFrame, key: str, at: str, text: str) -> DataFrame:
+    """Adds n_context, how many texts of the key come strictly before, and context_sha256, the digest of those joined by line ends.
+
+    A key's rows pass once in order while one running digest is carried on, so no task holds a key's texts. Null texts
+    don't count; rows of equal time aren't in each other's context, and follow each other by text in later ones.
+    """
+    kept = [c for c in rows.columns if c != text]
+    rows = rows.select(*kept, text)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema if f.name != text)}, n_context long, context_sha256 string"
+    own, time = kept.index(key), kept.index(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, digest, n, waiting = None, False, hashlib.sha256(), 0, []
+        for b in batches:
+            counts, digests = [], []
+            for k, t, x in zip(b.column(own).to_pylist(), b.column(time).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
+                if not begun or k != last[0]:
+                    digest, n, waiting = hashlib.sha256(), 0, []
+                elif t != last[1]:
+                    for w in waiting:
+                        digest.update(("\n" + w if n else w).encode())
+                        n += 1
+                    waiting = []
+                begun, last = True, (k, t)
+                if x is not None:
+                    waiting.append(x)
+                counts.append(n)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(digests, pa.string())], [*kept, "n_context", "context_sha256"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key, at, text).mapInArrow(run, schema)
+
+
 def causal_count(rows: DataFrame, keys: str | Sequence[str], at: str, name: str = "n_before") -> DataFrame:
     """How many rows of the key come strictly before each; linear in the rows, no pairs are made."""
     return rows.withColumn(name, F.count("*").over(strictly_before(keys, at)))

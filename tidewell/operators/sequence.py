@@ -87,6 +87,25 @@ def suffix_budget(rows: DataFrame, target: Sequence[str], newest_first: Sequence
     return out.withColumn("kept", kept).withColumn("kept_tokens", F.when(F.col("kept") == "whole", F.col(tokens)).when(F.col("kept") == "partial", room).otherwise(0)).drop("limit_")
 
 
+def suffix_edges(rows: DataFrame, key: str, order: str, tokens: str, budgets: Sequence[int]) -> DataFrame:
+    """For each row and budget what suffix_budget keeps of the key's rows before it: n_whole, n_partial, n_tokens.
+
+    No row is paired with its history: with the tokens before each row summed, the oldest row that is kept whole is the first one whose
+    sum is at most the budget less. A key's order must be distinct, token counts neither null nor negative.
+    """
+    own = W.partitionBy(key).orderBy(order)
+    out = rows.withColumn("before_", F.coalesce(F.sum(tokens).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")).withColumn("rank_", F.row_number().over(own))
+    for b in budgets:
+        # ranks and sums grow together, so the frame's first row has the least of both
+        near = W.partitionBy(key).orderBy("before_").rangeBetween(-b, W.currentRow)
+        out = out.withColumn(f"edge_{b}_", F.min(F.struct("rank_", "before_")).over(near))
+    edges = F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"edge_{b}_").alias("edge")) for b in budgets])
+    out = out.select(*rows.columns, "before_", "rank_", F.explode(edges).alias("e"))
+    held = F.col("before_") - F.col("e.edge.before_")
+    partial = (F.col("e.edge.rank_") > 1) & (held < F.col("e.budget"))
+    return out.select(*rows.columns, F.col("e.budget").alias("budget"), (F.col("rank_") - F.col("e.edge.rank_")).cast("long").alias("n_whole"), partial.cast("long").alias("n_partial"), F.when(partial, F.col("e.budget").cast("long")).otherwise(held).alias("n_tokens"))
+
+
 def token_spans(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str) -> DataFrame:
     """Adds span_start and span_end: where each row's tokens lie when rows follow each other."""
     total = F.sum(tokens).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))

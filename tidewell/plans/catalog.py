@@ -56,10 +56,7 @@ GROUP BY t.conv_id, t.turn
 """)
 def causal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every user turn: how many turns come strictly before it, and the digest of their joined text."""
-    rows = table(spark, sf_dir, "conversations")
-    rows = rows.withColumn("ctx", F.collect_list(F.struct("turn", "text")).over(causal.strictly_before("conv_id", "turn")))
-    joined = F.array_join(F.transform(F.array_sort("ctx"), lambda x: x["text"]), "\n")
-    return rows.where("role = 'user'").select("conv_id", "turn", F.size("ctx").cast("long").alias("n_context"), F.sha2(joined, 256).alias("context_sha256"))
+    return causal.prefix_digests(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").where("role = 'user'").select("conv_id", "turn", "n_context", "context_sha256")
 
 
 @query(f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM {STREAM}")
@@ -371,17 +368,13 @@ SELECT conv_id, turn, count(*) FILTER (used <= 300) AS n_whole, coalesce(sum(CAS
 """)
 def suffix_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest history of each user turn that fits 300 words."""
-    return packed(spark, sf_dir, F.array(F.lit(300))).drop("budget")
+    return packed(spark, sf_dir, [300]).drop("budget")
 
 
-def packed(spark: SparkSession, sf_dir: str, budgets) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("n", F.regexp_count("text", F.lit(r"[^ \t\n\r]+")))
-    targets = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("target"))
-    history = targets.join(rows.select("conv_id", F.col("turn").alias("block"), "n"), "conv_id").where("block < target")
-    history = targets.join(history, ["conv_id", "target"], "left").withColumn("budget", F.explode(budgets))
-    kept = sequence.suffix_budget(history, ["conv_id", "target", "budget"], [F.col("block").desc()], "n", "budget")
-    out = kept.groupBy("conv_id", "target", "budget").agg(F.count_if(F.col("kept") == "whole").alias("n_whole"), F.coalesce(F.sum("kept_tokens"), F.lit(0)).alias("n_tokens"), F.count_if(F.col("kept") == "partial").alias("n_partial"))
-    return out.withColumnRenamed("target", "turn")
+def packed(spark: SparkSession, sf_dir: str, budgets: list[int]) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("n", F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long"))
+    out = sequence.suffix_edges(rows, "conv_id", "turn", "n", budgets).where("role = 'user'")
+    return out.select("conv_id", "turn", "budget", "n_whole", "n_tokens", "n_partial")
 
 
 @query("""
@@ -393,7 +386,7 @@ SELECT conv_id, turn, budget, count(*) FILTER (used <= budget) AS n_whole, coale
 """)
 def multi_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for two budgets at once."""
-    return packed(spark, sf_dir, F.array(F.lit(100), F.lit(400)))
+    return packed(spark, sf_dir, [100, 400])
 
 
 @query("""
