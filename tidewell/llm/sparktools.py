@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.shared import cut, written
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "release", "released", "written"]
+__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "release", "released", "unused", "written"]
 
 #: Rows in one Arrow batch handed to Python; texts are long, so batches are kept short.
 ARROW_ROWS = 500
@@ -45,6 +45,14 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
