@@ -2,12 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from tests.llm.fixtures import frame, rows
 from tidewell.llm import simhash
-from tidewell.llm.sparktools import connected_components
+from tidewell.llm.sparktools import connected_components, whole_groups
 
 
 def brute_print(text, n=4):
@@ -162,5 +163,47 @@ def test_similar_documents_against_brute_force_in_groups(spark):
             if jaccard(texts[a], texts[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)])).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+    for tile in (8, 1024):
+        got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(frame(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)]), tile=tile).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_spanning_forest_is_lightest():
+    r = np.random.default_rng(3)
+    for n in (2, 9, 40):
+        i, j = r.integers(0, n, (2, 3 * n))
+        i, j = i[i != j], j[i != j]
+        w = r.integers(0, 9, len(i))
+        picked = simhash.spanning(n, i, j, w)
+        assert (simhash.forest(n, i[picked], j[picked]) == simhash.forest(n, i, j)).all()
+        label, total, links = list(range(n)), 0, 0
+        for k in np.argsort(w, kind="stable"):  # one link after the other
+            a, b = label[i[k]], label[j[k]]
+            if a != b:
+                total, links = total + w[k], links + 1
+                label = [a if x == b else x for x in label]
+        assert w[picked].sum() == total and len(picked) == links
+    assert len(simhash.spanning(3, *[np.zeros(0, np.int64)] * 3)) == 0
+
+
+def test_values_in_common():
+    r = random.Random(6)
+    lists = [r.sample(range(10**12, 10**12 + 40_000), r.choice([0, 3, 5000])) for _ in range(12)] + [[7], [7]]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(14) for b in range(a)], strict=True))
+    got = simhash.in_common(pa.array(lists, pa.list_(pa.int64())), i, j)
+    assert got.tolist() == [len(set(lists[a]) & set(lists[b])) for a, b in zip(i, j, strict=True)]
+
+
+def test_whole_groups_over_batches():
+    rows = [(k // 7, k // 3, k) for k in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + 5]], pa.int64()) for c in range(3)], ["a", "b", "c"]) for a in range(0, 40, 5)]
+    got = [t.to_pydict() for t in whole_groups(iter(batches), ("a", "b"))]
+    assert [x for g in got for x in g["c"]] == list(range(40))
+    keys = [set(zip(g["a"], g["b"], strict=True)) for g in got]
+    assert all(len(k) == 1 for k in keys) and len(set().union(*keys)) == len(keys)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "x", 1, 2), (1, "a b c d e f g", "x", 1, 2), (2, "a b c d e f g", "y", 1, 2), (3, None, "z", 1, 2), (4, "", "z", 1, 2), (None, "q", "z", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, row int, node int")
+    assert sorted((x["doc_id"], x["kept_id"]) for x in simhash.keep_first_of_near_duplicates(df).collect()) == [(1, "x"), (3, "z")]

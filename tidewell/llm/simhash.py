@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import Texts, firsts, mix, passes
-from tidewell.llm.sparktools import arrow_batches, connected_components, cut, partitions, released
+from tidewell.llm.sparktools import arrow_batches, connected_components, cut, partitions, released, unused, whole_groups
 
 #: Fingerprints in one tile, and in one step of a tile's comparison.
 TILE, STEP = 1024, 256
@@ -301,68 +301,147 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> D
     return texts.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _pairs(prints: DataFrame, lanes: int, radius: int, least: float, every: bool, tile: int = TILE) -> DataFrame:
-    """(u, v): candidates among the nodes (node, label, n, keys, fp, ...) that have different labels.
-
-    Candidates share one of the keys, differ in at most radius bits, and their sizes allow the similarity ``least``. If not
-    every, only each node's nearest one before it in a tile.
-    """
-    cols = ["label", "n", *names(lanes)]
-    rows = prints.select("node", *cols, F.posexplode("keys").alias("band", "key"))
-    # a key whose nodes are all of one label has nothing to compare
-    sizes = cut(rows.groupBy("band", "key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", "rows"))
-    dealt = tiles(rows.join(sizes, ["band", "key"]), "rows", ["node", *cols], lanes, radius, tile)
-
-    def pair(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        side, node, label, n, fp = rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7], np.ascontiguousarray(rows[:, 8:]).view(np.uint64)
-        order = np.lexsort((node, np.bitwise_count(fp).sum(axis=1, dtype=np.int64)))
-        a, b = (order, order) if (side == side[0]).all() else (order[side[order] == 1], order[side[order] == 2])
-        if side[0] != 0 and a is b:
-            return node[:0], node[:0]
+def spanning(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) between n nodes make a lightest spanning forest: parts take their lightest links until none joins two."""
+    label, picked, left = np.arange(n), [], np.arange(len(i))
+    while len(left := left[label[i[left]] != label[j[left]]]):
+        order = weight[left] * len(left) + np.arange(len(left))  # no two alike
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[i[left]], order)
+        np.minimum.at(best, label[j[left]], order)
+        picked.append(left[np.unique(best[best < np.iinfo(np.int64).max] % len(left))])
+        so_far = np.concatenate(picked)
+        label = forest(n, i[so_far], j[so_far])
+    return np.concatenate(picked) if picked else left
+
+
+def _candidates(t: pa.Table, lanes: int, radius: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits): rows of a tile that may be similar, have different labels, and share no key of a smaller number."""
+    cols = {c: t.column(c).to_numpy() for c in ("side", "node", "label", "n", "band")}
+    fp = np.stack([t.column(c).to_numpy() for c in names(lanes)], axis=1).view(np.uint64)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    order, side = np.lexsort((cols["node"], np.bitwise_count(fp).sum(axis=1, dtype=np.int64))), cols["side"]
+    none = np.zeros(0, np.int64)
+    if side[0] == 0:
+        i, j = close_pairs(fp[order], fp[order], radius)
+        i, j = order[i[j < i]], order[j[j < i]]
+    elif (side == side[0]).all():
+        return none, none, none
+    else:
+        a, b = order[side[order] == 1], order[side[order] == 2]
         i, j = close_pairs(fp[a], fp[b], radius)
-        if a is b:
-            i, j = i[j < i], j[j < i]
         i, j = a[i], b[j]
-        fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
-        i, j = i[fit], j[fit]
-        if not every and len(i):
-            bits = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
-            near = np.lexsort((node[j], bits, i))
-            near = near[np.diff(i[near], prepend=-1) != 0]
-            i, j = i[near], j[near]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    size, label, band = cols["n"], cols["label"], int(cols["band"][0])
+    fit = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+    i, j = i[fit], j[fit]
+    for k in range(band):
+        apart = keys[i, k] != keys[j, k]
+        i, j = i[apart], j[apart]
+    return i, j, np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+
+
+UNIT = ("band", "key", "p", "q")
 
-    return dealt.mapInArrow(by_tile(pair), "u long, v long").distinct()
+
+def _over_tiles(tiled: DataFrame, work: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """What ``work`` makes of each tile's rows."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, UNIT):
+            made = work(t) if len(t) > 1 else {}
+            if made and len(next(iter(made.values()))):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made.values()], list(made))
+
+    return tiled.mapInArrow(run, schema)
+
+
+def _similar_tiles(nodes: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
+    """The nodes (node, label, n, keys, fp, ...) dealt by tile for each key that nodes of different labels share."""
+    cols = ["node", "label", "n", "keys", *names(lanes)]
+    rows = nodes.select(*cols, F.posexplode("keys").alias("band", "key"))
+    # a key whose nodes are all of one label has nothing to compare
+    sizes = cut(rows.groupBy("band", "key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key", "rows"))
+    return tiles(rows.join(sizes, ["band", "key"]), "rows", cols, lanes, radius, tile)
 
 
 def _exactly(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, seed: int, least: float) -> DataFrame:
-    """(u, v, similar) for pairs (u, v): whether the shingle sets' intersection over their union is at least ``least``."""
+    """The pairs (u, v) whose shingle sets' intersection over their union is at least ``least``."""
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = cut(_shingle_sets(docs, nodes.join(needed, "node").select("node", "doc_id"), words, seed))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("n"))
-    return cut(both.select("u", "v", (F.col("common") >= F.lit(least) * (F.col("n") - F.col("common")) - 1e-9).alias("similar")))
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    return cut(both.where(F.col("common") >= F.lit(least) * (F.col("both") - F.col("common")) - 1e-9).select("u", "v"))
+
+
+def in_common(shingles: pa.Array, i: np.ndarray, j: np.ndarray, step: int = 2048) -> np.ndarray:
+    """How many values the lists i and j have in common, for each pair; a list's values differ. By bits of the values that lists share."""
+    n = shingles.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    _, value, times = np.unique(shingles.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row, value = row[shared[value]], number[value[shared[value]]]
+    width, out = int(shared.sum()), np.zeros(len(i), np.int64)
+    for k in range(0, width, 1 << 14):  # some thousand values at a time, so that the bits of all lists stay small
+        own = (value >= k) & (value < k + (1 << 14))
+        bits = np.zeros((len(n), min(1 << 14, width - k) // 8 + 8), np.uint8)
+        at = value[own] - k
+        np.bitwise_or.at(bits, (row[own], at >> 3), (1 << (at & 7)).astype(np.uint8))
+        bits = np.ascontiguousarray(bits[:, : bits.shape[1] // 8 * 8]).view(np.uint64)
+        for a in range(0, len(i), step):
+            out[a : a + step] += np.bitwise_count(bits[i[a : a + step]] & bits[j[a : a + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, lanes: int = SIMILAR_LANES, radius: int = SIMILAR_RADIUS, seed: int = 42, least: float = SIMILAR) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, lanes: int = SIMILAR_LANES, radius: int = SIMILAR_RADIUS, seed: int = 42, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of similarity ``least`` or more.
 
     Similarity is that of the sets of 5-word-shingle hashes, intersection over union, taken from the sets themselves; no link
     is made without it. Candidates are pairs of fingerprints of the sets, 64 * lanes bits, at most radius bits apart that share one of
     16 keys, each of the smallest hashes in four orders: 0.9998 of the pairs of similarity 0.8 share one, and of those all but few in a
-    thousand lie within the radius. First each set is held against its nearest one of a tile, then all candidates between the groups so
-    found, so that a large group of near copies takes a link each and not all its pairs. Rows as in near_duplicates.
+    thousand lie within the radius. First the lightest spanning forest of each tile's candidates is decided, a link a row at most. What is
+    then still apart but has candidates goes once more to its tiles, now with its sets, and all candidates between different groups are
+    decided there: tiles write links and never pairs, however many resemble each other without being similar enough.
+
+    Empty and null texts are alike. Rows as in near_duplicates.
     """
     arrow_batches(docs.sparkSession)
     prints = cut(_similar_prints(docs, words, lanes, seed).where("doc_id is not null"))
     nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n", "keys", *names(lanes))]).withColumn("label", F.col("node")))
     some = nodes.where("n > 0")
-    first = _exactly(cut(_pairs(some, lanes, radius, least, False)), docs, nodes, words, seed, least)
-    found = cut(connected_components(first.where("similar")).withColumnRenamed("component", "label"))
+
+    def nearest(t: pa.Table) -> dict:
+        i, j, bits = _candidates(t, lanes, radius, least)
+        kept = spanning(len(t), i, j, bits)
+        u, v = (t.column("node").to_numpy()[x[kept]] for x in (i, j))
+        return {"u": np.minimum(u, v), "v": np.maximum(u, v)}
+
+    pairs = cut(_over_tiles(_similar_tiles(some, lanes, radius, tile), nearest, "u long, v long").distinct())
+    first = _exactly(pairs, docs, nodes, words, seed, least)
+    found = cut(connected_components(first).withColumnRenamed("component", "label"))
     some = cut(some.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    rest = cut(_pairs(some, lanes, radius, least, True).join(first, ["u", "v"], "left_anti"))
-    second = _exactly(rest, docs, nodes, words, seed, least)
-    found = connected_components(first.where("similar").union(second.where("similar")))
+
+    def apart(t: pa.Table) -> dict:
+        i, j, _ = _candidates(t, lanes, radius, least)
+        rows = np.unique(np.concatenate((i, j)))
+        return {c: t.column(c).to_numpy()[rows] for c in (*UNIT, "side", "node")}
+
+    left = cut(_over_tiles(_similar_tiles(some, lanes, radius, tile), apart, "band int, key long, p int, q int, side int, node long"))
+    wanted = left.select("node").distinct()
+    sets = cut(_shingle_sets(docs, nodes.join(wanted, "node").select("node", "doc_id"), words, seed).join(some.drop("doc_id"), "node"))
+
+    def decided(t: pa.Table) -> dict:
+        i, j, _ = _candidates(t, lanes, radius, least)
+        both, size, node = in_common(t.column("shingles").combine_chunks(), i, j), t.column("n").to_numpy(), t.column("node").to_numpy()
+        alike = both >= least * (size[i] + size[j] - both) - 1e-9
+        root = forest(len(t), i[alike], j[alike])
+        moved = np.flatnonzero(root != np.arange(len(t)))
+        return {"u": node[moved], "v": node[root[moved]]}
+
+    again = left.join(sets, "node").repartition(partitions(docs.sparkSession), *UNIT).sortWithinPartitions(*UNIT)
+    second = _over_tiles(again, decided, "u long, v long")
+    found = connected_components(first.union(second))
     named = cut(nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return prints.select("doc_id", "fp", "node").join(named.join(least_id, "component").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
@@ -373,9 +452,10 @@ def keep_first_of_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
     Rows without a doc_id go; of rows that repeat a doc_id, the one with the smallest text stays (null first).
     """
+    row, kept_id = unused("row", docs), unused("kept_id", docs)
     docs = docs.where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        least = docs.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", F.xxhash64("*"))).alias("row"))
-        docs = least.select("row.*")
-    kept = similar_documents(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    if docs.groupBy("doc_id").agg(F.count("*").alias(row)).where(F.col(row) > 1).limit(1).count():
+        least = docs.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", F.xxhash64("*"))).alias(row))
+        docs = least.select(f"{row}.*")
+    kept = similar_documents(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id))
+    return docs.join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")

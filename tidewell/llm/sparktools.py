@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.sources.shared import cut, written
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "release", "released", "unused", "written"]
+__all__ = ["ARROW_ROWS", "arrow_batches", "connected_components", "cut", "partitions", "release", "released", "unused", "whole_groups", "written"]
 
 #: Rows in one Arrow batch handed to Python; texts are long, so batches are kept short.
 ARROW_ROWS = 500
@@ -45,6 +46,26 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each group of equal keys, from batches that are sorted by them."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        key = np.stack([t.column(c).to_numpy() for c in keys], axis=1).astype(np.int64)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(t)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if held and tuple(key[first]) != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(first, end - first))
+            last = tuple(key[first])
+    if held:
+        yield pa.concat_tables(held)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """A column name like ``name`` that none of the tables has."""
     taken = {c.lower() for t in tables for c in t.columns}
