@@ -35,7 +35,7 @@ def test_sketch_quantiles_within_error(spark):
     merged = halves[0].union(halves[1]).groupBy("k", "bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
     got = rules.sketch_quantiles(merged, ["k"], {"q1": 0.25, "q3": 0.75}).first()
     for name, q in (("q1", 0.25), ("q3", 0.75)):
-        assert abs(got[name] / np.quantile(x, q) - 1) < 0.03
+        assert abs(np.exp(got[name]) / np.quantile(x, q) - 1) < 0.03
     assert got["rows"] == 5000
 
 
@@ -49,3 +49,35 @@ def test_outliers_of_a_group_go(spark):
 
 def test_empty(spark):
     assert rules.judge(frame(spark, [])).collect() == []
+
+
+def test_fences_adapt_to_groups(spark):
+    """Groups that differ in every metric have fences of their own; a small group leans on its language."""
+    r = np.random.default_rng(5)
+
+    def text(rate, n):
+        words = [f"w{r.integers(900)}" + ("#" if r.random() < rate else "") + ("." if r.random() < rate else "") for _ in range(n)]
+        words = [w.upper() if r.random() < rate else w for w in words]
+        for k in range(1, n):
+            if r.random() < rate / 4:
+                words[k] = words[k - 1]
+        return " ".join(w + ("\n" if k % 6 == 5 else "") for k, w in enumerate(words)) + "\nsame line\n" * int(r.random() < rate) * 2
+
+    data = [(i, text(0.02, int(r.integers(60, 200))), "en", "plain", *[None] * 6) for i in range(150)]
+    data += [(1000 + i, text(0.3, int(r.integers(60, 200))), "en", "noisy", *[None] * 6) for i in range(150)]
+    data += [(2000 + i, text(0.02, 100), "en", "small", *[None] * 6) for i in range(2)]
+    rows = rules.shares(rules.measured(frame(spark, data))).withColumn("base_failed", rules.F.lit(False))
+    got = {x["source"]: x for x in rules.fences(rows).collect()}
+    for m, *_ in rules.METRICS:
+        assert got["plain"][f"{m}_high"] != got["noisy"][f"{m}_high"]
+    for m in ("symbol_share", "punct_share", "upper_share", "echo_share"):
+        assert got["plain"][f"{m}_high"] < got["small"][f"{m}_high"]
+    kept = {x["doc_id"]: x["kept"] for x in rules.judge(frame(spark, data)).collect()}
+    assert np.mean([kept[i] for i in kept if i < 1000]) > 0.97 and np.mean([kept[i] for i in kept if 1000 <= i < 2000]) > 0.97
+
+
+def test_long_and_repeated_rows(spark):
+    long = "one two three four five six seven eight nine ten " * 30_000
+    data = [(1, long, None, None, *[None] * 6), (1, long, None, None, *[None] * 6), (None, "a b", "en", None, *[None] * 6)]
+    got = rules.judge(frame(spark, data)).collect()
+    assert sorted(r["n_words"] for r in got) == [2, 300_000, 300_000] and not any(r["kept"] for r in got)

@@ -114,28 +114,26 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN llr >= middle THEN
 
 
 def _rules_sql() -> str:
-    """op9 in SQL: counts from lists of words, quartiles from the same buckets, fences by group, language or all."""
-    import math
-
-    width = 2 * math.log1p(rules.ERROR)
+    """op9 in SQL: counts from lists of words, quartiles from the same buckets, mixed by group, language and all."""
     names = [m[0] for m in rules.METRICS]
     word = "[^\\x20\\x09-\\x0D]+"
-    bucket = f"CASE WHEN x <= 1e-4 THEN 0 ELSE CAST(ceil(ln(x / 1e-4) / {width!r}) AS INT) END"
-    value = f"CASE WHEN bucket = 0 THEN 0.0 ELSE 1e-4 * exp((bucket - 0.5) * {width!r}) END"
-    slack = " ".join(f"WHEN '{m}' THEN {x}" for m, _, x in rules.METRICS)
+    bucket = f"CASE WHEN e.x <= {rules.LEAST!r} THEN 0 ELSE CAST(ceil(ln(e.x / {rules.LEAST!r}) / {rules.WIDTH!r}) AS INT) END"
+    value = f"ln({rules.LEAST!r}) + greatest(bucket - 0.5, 0.0) * {rules.WIDTH!r}"
+    reach = " ".join(f"WHEN '{m[0]}' THEN {m[4]}" for m in rules.METRICS)
     levels = []
-    for k, keys in enumerate(("lang, source, metric", "lang, metric", "metric")):
+    for k, keys in enumerate(("metric", "lang, metric", "lang, source, metric")):
         levels.append(f"b{k} AS (SELECT {keys}, bucket, count(*) AS n FROM v GROUP BY ALL)")
         levels.append(f"r{k} AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {keys}) AS total, {value} AS value FROM b{k})")
         levels.append(f"q{k} AS (SELECT {keys}, first(total) AS total, min(value) FILTER (up_to >= 0.25 * total) AS q1, min(value) FILTER (up_to >= 0.75 * total) AS q3 FROM r{k} GROUP BY {keys})")
-    pick = lambda q: f"CASE WHEN coalesce(q0.total, 0) >= {rules.LEAST_ROWS} THEN q0.{q} WHEN coalesce(q1.total, 0) >= {rules.LEAST_ROWS} THEN q1.{q} ELSE q2.{q} END"
+    mixed = lambda k, q, above: f"CASE WHEN coalesce(q{k}.total, 0) > 0 THEN (q{k}.total * q{k}.{q} + {rules.PRIOR} * {above}) / (q{k}.total + {rules.PRIOR}) ELSE {above} END"
+    pick = lambda q: mixed(2, q, "(" + mixed(1, q, f"q0.{q}") + ")")
     broken = []
-    for m, sides, _ in rules.METRICS:
-        broken.append(f"CASE WHEN {m} > {m}_high THEN '{m} high' END")
+    for m, _, _, sides, _ in rules.METRICS:
+        broken.append(f"CASE WHEN ln({m}) > {m}_high THEN '{m} high' END")
         if sides == "both":
-            broken.append(f"CASE WHEN {m} < {m}_low THEN '{m} low' END")
+            broken.append(f"CASE WHEN ln({m}) < {m}_low THEN '{m} low' END")
     fence_cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q1 - reach END) AS {m}_low, max(CASE WHEN metric = '{m}' THEN q3 + reach END) AS {m}_high" for m in names)
-    part = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
+    shares = ", ".join(f"({a} + 0.5::DOUBLE) / ({b} - {a} + 0.5::DOUBLE) AS {m}" for m, a, b, *_ in rules.METRICS if m != "word_len")
     n = rules.REPEAT_WORDS
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
@@ -147,16 +145,15 @@ k AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w
   len(regexp_extract_all(array_to_string(w, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]')) AS n_punct, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
   len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_echo FROM w LEFT JOIN h USING (doc_id)),
 c AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines FROM k),
-m AS (SELECT *, {part('n_symbols', 'word_chars')} AS symbol_share, {part('n_punct', 'word_chars')} AS punct_share, {part('n_upper', 'word_chars')} AS upper_share, {part('n_dup_lines', 'n_lines')} AS dup_share,
-  {part('n_repeat_words', 'n_words')} AS repeat_share, {part('n_echo', 'n_words')} AS echo_share, {part('word_chars', 'n_words')} AS word_len,
+m AS (SELECT *, {shares}, (word_chars + 0.5::DOUBLE) / (n_words + 1) AS word_len,
   n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM c),
 e AS (SELECT lang, source, unnest([{", ".join(f"{{'metric': '{x}', 'x': CAST({x} AS DOUBLE)}}" for x in names)}]) AS e FROM m WHERE n_words >= {rules.LEAST_WORDS}),
-v AS (SELECT lang, source, e.metric AS metric, {bucket.replace("x ", "e.x ").replace("(x ", "(e.x ")} AS bucket FROM e),
+v AS (SELECT lang, source, e.metric AS metric, {bucket} AS bucket FROM e),
 {", ".join(levels)},
 o AS (SELECT s.lang, s.source, s.metric, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM (SELECT DISTINCT lang, source, unnest([{", ".join(f"'{x}'" for x in names)}]) AS metric FROM m) s
-  LEFT JOIN q0 ON s.lang IS NOT DISTINCT FROM q0.lang AND s.source IS NOT DISTINCT FROM q0.source AND s.metric = q0.metric
-  LEFT JOIN q1 ON s.lang IS NOT DISTINCT FROM q1.lang AND s.metric = q1.metric LEFT JOIN q2 ON s.metric = q2.metric),
-f AS (SELECT lang, source, {fence_cols} FROM (SELECT *, {rules.FENCE} * (q3 - q1) + CASE metric {slack} END AS reach FROM o) GROUP BY lang, source),
+  LEFT JOIN q2 ON s.lang IS NOT DISTINCT FROM q2.lang AND s.source IS NOT DISTINCT FROM q2.source AND s.metric = q2.metric
+  LEFT JOIN q1 ON s.lang IS NOT DISTINCT FROM q1.lang AND s.metric = q1.metric LEFT JOIN q0 ON s.metric = q0.metric),
+f AS (SELECT lang, source, {fence_cols} FROM (SELECT *, CASE metric {reach} END * (q3 - q1 + {2 * rules.WIDTH!r}) AS reach FROM o) GROUP BY lang, source),
 z AS (SELECT m.*, list_filter([{", ".join(broken)}], lambda r: r IS NOT NULL) AS reasons FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(reasons) = 0 AS kept, coalesce(array_to_string(reasons, ', '), '') AS reasons FROM z
 """

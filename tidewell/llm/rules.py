@@ -14,10 +14,21 @@ from tidewell.llm.sparktools import arrow_batches, cut, released
 
 #: The symbols, words in a repeated window, the limits of the base rules.
 SYMBOLS, REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
-#: Metrics: (name, which sides are judged, slack added to the fence on each side).
-METRICS = (("symbol_share", "high", 0.03), ("punct_share", "high", 0.06), ("upper_share", "high", 0.15), ("dup_share", "high", 0.4), ("repeat_share", "high", 0.3), ("echo_share", "high", 0.15), ("word_len", "both", 1.5))
-#: Width of a fence in interquartile ranges; rows that a group needs for fences of its own; relative error of a sketch.
-FENCE, LEAST_ROWS, ERROR = 6.0, 100, 0.01
+#: Metrics: (name, what is counted, out of what, which sides are judged, reach of a fence in interquartile ranges). Shares are
+#: judged as odds, (count + 1/2) / (rest + 1/2), so that a count of 0 weighs by what it is out of, and quartiles don't fall together.
+METRICS = (
+    ("symbol_share", "n_symbols", "word_chars", "high", 3.0),
+    ("punct_share", "n_punct", "word_chars", "high", 4.0),
+    ("upper_share", "n_upper", "word_chars", "high", 4.0),
+    ("dup_share", "n_dup_lines", "n_lines", "high", 3.0),
+    ("repeat_share", "n_repeat_words", "n_words", "high", 5.0),
+    ("echo_share", "n_echo", "n_words", "high", 3.0),
+    ("word_len", "word_chars", "n_words", "both", 4.0),
+)
+#: Relative error of a sketch and the least value it tells apart; rows that the group above counts for in a group's quartiles.
+ERROR, LEAST, PRIOR = 0.01, 1e-6, 50.0
+#: Width of a bucket in natural logarithms.
+WIDTH = 2 * float(np.log1p(ERROR))
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_punct long, n_upper long, n_echo long"
 
 
@@ -92,73 +103,71 @@ def measured(docs: DataFrame) -> DataFrame:
 def quantile_sketches(values: DataFrame, keys: list[str], error: float = ERROR) -> DataFrame:
     """(keys, bucket, n): for values (keys, x), x >= 0, counts in buckets whose bounds grow by a fixed ratio.
 
-    Adding up counts merges sketches. Bucket b > 0 holds 1e-4 * r**(b-1) < x <= 1e-4 * r**b, r = (1 + error)**2; bucket 0 the
+    Adding up counts merges sketches. Bucket b > 0 holds LEAST * r**(b-1) < x <= LEAST * r**b, r = (1 + error)**2; bucket 0 the
     smaller ones. A key has a number of buckets that depends on the error alone, not on its rows.
     """
-    bucket = F.when(F.col("x") <= 1e-4, 0).otherwise(F.ceil(F.log(F.col("x") / 1e-4) / (2 * np.log1p(error)))).cast("int")
+    bucket = F.when(F.col("x") <= LEAST, 0).otherwise(F.ceil(F.log(F.col("x") / LEAST) / (2 * np.log1p(error)))).cast("int")
     return values.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def sketch_quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float], error: float = ERROR) -> DataFrame:
-    """(keys, rows, one column per quantile) of sketches; each within the relative error."""
+    """(keys, rows, one column per quantile) of sketches: the quantile's logarithm, within the relative error."""
     w = Window.partitionBy(*keys)
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(1e-4 * F.exp((F.col("bucket") - 0.5) * 2 * np.log1p(error)))
+    value = F.log(F.lit(LEAST)) + F.greatest(F.col("bucket") - 0.5, F.lit(0.0)) * (2 * float(np.log1p(error)))
     run = sketches.withColumn("up_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("rows", F.sum("n").over(w)).withColumn("value", value)
     return run.groupBy(*keys).agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("up_to") >= q * F.col("rows"), F.col("value"))).alias(name) for name, q in at.items()])
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    """Adds the metrics; a text without words has 0 in all."""
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counts.withColumns({"symbol_share": part("n_symbols", "word_chars"), "punct_share": part("n_punct", "word_chars"), "upper_share": part("n_upper", "word_chars"), "dup_share": part("n_dup_lines", "n_lines"), "repeat_share": part("n_repeat_words", "n_words"), "echo_share": part("n_echo", "n_words"), "word_len": part("word_chars", "n_words")})
+    """Adds the metrics, shares as odds; a text without words has the odds of 0 out of 0, and words of length 1/2."""
+    odds = lambda a, b: (F.col(a) + 0.5) / (F.col(b) - F.col(a) + 0.5)
+    cols = {m: odds(a, b) for m, a, b, *_ in METRICS if m != "word_len"}
+    return counts.withColumns(cols | {"word_len": (F.col("word_chars") + 0.5) / (F.col("n_words") + 1)})
 
 
-def fences(rows: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, one low and high column per metric): fences of each group of rows that have 20 words.
+def fences(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, one low and high column per metric): fences of each group of rows that have 20 words, as logarithms.
 
-    Quartiles come from the group's own sketch; a group of fewer than least_rows takes the merged sketch of its language,
-    and a language of fewer that of all rows. A fence lies ``fence`` interquartile ranges and a slack beyond the quartiles.
+    Quartiles come from the group's own sketch, mixed with those of its language as ``prior`` more rows of it would, and these with
+    those of all rows in the same way; so a group of any size has fences, and a small one leans on its language. A fence lies the
+    metric's reach of interquartile ranges beyond the quartiles; the range is taken two buckets wider, as a quartile is known to a bucket.
     """
     names = [m[0] for m in METRICS]
     values = rows.where(F.col("n_words") >= LEAST_WORDS).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in names])).alias("v")).select("lang", "source", "v.metric", "v.x")
     own = cut(quantile_sketches(values, ["lang", "source", "metric"]))
     quartiles = {"q1": 0.25, "q3": 0.75}
-    levels = []
-    for keys in (["lang", "source", "metric"], ["lang", "metric"], ["metric"]):
+    out = rows.select("lang", "source").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, names)))).alias("g")
+    mixed = {q: F.lit(None).cast("double") for q in quartiles}
+    for k, keys in enumerate((["metric"], ["lang", "metric"], ["lang", "source", "metric"])):
         merged = own if len(keys) == 3 else own.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-        levels.append(sketch_quantiles(merged, keys, quartiles))
-    groups = rows.select("lang", "source").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, names))))
-    out = groups.alias("g")
-    for k, (level, keys) in enumerate(zip(levels, (["lang", "source", "metric"], ["lang", "metric"], ["metric"]), strict=True)):
-        level = level.select(*[F.col(c).alias(f"{c}_{k}") for c in (*keys, "rows", "q1", "q3")])
-        on = [F.col(f"g.{c}").eqNullSafe(F.col(f"{c}_{k}")) for c in keys]
-        out = out.join(level, on, "left")
-    enough = lambda k: F.coalesce(F.col(f"rows_{k}"), F.lit(0)) >= least_rows
-    pick = lambda q: F.when(enough(0), F.col(f"{q}_0")).when(enough(1), F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
-    out = out.select("g.lang", "g.source", "g.metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for m in METRICS for x in (m[0], m[2])]), F.col("metric"))
-    reach = fence * (F.col("q3") - F.col("q1")) + slack
+        level = sketch_quantiles(merged, keys, quartiles).select(*[F.col(c).alias(f"{c}_{k}") for c in (*keys, "rows", "q1", "q3")])
+        out = out.join(level, [F.col(f"g.{c}").eqNullSafe(F.col(f"{c}_{k}")) for c in keys], "left")
+        n = F.coalesce(F.col(f"rows_{k}"), F.lit(0))
+        mixed = {q: F.col(f"{q}_{k}") if not k else F.when(n > 0, (n * F.col(f"{q}_{k}") + prior * above) / (n + prior)).otherwise(above) for q, above in mixed.items()}
+    out = out.select("g.lang", "g.source", "g.metric", *[x.alias(q) for q, x in mixed.items()])
+    reach = F.element_at(F.create_map(*[F.lit(x) for m in METRICS for x in (m[0], m[4])]), F.col("metric")) * (F.col("q3") - F.col("q1") + 2 * WIDTH)
     out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     agg = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in names for side in ("low", "high")]
     return out.groupBy("lang", "source").agg(*agg)
 
 
-def judge(docs: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(doc_id, lang, source, counts, metrics, base_failed, reasons, kept) for each row of docs.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows found twice. kept: not
-    base_failed and every metric inside its group's fences. reasons lists the broken fences. Null texts have no
-    words; null lang and source are groups of their own; repeated rows are judged each; extra columns are ignored.
+    base_failed and every metric inside its group's fences; a value at a fence, or at one of equal values, is inside. reasons lists the
+    broken fences. Null texts have no words; null lang and source are groups of their own; repeated rows are judged each; extra
+    columns are ignored; an empty table gives an empty result. Texts are counted whole, a text longer than a pass in one of its own.
     """
     rows = cut(measured(docs))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = shares(rows).withColumn("base_failed", base)
-    limits = fences(rows, fence, least_rows).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    limits = fences(rows, prior).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     out = rows.join(limits, rows["lang"].eqNullSafe(F.col("lang_")) & rows["source"].eqNullSafe(F.col("source_")), "left")
     broken = []
-    for m, sides, _ in METRICS:
-        broken.append(F.when(F.col(m) > F.col(f"{m}_high"), F.lit(f"{m} high")))
+    for m, _, _, sides, _ in METRICS:
+        broken.append(F.when(F.log(m) > F.col(f"{m}_high"), F.lit(f"{m} high")))
         if sides == "both":
-            broken.append(F.when(F.col(m) < F.col(f"{m}_low"), F.lit(f"{m} low")))
+            broken.append(F.when(F.log(m) < F.col(f"{m}_low"), F.lit(f"{m} low")))
     out = out.withColumn("reasons", F.array_compact(F.array(*broken))).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[m[0] for m in METRICS], "base_failed", "reasons", "kept")
