@@ -66,3 +66,23 @@ def test_empty(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     one = mixing.mix(frame(spark, [(1, None, *[None] * 8)])).collect()
     assert one[0]["size"] == 0 and one[0]["target"] == 0
+
+
+def test_rows_with_repeated_or_no_ids_and_clashing_columns(spark):
+    words = lambda n, w: " ".join([w] * n)
+    rows = [(7, words(10, "a"), "s", 1, "x")] * 4 + [(None, words(20, "b"), "s", 2, "y"), (None, words(20, "c"), "t", 2, "y"), (8, None, "t", 3, "z"), (9, words(50, "d"), None, 4, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, own_id string")
+    plan = mixing.mix(df).collect()
+    assert len(plan) == len(rows)
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    taken, want = defaultdict(int), defaultdict(int)
+    for r in got.collect():
+        taken[r["source"]] += len((r["text"] or "").split())
+        assert tuple(r) in set(rows)
+    for r in plan:
+        want[r["source"]] += r["size"] * r["copies"]
+    assert {s: n for s, n in taken.items() if n} == {s: n for s, n in want.items() if n}
+    assert sum(r["doc_id"] is None for r in got.collect()) == sum(r["copies"] for r in plan if r["doc_id"] is None)
+    again = sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+    assert sorted(map(str, plan)) == again

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.sparktools import cut
+from tidewell.llm.sparktools import cut, unused, written
+from tidewell.operators.sequence import global_ordinal
 
 #: The weights that sources take in turn, the share of all words, copies of a document at most.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -26,8 +27,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     others until none is above. One row per source: all steps but two sums stay on the executors.
     """
     per = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
+    per = global_ordinal(per, [F.col("source").asc_nulls_last()], "rank")
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
     per = cut(per.withColumn("top", F.col("source_size") * F.lit(most)).withColumn("full", F.lit(False)))
     total = per.agg(F.sum("source_size")).first()[0] or 0
     full = 0
@@ -70,32 +71,35 @@ def pivot(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return part
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix repeats each document.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, fan_in: int = FAN_IN, key: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often the mix repeats each document; with ``key``, that column as well.
 
     A document's expected copies are its source's target / source_size; the whole part is kept and the
     fraction rounded by pivotal dependent rounding: groups of about ``fan_in`` rows of a source are
     rounded to one fractional row at most, and those rows meet in the next level of the tree, until a
     source has one, which a hash rounds. So a source takes its target to within about one document.
     A hot source is dealt over many groups. Size 0, null text included: never rounded, 1 copy at most.
-    Rows equal in doc_id are told apart by their order in the group; equal ones are interchangeable.
-    Null sources are one source; an empty table gives an empty result. Reruns agree: all draws are
-    hashes of seed and doc_id.
+    Rows that repeat a doc_id, or have none, are rounded each on its own, in the order of hashes of their texts; rows equal in text as
+    well are interchangeable. Null sources are one source; an empty table gives an empty result; extra columns are ignored. Reruns
+    agree: all draws are hashes of seed, doc_id and text. A very long text counts whole and is taken like any other, so a
+    source comes to within it of its target.
     """
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sizes = cut(docs.select("doc_id", "source", n_words.alias("size")))
+    own = [F.monotonically_increasing_id().alias("key")] if key is None else [F.col(key).alias("key")]
+    sizes = cut(docs.select("doc_id", "source", n_words.alias("size"), F.xxhash64("text").alias("digest"), *own))
     targets = cut(source_targets(sizes, weights, share, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.join(F.broadcast(targets) if targets.count() < 10_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("base", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio))
-    # equal doc_ids get different keys through a count of them, so that each row rounds on its own
-    rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
+    rows = cut(rows)
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
-    schema = "source string, key long, doc_id long, size long, part double, n_docs long"
+    schema = "source string, key long, doc_id long, digest long, size long, part double, n_docs long"
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "key"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "digest", "key"], kind="stable").reset_index(drop=True)
         ids = pdf["doc_id"].fillna(-1).to_numpy(np.int64).view(np.uint64)
+        again = pdf.groupby(["doc_id", "digest"], dropna=False).cumcount().to_numpy(np.uint64)  # equal rows draw differently
+        ids = ids ^ np.where(again > 0, pdf["digest"].to_numpy(np.int64).view(np.uint64) + again, np.uint64(0))
         z = (ids + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z ^= z >> np.uint64(27)
@@ -103,10 +107,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         pdf["part"] = pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), draw)
         return pdf
 
-    open_rows, done, per_group = rows.where("part > 0 and size > 0").select("source", "key", "doc_id", "size", "part", "n_docs"), [], fan_in
+    open_rows, done, per_group = rows.where("part > 0 and size > 0").select("source", "key", "doc_id", "digest", "size", "part", "n_docs"), [], fan_in
     while True:
         groups = F.ceil(F.col("n_docs") / F.lit(per_group))
-        dealt = open_rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed + per_group)), groups))
+        dealt = open_rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "digest", F.lit(seed + per_group)), groups))
         rounded = cut(dealt.groupBy("source", "g").applyInPandas(lambda pdf: level(pdf.drop(columns="g")), schema))
         whole = (F.col("part") == 0) | (F.col("part") == 1)
         done.append(rounded.where(whole))
@@ -114,16 +118,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         if per_group >= most_docs:
             break
         per_group *= fan_in
-    last = open_rows.withColumn("part", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("part")).cast("double"))
+    last = open_rows.withColumn("part", (F.pmod(F.xxhash64("doc_id", "digest", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("part")).cast("double"))
     for d in done:
         last = last.union(d)
     picked = rows.join(last.select("key", F.col("part").alias("up")), "key", "left")
     copies = F.col("base") + F.coalesce(F.col("up"), F.lit(0.0)).cast("long")
-    return picked.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.cast("long").alias("copies"))
+    return picked.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.cast("long").alias("copies"), *([] if key is None else [F.col("key").alias(key)]))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it. doc_ids must be distinct and not null."""
-    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("own_id"), F.col("copies").cast("int").alias("times"))
-    out = docs.join(copies, docs["doc_id"] == F.col("own_id"))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.expr("array_repeat(0, times)")).alias("copy_")).drop("copy_")
+    """docs, all columns, each row as often as the mix takes it; a row is any row, with or without a doc_id of its own."""
+    own, times = unused("row_", docs), unused("times", docs)
+    rows = written(docs.withColumn(own, F.monotonically_increasing_id()))  # kept, so that a row has one number in both uses
+    copies = mix(rows, key=own, **how).where("copies > 0").select(own, F.col("copies").cast("int").alias(times))
+    out = rows.join(copies, own)
+    return out.withColumn(own, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

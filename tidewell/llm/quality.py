@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.llm.bytestext import Texts, firsts, mix, passes, substring_hash
 from tidewell.llm.neural import Adam, temperature
-from tidewell.llm.sparktools import arrow_batches, released
+from tidewell.llm.sparktools import arrow_batches, released, unused
 
 #: Buckets that words are hashed to, dimensions, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
@@ -199,10 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(texts.rows.start, len(texts)) for k in (0, 1)), flat], ["doc_id", "quality", "pool"])
 
-    chosen = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-    got = chosen.mapInArrow(run, "doc_id long, quality int, pool array<double>").collect()  # the bounded sample
-    one = {r[0]: r for r in sorted(got, key=lambda r: (r[0], list(r[2])), reverse=True)}
-    got = [one[i] for i in sorted(one)]
+    # of rows that repeat a doc_id one is left before anything is collected: ``sample`` rows at most
+    chosen = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = sorted(chosen.mapInArrow(run, "doc_id long, quality int, pool array<double>").collect(), key=lambda r: r[0])
     return vectors, fit(np.array([r[2] for r in got], float).reshape(len(got), POOL), np.array([r[1] for r in got], int))
 
 
@@ -227,8 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     """(doc_id, held_out, score, predicted): a quality score for each row of docs from its text alone.
 
     Null and empty texts have zero pools and are scored like any other; rows with a null doc_id are scored too;
-    repeated rows score alike; extra columns are ignored; an empty table gives an empty result, and without
-    labels of both classes all scores are the smoothed share of label 1.
+    repeated rows score alike, as do equal texts; extra columns are ignored; an empty table gives an empty result, and without
+    labels of both classes all scores are the smoothed share of label 1. A text is pooled whole, whatever its length.
     """
     vectors, net = learn(docs, labels, folds, fold, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,7 +238,5 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
 def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = CUT, **how) -> DataFrame:
     """The rows of docs, all columns, that the classifier doesn't reject (score >= cut_at)."""
     vectors, net = learn(docs, labels, **how)
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = unused("score", docs)
     return scored(docs, vectors, net, name).where(F.col(name) >= cut_at).drop(name)
