@@ -13,6 +13,10 @@ def test_paste_projection(spark):
     assert spans.project_pastes("abPASTEcd", 10, [{"start": 12, "text": "PASTE", "paste_id": "p"}]) == ([{"type": "authored_text", "content": "ab", "paste_id": None}, {"type": "paste", "content": "PASTE", "paste_id": "p"}, {"type": "authored_text", "content": "cd", "paste_id": None}], None)
     assert spans.project_pastes("abc", 0, [{"start": 1, "text": "zz", "paste_id": "p"}])[1] == "paste_span_not_preserved"
     assert spans.project_pastes("aaaa", 0, [{"start": 0, "text": "aaa", "paste_id": "p"}, {"start": 1, "text": "aaa", "paste_id": "q"}])[1] == "paste_spans_overlap"
+    # an empty span, and a lost one after two that overlap, are not preserved
+    assert spans.project_pastes("aaaa", 0, [{"start": 1, "text": "", "paste_id": "p"}])[1] == "paste_span_not_preserved"
+    assert spans.project_pastes("aaaa", 0, [{"start": 0, "text": "aaa", "paste_id": "p"}, {"start": 1, "text": "aaa", "paste_id": "q"}, {"start": 3, "text": "zz", "paste_id": "r"}])[1] == "paste_span_not_preserved"
+    assert [x["paste_id"] for x in spans.project_pastes("abab", 5, [{"start": 7, "text": "ab", "paste_id": "q"}, {"start": 5, "text": "ab", "paste_id": "p"}])[0]] == ["p", "q"]
     # a repeated payload is placed by its offset
     df = spark.sql("select 'xx' as i, 0 as o, array(named_struct('start', 1, 'text', 'x', 'paste_id', 'p')) as s")
     r = df.select(spans.paste_segments("i", "o", "s").alias("r")).select("r.*").withColumn("m", spans.merged_segments(F.concat("segments", "segments"))).first()
@@ -21,10 +25,31 @@ def test_paste_projection(spark):
     assert [s["content"] for s in two.select(spans.merged_segments(F.col("s")).alias("m")).first()["m"]] == ["ab"]
 
 
+def by_hand(text, parts):
+    """All ways to cover the text, one part after the other."""
+    if not parts:
+        return [[]] if not text else []
+    known = parts[0]["content"] is not None
+    sizes = [len(parts[0]["content"])] if known else range(1, len(text) + 1)
+    return [[n, *rest] for n in sizes if not known or text.startswith(parts[0]["content"]) for rest in by_hand(text[n:], parts[1:])]
+
+
 def test_unique_segmentation(spark):
-    df = spark.createDataFrame([("a-b-a", ["a", "b"]), ("aXa", ["a"]), ("abc", ["c", "a"])], "t string, p array<string>")
+    a = lambda x: {"type": "authored_text", "content": x}
+    p = lambda x=None: {"type": "paste", "content": x}
+    rows = [("a-b-a", [a("a"), p(), a("-a")]), ("XaY", [a("a")]), ("a-b-a", [a("a"), p("-"), a("b")]), ("aXaYa", [a("a"), p(), a("a"), p(), a("a")]), ("aaaaa", [p(), a("a"), p()]), ("ab", [p(), p()]), ("", [])]
+    df = spark.createDataFrame(rows, "t string, p array<struct<type:string,content:string>>")
     got = [tuple(r["u"]) for r in df.select(spans.unique_segmentation("t", "p").alias("u")).collect()]
-    assert got == [([0, 2], None), (None, "ambiguous_segmentation"), (None, "no_segmentation")]
+    bad = (None, "no_segmentation")
+    assert got == [([0, 1, 3], None), bad, bad, ([0, 1, 2, 3, 4], None), (None, "ambiguous_segmentation"), bad, ([], None)]
+    for text in map("".join, itertools.product("ab", repeat=5)):
+        for parts in ([a("a"), p(), a("b")], [p(), a("ab"), p()], [p(), a("a"), p("b"), a("a")], [p("ab"), p(), a("")]):
+            ways = by_hand(text, parts)
+            got = spans.segmentations(text, parts, 99)
+            assert sorted([e - s for s, e in x] for x in got) == sorted(ways)
+            assert len(spans.segmentations(text, parts)) == min(2, len(ways))
+    # no way, and no exponential search for one
+    assert spans.segmentations("a" * 400 + "b", [x for _ in range(30) for x in (p(), a("a"))]) == []
 
 
 def test_equivalent_edits_against_all_offsets(spark):
@@ -34,6 +59,11 @@ def test_equivalent_edits_against_all_offsets(spark):
                 after = before[:at] + new + before[at:]
                 want = [k for k in range(5) if before[:k] + after[k : k + len(new)] + before[k:] == after]
                 assert spans.equivalent_edits(before, at, "", new) == want
+    for before, at, old, new in (("xabab", 1, "ab", "ab"), ("aab", 0, "a", "ba"), ("abcabc", 3, "abc", "")):
+        after = before[:at] + new + before[at + len(old) :]
+        want = [k for k in range(len(before) - len(old) + 1) if before[:k] + after[k : k + len(new)] + before[k + len(old) :] == after]
+        assert spans.equivalent_edits(before, at, old, new) == want
+    assert len(spans.equivalent_edits("a" * 2000, 1000, "", "a")) == 2001 and spans.equivalent_edits("a" * 3000, 1500, "", "a") is None
     df = spark.createDataFrame([("aaa", 3, "", "a", 2.0), ("aaa", 3, "", "a", 1.5)], "b string, o int, r string, i string, c double")
     assert [r["x"] for r in df.select(spans.grounded_offset("b", "o", "r", "i", "c").alias("x")).collect()] == [1, None]
 

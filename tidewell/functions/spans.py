@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import json
 from functools import wraps
+from itertools import groupby
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,21 +39,25 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def project_pastes(inserted: str, offset: int, spans: list[dict]) -> tuple[list[dict], str | None]:
     """The segments of an insertion at ``offset`` in which proven paste spans (start, text, paste_id, in the final text) lie whole.
 
-    Returns (segments, None), or ([], reason) if a span does not stand there or two overlap.
+    Returns (segments, None), or ([], reason): a span that is empty or does not stand at its place is named before any two that overlap.
     """
-    out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["paste_id"])):
+    owner = [None] * len(inserted)  # each character's span
+    begins = {}
+    for s in spans:
         lo = s["start"] - offset
-        if lo < 0 or inserted[lo : lo + len(s["text"])] != s["text"]:
+        if lo < 0 or not s["text"] or not inserted.startswith(s["text"], lo):
             return [], "paste_span_not_preserved"
-        if lo < at:
+    for k, s in enumerate(spans):
+        lo, size = s["start"] - offset, len(s["text"])
+        if any(x is not None for x in owner[lo : lo + size]):
             return [], "paste_spans_overlap"
-        if lo > at:
-            out.append({"type": "authored_text", "content": inserted[at:lo], "paste_id": None})
-        out.append({"type": "paste", "content": s["text"], "paste_id": s["paste_id"]})
-        at = lo + len(s["text"])
-    if at < len(inserted):
-        out.append({"type": "authored_text", "content": inserted[at:], "paste_id": None})
+        owner[lo : lo + size] = [k] * size
+        begins[k] = s
+    out = []
+    for k, run in groupby(range(len(inserted)), key=owner.__getitem__):
+        places = list(run)
+        piece = inserted[places[0] : places[-1] + 1]
+        out.append({"type": "authored_text", "content": piece, "paste_id": None} if k is None else {"type": "paste", "content": piece, "paste_id": begins[k]["paste_id"]})
     return out, None
 
 
@@ -74,53 +80,74 @@ def merged_segments(segments: Column) -> Column:
     return F.aggregate(segments, F.array().cast(SEGMENTS), step)
 
 
-def segmentations(text: str, parts: list[str], most: int = 2) -> list[list[int]]:
-    """Places at which the parts stand in text in order without overlap, the first ``most`` ways of it."""
-    out: list[list[int]] = []
+def segmentations(text: str, parts: list[dict], most: int = 2) -> list[list[tuple[int, int]]]:
+    """The first ``most`` ways to cut a text into typed parts that cover it from end to end, as (start, end) of each.
 
-    def place(k: int, at: int, so_far: list[int]) -> None:
-        if len(out) >= most:
-            return
-        if k == len(parts):
+    parts: (type, content) in order. An authored part is its content; a paste is any stretch of a character or more where its
+    content is null, else its content. The ways are counted from the end backwards, for each part and place once, so texts
+    without a way cost no more than others. Two pastes of unknown content that touch can't be told apart: no way.
+    """
+    free = [p["type"] == "paste" and p.get("content") is None for p in parts]
+    if any(x and y for x, y in zip(free, free[1:], strict=False)):
+        return []
+    size, last = len(text), len(parts)
+    # ways[k][i]: in how many ways, up to most, parts k.. cover text[i:]
+    ways = [[0] * (size + 1) for _ in range(last)] + [[0] * size + [1]]
+    for k in range(last - 1, -1, -1):
+        below = ways[k + 1]
+        if free[k]:
+            total = 0
+            for i in range(size - 1, -1, -1):
+                total = min(most, total + below[i + 1])
+                ways[k][i] = total
+        else:
+            body = parts[k]["content"] or ""
+            for i in range(size - len(body) + 1):
+                if below[i + len(body)] and text.startswith(body, i):
+                    ways[k][i] = below[i + len(body)]
+    out: list[list[tuple[int, int]]] = []
+    stack: list[tuple[int, int, list[tuple[int, int]]]] = [(0, 0, [])] if ways[0][0] else []
+    while stack and len(out) < most:
+        k, i, so_far = stack.pop()
+        if k == last:
             out.append(so_far)
-            return
-        hit = text.find(parts[k], at)
-        while hit >= 0 and len(out) < most:
-            place(k + 1, hit + len(parts[k]), [*so_far, hit])
-            hit = text.find(parts[k], hit + 1)
-
-    place(0, 0, [])
+            continue
+        ends = range(size, i, -1) if free[k] else [i + len(parts[k]["content"] or "")]
+        stack.extend((k + 1, e, [*so_far, (i, e)]) for e in ends if ways[k + 1][e])
     return out
 
 
 @over_columns("struct<places:array<int>,reason:string>")
 def unique_segmentation(text: pd.Series, parts: pd.Series) -> pd.DataFrame:
-    """The one way in which the parts stand in the text in order; a reason if there is none or more than one."""
-    found = [segmentations(t or "", [p for p in (x if x is not None else [])]) for t, x in zip(text, parts, strict=True)]
-    return pd.DataFrame({"places": [f[0] if len(f) == 1 else None for f in found], "reason": [None if len(f) == 1 else "no_segmentation" if not f else "ambiguous_segmentation" for f in found]})
+    """Where the parts begin in the one way to cover the text with them; a reason if there is none or more than one.
+
+    parts: an array of struct(type, content), as in segmentations.
+    """
+    found = [segmentations(t or "", [dict(p) for p in (x if x is not None else [])]) for t, x in zip(text, parts, strict=True)]
+    return pd.DataFrame({"places": [[a for a, _ in f[0]] if len(f) == 1 else None for f in found], "reason": [None if len(f) == 1 else "no_segmentation" if not f else "ambiguous_segmentation" for f in found]})
+
 
+def equivalent_edits(before: str, offset: int, removed: str, inserted: str) -> list[int] | None:
+    """All offsets at which an edit of the same sizes gives the same text, the given one included; null beyond SLIDE places on a side.
 
-def equivalent_edits(before: str, offset: int, removed: str, inserted: str) -> list[int]:
-    """All offsets at which an edit of the same sizes gives the same text, the given one included."""
+    An edit may stand wherever the texts agree before it and after it, so the places are those from the texts' common suffix to
+    their common prefix.
+    """
     after = before[:offset] + inserted + before[offset + len(removed) :]
-    out = [offset]
-    for step in (-1, 1):
-        at = offset + step
-        while 0 <= at <= len(before) - len(removed) and abs(at - offset) <= SLIDE:
-            if before[:at] + after[at : at + len(inserted)] + before[at + len(removed) :] != after:
-                break
-            out.append(at)
-            at += step
-    return sorted(out)
+    prefix, suffix = len(commonprefix([before, after])), len(commonprefix([before[::-1], after[::-1]]))
+    first, last = max(0, len(before) - len(removed) - suffix), min(prefix, len(before) - len(removed))
+    if max(offset - first, last - offset) > SLIDE:
+        return None
+    return list(range(first, last + 1))
 
 
 @over_columns("int")
 def grounded_offset(before: pd.Series, offset: pd.Series, removed: pd.Series, inserted: pd.Series, caret: pd.Series) -> pd.Series:
-    """Of the equivalent places of an edit, the one whose end is nearest to the caret; null if two are as near."""
+    """Of the equivalent places of an edit, the one whose end is nearest to the caret; null if two are as near, or if there are too many."""
 
     def one(b: str, o: int, r: str, i: str, c: float) -> int | None:
-        ends = sorted((abs(at + len(i) - c), at) for at in equivalent_edits(b, int(o), r, i))
-        return None if len(ends) > 1 and ends[0][0] == ends[1][0] else ends[0][1]
+        ends = sorted((abs(at + len(i) - c), at) for at in equivalent_edits(b, int(o), r, i) or [])
+        return None if not ends or len(ends) > 1 and ends[0][0] == ends[1][0] else ends[0][1]
 
     return pd.Series([one(*row) for row in zip(before, offset, removed, inserted, caret, strict=True)], dtype="Int32")
 

@@ -25,10 +25,6 @@ def strictly_before(keys: str | Sequence[str], at: str):
     return W.partitionBy(*_keys(keys)).orderBy(at).rangeBetween(W.unboundedPreceding, -1)
 
 
-def strictly_after(keys: str | Sequence[str], at: str):
-    return W.partitionBy(*_keys(keys)).orderBy(at).rangeBetween(1, W.unboundedFollowing)
-
-
 def prefix_digests(rows: DataFrame, key: str, at: str, text: str) -> DataFrame:
     """Adds n_context, how many texts of the key come strictly before, and context_sha256, the digest of those joined by line ends.
 
@@ -78,8 +74,12 @@ def asof_backward(rows: DataFrame, keys: str | Sequence[str], at: str, when: Col
 
 
 def asof_forward(rows: DataFrame, keys: str | Sequence[str], at: str, when: Column, value: Column, name: str) -> DataFrame:
-    """The value of the earliest row strictly after each for which ``when`` holds; of several at one time, the smallest."""
-    return rows.withColumn(name, F.min_by(F.when(when, value), F.when(when, F.struct(F.col(at), value))).over(strictly_after(keys, at)))
+    """The value of the earliest row strictly after each for which ``when`` holds; of several at one time, the smallest.
+
+    In falling order of time what comes after has gone before, so the frame grows row by row like asof_backward's.
+    """
+    after = W.partitionBy(*_keys(keys)).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(name, F.min_by(F.when(when, value), F.when(when, F.struct(F.col(at), value))).over(after))
 
 
 def neighbours(rows: DataFrame, keys: str | Sequence[str], order: Sequence[str], first: int, last: int, value: Column, name: str) -> DataFrame:
@@ -87,8 +87,26 @@ def neighbours(rows: DataFrame, keys: str | Sequence[str], order: Sequence[str],
     return rows.withColumn(name, F.collect_list(value).over(W.partitionBy(*_keys(keys)).orderBy(*order).rowsBetween(first, last)))
 
 
-def _slices(lo: Column, hi: Column, width: int) -> Column:
-    return F.sequence(F.floor(lo / width), F.floor(hi / width))
+#: How much coarser each grid of interval_join is than the one before, and how many there are.
+COARSER, GRIDS = 16, 12
+
+
+def _grid(lo: Column, hi: Column, width: int) -> Column:
+    """The first grid on which a span covers no more than COARSER + 1 slices."""
+    out = F.lit(GRIDS - 1)
+    for k in range(GRIDS - 2, -1, -1):
+        out = F.when(hi - lo <= F.lit(float(width) * COARSER ** (k + 1)), k).otherwise(out)
+    return out
+
+
+def _slices(lo: Column, hi: Column, width: int, grids: list[int]) -> Column:
+    """(grid, slice) of a span on its own grid and on all coarser ones of ``grids``."""
+    per = []
+    for g in grids:
+        size = F.lit(float(width) * COARSER**g)
+        cells = F.transform(F.sequence(F.floor(lo / size), F.floor(hi / size)), lambda s, g=g: F.struct(F.lit(g).alias("grid_"), s.alias("slice_")))
+        per.append(F.when(_grid(lo, hi, width) <= g, cells).otherwise(F.array().cast("array<struct<grid_:int,slice_:bigint>>")))
+    return F.flatten(F.array(*per))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
@@ -96,14 +114,26 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
 
     Spans are put on a grid of ``width``, so a pair is met in the slices that both cover, and kept only in the
     first of them. The join is an equality of key and slice: long keys spread over many tasks, and no key is a
-    nested loop. Choose a width near the usual span. Column names but the keys must differ.
+    nested loop. A span of many slices goes to a coarser grid instead, on which the others stand as well, so that it makes
+    some twenty rows at most, however long it is; a pair is met on the coarser one's grid. Spans that end before
+    they begin, or have no beginning or end, overlap nothing. Choose a width near the usual span. Column names but the keys must differ.
     """
     (a, b), (c, d) = left_span, right_span
-    x = left.withColumn("slice_", F.explode(_slices(F.col(a), F.col(b), width)))
-    y = right.withColumn("slice_", F.explode(_slices(F.col(c), F.col(d), width)))
-    met = x.join(y, [*keys, "slice_"])
-    first = F.floor(F.greatest(F.col(a), F.col(c)) / width)
-    return met.where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("slice_") == first)).drop("slice_")
+    sides = [left.where(F.col(a) <= F.col(b)), right.where(F.col(c) <= F.col(d))]
+    own = [_grid(F.col(a), F.col(b), width), _grid(F.col(c), F.col(d), width)]
+    used = sides[0].select(own[0].alias("g")).union(sides[1].select(own[1].alias("g"))).distinct()
+    grids = sorted(r[0] for r in used.collect())  # GRIDS rows at most
+    if not grids:
+        grids = [0]
+    x, y = (s.withColumn("cell_", F.explode(_slices(F.col(p), F.col(q), width, grids))) for s, (p, q) in zip(sides, (left_span, right_span), strict=True))
+    x, y = (t.select(*[F.col(n) for n in t.columns if n != "cell_"], "cell_.grid_", "cell_.slice_") for t in (x, y))
+    met = x.join(y, [*keys, "grid_", "slice_"])
+    size = F.lit(1.0)
+    for g in grids:
+        size = F.when(F.col("grid_") == g, F.lit(float(width) * COARSER**g)).otherwise(size)
+    first = F.floor(F.greatest(F.col(a), F.col(c)) / size)
+    here = F.greatest(_grid(F.col(a), F.col(b), width), _grid(F.col(c), F.col(d), width)) == F.col("grid_")
+    return met.where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & here & (F.col("slice_") == first)).drop("grid_", "slice_")
 
 
 def superseded_reads(reads: DataFrame, writes: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
