@@ -70,7 +70,7 @@ def brute(t, mixer, counts):
     seen = np.zeros((*start.shape, 2))
     total, block, waiting = 0.0, 0, []
     for i, s in enumerate([*t, mixlm.END]):
-        b = 0 if i < 32 else (i // 32).bit_length() if i < 1024 else 5 + i // 1024
+        b = 0 if i < 32 else (i // 32).bit_length() if i < mixlm.BLOCK else (mixlm.BLOCK // 32).bit_length() - 1 + i // mixlm.BLOCK
         if b != block:
             block = b
             step = mixlm.RATE / np.sqrt(np.bincount([g for g, *_ in waiting], minlength=mixlm.GATES) + 1.0)
@@ -122,9 +122,10 @@ def test_probabilities_of_all_first_symbols_sum_to_one():
     for s in range(257):
         log = 0.0
         for i in range(begin[s], begin[s] + mixer.code.size[s]):
-            z = float(mixer.weights[known.gate[i]] @ known.odds[:, i])
-            q = (mixlm.squash(z) + mixer.refined[known.gate[i], mixlm.cell_of(np.array([z]))[0]]) / 2
-            log += math.log(q if known.bit[i] else 1 - q)
+            bit, gate = divmod(int(known.rows[i, -1]), mixlm.GATES)
+            z = float(mixer.weights[gate] @ known.rows[i, :-1])
+            q = (mixlm.squash(z) + mixer.refined[gate, mixlm.cell_of(np.array([z]))[0]]) / 2
+            log += math.log(q if bit else 1 - q)
         p += math.exp(log)
     assert abs(p - 1) < 1e-9
 

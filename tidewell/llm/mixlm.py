@@ -31,7 +31,7 @@ GATES = len(GATE_FROM)
 #: What is added to the counts of both outcomes; cells of the refining table per gate, their width in log-odds; the rows that a trained cell counts for in a text.
 ADDED, CELLS, CELL_WIDTH, PRIOR = 0.05, 24, 0.75, 40.0
 #: Symbols of a text before its first update, and between two once their number has doubled to that; the step of an update.
-FIRST_BLOCK, BLOCK, RATE = 32, 1024, 0.01
+FIRST_BLOCK, BLOCK, RATE = 32, 8192, 0.01
 #: Rounds of fitting the weights that a text starts with, and what those are before.
 ROUNDS, START = 3, 0.4
 #: Bytes that a numpy pass takes in scoring, small enough for its arrays to stay in cache.
@@ -146,7 +146,9 @@ def cell_of(z: np.ndarray) -> np.ndarray:
 
 def squash(z: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-z))
+        p = np.exp(-z)
+        p += 1
+        return 1 / p
 
 
 @dataclass
@@ -175,7 +177,8 @@ class Predictors:
             place, total = summed([place], [np.repeat(counts[own], n)])
             self.tables.append((known, np.append(place, [-1, -1]), np.append(total, [0, 0])))
         self.pair, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used, self.odds, self.gate, self.bit = 0, np.zeros((len(orders), 1024), np.float32), np.zeros(1024, np.uint8), np.zeros(1024, np.int8)
+        # a row for each decision: the log-odds by order, then its gate and above it the outcome
+        self.used, self.rows = 0, np.zeros((1024, len(orders) + 1), np.float32)
 
     def counts(self, number: int, context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often both outcomes came at nodes in contexts of an order; 0 for those never seen."""
@@ -197,18 +200,18 @@ class Predictors:
         if len(new):
             n, path = self.code.decisions(pair[new] & ((1 << SYMBOL_BITS) - 1))
             end = self.used + len(path)
-            if end > len(self.gate):
-                more = 2 * end - len(self.gate)
-                self.odds, self.gate, self.bit = np.pad(self.odds, ((0, 0), (0, more))), np.pad(self.gate, (0, more)), np.pad(self.bit, (0, more))
-            part = slice(self.used, end)
+            if end > len(self.rows):
+                self.rows = np.pad(self.rows, ((0, 2 * end - len(self.rows)), (0, 0)))
             top, node = np.repeat(pair[new] >> SYMBOL_BITS, n), self.code.node[path]
             for number in range(len(self.orders)):
                 zeros, ones = self.counts(number, shorter(top, number, self.orders) if number < len(self.orders) - 1 else top, node)
-                self.odds[number, part] = odds(zeros, ones)
-            self.gate[part], self.bit[part] = gate_of(zeros + ones), self.code.bit[path]
+                self.rows[self.used : end, number] = odds(zeros, ones)
+            self.rows[self.used : end, -1] = gate_of(zeros + ones) + GATES * self.code.bit[path]
             self.pair, self.begin = np.insert(self.pair, at[new], pair[new]), np.insert(self.begin, at[new], self.used + np.cumsum(n) - n)
             self.used = end
-            at = np.searchsorted(self.pair, pair)
+            fresh_ones = np.zeros(len(pair), np.int64)
+            fresh_ones[new] = 1
+            at += np.cumsum(fresh_ones) - fresh_ones  # as many came in before it
         return self.begin[at]
 
 
@@ -228,52 +231,61 @@ def score_texts(texts: Texts, mixer: Mixer, predictors: Predictors) -> np.ndarra
     code, many = mixer.code, len(texts)
     lens = texts.ends - texts.starts + 1
     text = np.repeat(np.arange(many), lens)
-    block = block_of(np.arange(len(text)) - np.repeat(texts.starts, lens))
-    by_block = np.argsort(block, kind="stable")
-    text = text[by_block]
+    block, last = block_of(np.arange(len(text)) - np.repeat(texts.starts, lens)), np.repeat(block_of(lens - 1), lens)
+    # by block, and in it first the texts that have another one: they go on learning
+    turn = 2 * block + (block == last)
+    by_turn = np.argsort(turn, kind="stable")
+    text, turn = text[by_turn], turn[by_turn]
     symbols = symbols_of(texts)
-    pair, which = np.unique((context_keys(texts, predictors.orders)[-1] << SYMBOL_BITS | symbols)[by_block], return_inverse=True)
-    n = code.size[symbols[by_block]]
-    at = np.arange(n.sum())
-    at += np.repeat(predictors.find(pair)[which] - np.cumsum(n) + n, n)
-    x, bit = [o[at] for o in predictors.odds], predictors.bit[at]
+    pair, which = np.unique((context_keys(texts, predictors.orders)[-1] << SYMBOL_BITS | symbols)[by_turn], return_inverse=True)
+    n = code.size[symbols[by_turn]]
+    to = np.cumsum(n)
+    at = np.arange(to[-1])
+    at += np.repeat(predictors.find(pair)[which] - to + n, n)
+    rows = predictors.rows.take(at, axis=0)
+    x, gate = rows.T[:-1], rows[:, -1].astype(np.int64)
+    bit = (gate >= GATES).astype(np.int8)
     group = np.repeat(text * GATES, n)
-    group += predictors.gate[at]
-    # where each block ends, and where a text begins in one
-    turns = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (np.diff(block[by_block]) != 0))))
-    at, ends = (np.cumsum(n) - n)[turns], np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.bincount(block))]
-    of = text[turns]
+    group += gate & (GATES - 1)
+    # where each turn ends, and where a text begins in one
+    ends = np.append(0, to)[np.cumsum(np.bincount(turn, minlength=2 * (int(turn[-1]) // 2) + 2))].reshape(-1, 2)
+    begins = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (turn[1:] != turn[:-1]))))
+    own, of = (to - n)[begins], text[begins]
     weights = [np.tile(w, many) for w in mixer.weights.T.astype(np.float32)]
     start = np.tile(mixer.refined.ravel(), many)
     refined, seen = start.astype(np.float32), np.zeros((len(start), 2))
     out, begin = np.zeros(many), 0
-    for k, end in enumerate(ends.tolist()):
+    for middle, end in ends.tolist():
         part = slice(begin, end)
-        g, b = group[part], bit[part]
-        own = [c[part] for c in x]
-        z = weights[0][g] * own[0]
-        for w, c in zip(weights[1:], own[1:], strict=True):
-            z += w[g] * c
+        g = group[part]
+        z = weights[0].take(g)
+        z *= x[0][part]
+        for w, c in zip(weights[1:], x[1:], strict=True):
+            more = w.take(g)
+            more *= c[part]
+            z += more
         cell = g * CELLS
         cell += cell_of(z)
         p = squash(z)
-        q = refined[cell]
+        q = refined.take(cell)
         q += p
         q *= 0.5
-        some = slice(*np.searchsorted(at, (begin, end)))
-        out[of[some]] += np.add.reduceat(np.log(np.abs(q - (1 - b))), at[some] - begin, dtype=np.float64)
+        q -= 1 - bit[part]
+        some = slice(*np.searchsorted(own, (begin, end)))
+        out[of[some]] += np.add.reduceat(np.log(np.abs(q, out=q), out=q), own[some] - begin, dtype=np.float64)
+        go = middle - begin
+        if go:
+            b, g, cell = bit[begin:middle], g[:go], cell[:go]
+            cell <<= 1
+            cell |= b
+            new = np.bincount(cell, minlength=2 * len(start)).reshape(-1, 2)
+            seen += new
+            step = RATE / np.sqrt(new.reshape(len(weights[0]), -1).sum(axis=1) + 1.0)
+            err = b - p[:go]
+            for w, c in zip(weights, x, strict=True):
+                w += step * np.bincount(g, err * c[begin:middle], len(w))
+            refined = ((seen[:, 1] + PRIOR * start) / (seen[:, 0] + seen[:, 1] + PRIOR)).astype(np.float32)
         begin = end
-        if k == len(ends) - 1:
-            break
-        cell <<= 1
-        cell |= b
-        new = np.bincount(cell, minlength=2 * len(start)).reshape(-1, 2)
-        seen += new
-        step = RATE / np.sqrt(new.reshape(len(weights[0]), -1).sum(axis=1) + 1.0)
-        err = b - p
-        for w, c in zip(weights, own, strict=True):
-            w += step * np.bincount(g, err * c, len(w))
-        refined = ((seen[:, 1] + PRIOR * start) / (seen.sum(axis=1) + PRIOR)).astype(np.float32)
     return out / np.log(10)
 
 
