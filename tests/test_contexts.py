@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewell.operators import causal
 from tidewell.plans import catalog
 
 
@@ -55,3 +57,25 @@ def test_context_digests_against_brute_force_without_collected_texts(spark, conv
     got = catalog.causal_context(spark, path)
     assert pairs_free(got)
     assert {(r["conv_id"], r["turn"]): (r["n_context"], r["context_sha256"]) for r in got.collect()} == want
+
+
+def test_long_spans_meet_short_ones_on_coarser_grids(spark):
+    r = random.Random(3)
+
+    def span():
+        lo = r.randrange(10**6)
+        return lo, lo + r.choice([0, 5, 90, 4000, 70_000, 10**9])
+
+    a = [(k % 2, k, *span()) for k in range(60)] + [(0, 100, 5, 4), (0, 101, None, 4)]
+    b = [(k % 2, k, *span()) for k in range(60)] + [(0, 100, 9, 2)]
+    x = spark.createDataFrame(a, "k int, i int, a long, b long")
+    y = spark.createDataFrame(b, "k int, j int, c long, d long")
+    want = {(i, j) for k, i, lo, hi in a for m, j, at, to in b if k == m and lo is not None and lo <= hi and at <= to and lo <= to and at <= hi}
+    got = [tuple(r) for r in causal.interval_join(x, y, ["k"], ("a", "b"), ("c", "d"), 10).select("i", "j").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_forward_asof_grows_with_one_key_alone(spark):
+    rows = spark.range(30_000).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 50 == 0).alias("w"))
+    got = causal.asof_forward(rows, "k", "t", F.col("w"), F.col("t"), "next").where("next is not null")
+    assert got.agg(F.count("*"), F.max(F.col("next") - F.col("t"))).first()[:] == (29_950, 50)

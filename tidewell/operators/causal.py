@@ -99,14 +99,16 @@ def _grid(lo: Column, hi: Column, width: int) -> Column:
     return out
 
 
+def _cells(lo: Column, hi: Column, width: int, grid: int) -> Column:
+    """(grid_, slice_) of a span on one grid."""
+    size = F.lit(float(width) * COARSER**grid)
+    return F.transform(F.sequence(F.floor(lo / size), F.floor(hi / size)), lambda s: F.struct(F.lit(grid).alias("grid_"), s.alias("slice_")))
+
+
 def _slices(lo: Column, hi: Column, width: int, grids: list[int]) -> Column:
-    """(grid, slice) of a span on its own grid and on all coarser ones of ``grids``."""
-    per = []
-    for g in grids:
-        size = F.lit(float(width) * COARSER**g)
-        cells = F.transform(F.sequence(F.floor(lo / size), F.floor(hi / size)), lambda s, g=g: F.struct(F.lit(g).alias("grid_"), s.alias("slice_")))
-        per.append(F.when(_grid(lo, hi, width) <= g, cells).otherwise(F.array().cast("array<struct<grid_:int,slice_:bigint>>")))
-    return F.flatten(F.array(*per))
+    """The cells of a span on its own grid and on all coarser ones of ``grids``."""
+    none = F.array().cast("array<struct<grid_:int,slice_:bigint>>")
+    return F.flatten(F.array(*[F.when(_grid(lo, hi, width) <= g, _cells(lo, hi, width, g)).otherwise(none) for g in grids]))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:

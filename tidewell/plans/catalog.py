@@ -202,8 +202,8 @@ SELECT event_id, count(*) FILTER (p.t IS NOT NULL) AS n_linked, coalesce(sum(p.v
   SELECT e.event_id, p.t, p.value FROM {STREAM} e LEFT JOIN {STREAM} p ON e.is_write AND p.user_id = e.user_id AND p.t < e.t AND p.t >= e.t - {24 * HOUR}
   WHERE e.is_write) p GROUP BY event_id
 """)
-def fast_start_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each write: the events of the day before it, and whether they carry enough."""
+def day_before_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each write: the events of the day before it, and whether they carry enough, as a range frame."""
     w = W.partitionBy("user_id").orderBy("t").rangeBetween(-24 * HOUR, -1)
     rows = stream(spark, sf_dir).withColumn("n_linked", F.count("*").over(w)).withColumn("reached", F.coalesce(F.sum("value").over(w), F.lit(0.0)) > 100)
     return rows.where("is_write").select("event_id", "n_linked", "reached")
@@ -299,33 +299,32 @@ def word_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_words"), ((n >= 6) & (F.length("text") >= 40)).alias("is_substantive"))
 
 
-ASCII_PAIRS = f"(SELECT * FROM {PAIRS} WHERE regexp_full_match(text || before, '[\\x00-\\x7F]*'))"
-
-
-def ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_pairs(spark, sf_dir).where(F.concat("text", "before").rlike(r"^[\x00-\x7F]*$"))
+#: SQL's levenshtein counts bytes. Texts of a pair are spelled anew, a byte from 1 on for each different character of the two, which
+#: leaves distances in characters as they are; no pair has more than 127 different ones.
+SPELLED = f"""(SELECT *, (SELECT string_agg(chr(list_position(a, c)::INT), '' ORDER BY i) FROM (SELECT unnest(str_split(text, '')) AS c, generate_subscripts(str_split(text, ''), 1) AS i)) AS t1,
+  (SELECT string_agg(chr(list_position(a, c)::INT), '' ORDER BY i) FROM (SELECT unnest(str_split(before, '')) AS c, generate_subscripts(str_split(before, ''), 1) AS i)) AS b1
+  FROM (SELECT *, list_distinct(str_split(text || before, '')) AS a FROM {PAIRS}))"""
+SCORED = f"""(SELECT *, levenshtein(coalesce(b1, ''), coalesce(t1, '')) AS d, greatest(length(before), length(text)) AS m,
+  (SELECT coalesce(max(i), 0) FROM range(1, least(length(before), length(text)) + 1) r(i) WHERE left(before, i) = left(text, i)) AS p FROM {SPELLED})"""
 
 
 @query(f"""
-SELECT conv_id, turn, levenshtein(before, text) AS distance, round(1 - levenshtein(before, text) / greatest(length(before), length(text)), 9) AS similarity,
-  before = text AS exact, (SELECT coalesce(max(i), 0) FROM range(1, least(length(before), length(text)) + 1) r(i) WHERE left(before, i) = left(text, i)) AS prefix FROM {ASCII_PAIRS}
+SELECT conv_id, turn, d AS distance, round(CASE WHEN m = 0 THEN 1.0 ELSE 1 - d / m END, 9) AS similarity, before = text AS exact, p AS prefix FROM {SCORED}
 """)
 def prediction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn scored as a prediction of the next. Distances are in code points; SQL's are in bytes, so ASCII turns are taken."""
-    rows = scorecard.row_scores(ascii_pairs(spark, sf_dir), "text", "before")
+    """Each turn scored as a prediction of the next; distances are in code points."""
+    rows = scorecard.row_scores(turn_pairs(spark, sf_dir), "text", "before")
     return rows.select("conv_id", "turn", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity"), "exact", "prefix")
 
 
 @query(f"""
-WITH s AS (SELECT *, levenshtein(before, text) AS d, greatest(length(before), length(text)) AS m,
-  (SELECT coalesce(max(i), 0) FROM range(1, least(length(before), length(text)) + 1) r(i) WHERE left(before, i) = left(text, i)) AS p,
-  turn // 3 AS block FROM {ASCII_PAIRS})
-SELECT role, block, count(*) AS n, count(*) FILTER (before = text) AS n_exact, round(avg(1 - d / m), 9) AS macro_similarity, round(1 - sum(d) / sum(m), 9) AS micro_similarity,
+WITH s AS (SELECT *, turn // 3 AS block FROM {SCORED})
+SELECT role, block, count(*) AS n, count(*) FILTER (before = text) AS n_exact, round(avg(CASE WHEN m = 0 THEN 1.0 ELSE 1 - d / m END), 9) AS macro_similarity, round(1 - sum(d) / sum(m), 9) AS micro_similarity,
   round(sum(p) / sum(length(text)), 9) AS micro_prefix_coverage FROM s GROUP BY GROUPING SETS ((role), (role, block))
 """)
 def scorecard_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scorecard of each role, whole and by block of turns, in one pass."""
-    rows = scorecard.row_scores(ascii_pairs(spark, sf_dir), "text", "before").withColumn("block", F.floor(F.col("turn") / 3))
+    rows = scorecard.row_scores(turn_pairs(spark, sf_dir), "text", "before").withColumn("block", F.floor(F.col("turn") / 3))
     out = scorecard.by_strata(rows, "role", "block")
     return out.select("role", "block", "n", "n_exact", *[F.round(c, 9).alias(c) for c in ("macro_similarity", "micro_similarity", "micro_prefix_coverage")])
 
@@ -390,14 +389,14 @@ def multi_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS session FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 37 = 0),
+WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS session FROM orders WHERE o_orderstatus = 'F'),
 b AS (SELECT session, lead(session) OVER (ORDER BY session) AS following FROM m)
 SELECT strftime(session, '%Y-%m-%d') AS session, 'event' AS block_type, CAST(NULL AS VARCHAR) AS before_at FROM b
 UNION ALL SELECT strftime(session, '%Y-%m-%d'), 'gap', strftime(following, '%Y-%m-%d') FROM b WHERE following > session + INTERVAL 1 MONTH
 """)
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months with finished orders as sessions, and a gap row wherever months are missing between two."""
-    months = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderkey % 37 = 0").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("session")).distinct()
+    months = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("session")).distinct()
     nxt = months.withColumn("before_at", F.lead("session").over(W.orderBy("session")))  # one row a month
     gaps = nxt.where(F.col("before_at") > F.add_months("session", 1)).select("session", F.lit("gap").alias("block_type"), "before_at")
     rows = months.select("session", F.lit("event").alias("block_type"), F.lit(None).cast("date").alias("before_at")).unionByName(gaps)
@@ -417,15 +416,17 @@ def privacy_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, md5(text) AS v FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN md5(text || '!') ELSE md5(text) END AS v FROM documents WHERE doc_id % 10 <> 4)
+WITH o AS (SELECT doc_id, md5(coalesce(text, '')) AS v FROM documents JOIN labels USING (doc_id)), n AS (SELECT doc_id, CASE WHEN toxic = 1 THEN md5('') ELSE md5(coalesce(text, '')) END AS v FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.v = n.v THEN 'unchanged' ELSE 'changed' END AS delta
 FROM o FULL JOIN n ON o.doc_id = n.doc_id
 """)
 def corpus_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed between a baseline of the documents and a newer state."""
-    d = table(spark, sf_dir, "documents")
-    old = d.where("doc_id % 10 <> 3").select("doc_id", F.md5("text").alias("was"))
-    new = d.where("doc_id % 10 <> 4").select("doc_id", F.when(F.expr("doc_id % 7 = 2"), F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("is"))
+    """What a curation changed: from the documents that were labelled to all that are not bad, toxic ones emptied."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    old = d.join(labels, "doc_id").select("doc_id", digest.alias("was"))
+    kept = d.join(labels, "doc_id", "left").where(~F.col("quality").eqNullSafe(0))
+    new = kept.select("doc_id", F.when(F.col("toxic") == 1, F.md5(F.lit(""))).otherwise(digest).alias("is"))
     kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") == F.col("is"), "unchanged").otherwise("changed")
     return old.join(new, "doc_id", "full_outer").select("doc_id", kind.alias("delta"))
 
