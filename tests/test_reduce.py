@@ -145,3 +145,34 @@ def test_journal_tools(spark, tmp_path):
     journal.write_jsonl(rows, str(tmp_path / "out"), ["line"])
     assert [json.loads(r["value"])["line"] for r in spark.read.text(str(tmp_path / "out")).collect()] == [1, 2, 3]
     assert {r["digest"] for r in journal.file_digests(spark, str(tmp_path / "raw.jsonl")).collect()} == {hashlib.sha256((tmp_path / "raw.jsonl").read_bytes()).hexdigest()}
+
+
+def test_viewports_belong_to_windows_not_titles(spark, tmp_path):
+    a, b = {"windowID": 1, "displayID": 1}, {"windowID": 2, "displayID": 1}
+    rows = [read("a1", 1, "alpha\nbeta", **a), read("b1", 2, "beta\ngamma", **b), read("a2", 3, "beta\ndelta", title="renamed", **a)]
+    for r in rows:
+        r["triggerSurface"] = r["postCaptureSurface"] = dict(r["triggerSurface"], windowID=r["windowID"])
+    events, _ = reduce_journal(load(spark, tmp_path, rows))
+    assert {r["record_id"]: r["content"] for r in events.collect()} == {"a1": "alpha\nbeta", "b1": "beta\ngamma", "a2": "delta"}
+
+
+def test_shortcuts_between_changes_are_not_observed(spark, tmp_path):
+    event = lambda hint: {"hint": hint, "mutationCapable": hint != "shortcut"}
+    cases = {"mid": ["character", "shortcut", "character"], "end": ["character", "shortcut"], "start": ["shortcut", "character"], "none": ["character"], "empty": []}
+    rows = [write(k, 10 * i + 1, 10 * i + 2, "", f"text {k}", hints=("character",), inputEvents=[event(h) for h in v]) for i, (k, v) in enumerate(cases.items())]
+    rows.append(write("old", 55, 56, "", "text old", hints=("shortcut", "character")))
+    events, rejected = reduce_journal(load(spark, tmp_path, [r for r in rows if float(r["beganAt"][17:23]) < 60]))
+    assert {r["record_id"]: r["reason"] for r in rejected.collect()} == {"mid": "unobserved_shortcut"}
+    assert {r["record_id"] for r in events.collect()} == {"end", "start", "none", "empty", "old"}
+
+
+def test_journal_is_numbered_over_splits(spark, tmp_path):
+    for name, n in (("one", 900), ("two", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("\r\n".join(json.dumps({"sessionID": name, "recordType": "x", "k": k, "pad": "y" * (k % 90)}) + "\n" * (k % 3) for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = journal.read_journal(spark, str(tmp_path / "*.jsonl")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["session_id"], r["line"], json.loads(r["raw"])["k"] + 1) for r in rows) == sorted((s, k + 1, k + 1) for s, n in (("one", 900), ("two", 3)) for k in range(n))

@@ -32,6 +32,13 @@ def same_surface(a: Column, b: Column) -> Column:
     return out
 
 
+def unobserved_shortcut(events: Column) -> Column:
+    """Whether a shortcut stands between two inputs that may change the text, so that what it did is not known."""
+    numbered = F.transform(events, lambda e, i: F.struct(i.alias("i"), e["hint"].alias("hint"), F.coalesce(e["mutationCapable"], F.lit(False)).alias("mutates")))
+    places = F.transform(F.filter(numbered, lambda e: e["mutates"]), lambda e: e["i"])
+    return F.coalesce(F.exists(numbered, lambda e: (e["hint"] == "shortcut") & (e["i"] > F.array_min(places)) & (e["i"] < F.array_max(places))), F.lit(False))
+
+
 def read_candidates(journal: DataFrame) -> DataFrame:
     """READ candidates with reason: the first case that rejects a record, or null."""
     r = records(journal, "screen_ocr_observation")
@@ -45,7 +52,7 @@ def read_candidates(journal: DataFrame) -> DataFrame:
         (blank, "empty_content"),
         (F.coalesce("contentWasTruncated", F.lit(False)), "truncated_content"),
     )
-    return r.select("session_id", "line", F.col("recordID").alias("record_id"), F.col("processIdentifier").alias("pid"), F.col("windowTitle").alias("window_title"), F.col("appName").alias("app_name"), "content", instant(F.col("capturedAt")).alias("captured_at"), instant(F.col("lastActivityAt")).alias("last_activity"), reason.alias("reason"))
+    return r.select("session_id", "line", F.col("recordID").alias("record_id"), F.col("processIdentifier").alias("pid"), F.col("windowTitle").alias("window_title"), F.col("windowID").alias("window_id"), F.col("displayID").alias("display_id"), F.col("appName").alias("app_name"), "content", instant(F.col("capturedAt")).alias("captured_at"), instant(F.col("lastActivityAt")).alias("last_activity"), reason.alias("reason"))
 
 
 def write_candidates(journal: DataFrame) -> DataFrame:
@@ -57,11 +64,10 @@ def write_candidates(journal: DataFrame) -> DataFrame:
     w = w.withColumn("edit", text.minimal_edit(F.coalesce("before_value", F.lit("")), F.coalesce("after_value", F.lit(""))))
     again = text.apply_edit(F.col("before_value"), F.col("edit.offset"), F.col("edit.removed"), F.col("edit.inserted"))
     only_removing = F.size(F.array_except("hints", F.array(*map(F.lit, REMOVING)))) == 0
-    shortcuts = F.filter("hints", lambda h: h.isin("shortcut", "control_shortcut"))
     reason = text.first_reason(
         (F.col("recordID").isNull(), "missing_record_id"),
         (F.coalesce("tapTimeoutCountDuringBurst", F.lit(0)) > 0, "tap_timeout_during_burst"),
-        ((F.size(shortcuts) > 0) & (F.size("hints") > F.size(shortcuts)), "unobserved_shortcut"),
+        (unobserved_shortcut(F.col("inputEvents")), "unobserved_shortcut"),
         (text.is_sensitive(F.col("targetIdentity.role"), F.concat_ws(" ", "targetIdentity.fieldLabel", "targetIdentity.fieldDescription")), "sensitive_field"),
         (F.col("before").isNull(), "before_missing"),
         (F.size(F.coalesce("beforeAXErrors", empty)) > 0, "before_error"),
@@ -128,7 +134,7 @@ def reduce_journal(journal: DataFrame, width: int = 60_000_000) -> tuple[DataFra
     aside = stale.unionByName(dirty).withColumnRenamed("read_id", "record_id")
     judged = reads.join(aside, ["session_id", "record_id"], "left").withColumn("reason", F.coalesce("reason", "why")).drop("why")
     # the timeline of a session: viewports of each window, and a reset wherever an attempt had input
-    views = judged.where("reason is null").select("session_id", "line", "record_id", F.concat_ws("|", F.col("pid").cast("string"), "window_title").alias("context"), "content", F.col("captured_at").alias("at"), F.lit(1).alias("rank"))
+    views = judged.where("reason is null").select("session_id", "line", "record_id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in ("pid", "window_id", "display_id")]).alias("context"), "content", F.col("captured_at").alias("at"), F.lit(1).alias("rank"))
     marks = writes.where("input_events > 0").select("session_id", "line", F.col("began_at").alias("at"), F.lit(0).alias("rank"))
     epochs = views.unionByName(marks, allowMissingColumns=True)
     epochs = epochs.withColumn("epoch", F.sum(F.when(F.col("rank") == 0, 1).otherwise(0)).over(W.partitionBy("session_id").orderBy("at", "rank", "line").rowsBetween(W.unboundedPreceding, 0)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import cut
+
 RECT = "struct<x:double,y:double,width:double,height:double>"
 OBSERVATION = "struct<observationID:string,observedAt:string,value:string,placeholderValue:string,selectedRangeLocation:int,selectedRangeLength:int,valueWasTruncated:boolean>"
 SURFACE = f"struct<displayID:bigint,windowID:bigint,windowTitle:string,windowBounds:{RECT},appName:string,bundleIdentifier:string,processIdentifier:int>"
@@ -15,8 +17,8 @@ TARGET = "struct<elementHash:bigint,processIdentifier:int,bundleIdentifier:strin
 
 #: The schema that each record type is read with. Unknown types are passed over.
 SCHEMAS = {
-    "screen_ocr_observation": f"recordID string, capturedAt string, lastActivityAt string, content string, contentWasTruncated boolean, supersedingWriteAttemptID string, triggerSurface {SURFACE}, postCaptureSurface {SURFACE}, windowBounds {RECT}, windowTitle string, appName string, bundleIdentifier string, processIdentifier int",
-    "active_tap_write_attempt": f"recordID string, beganAt string, lastInputAt string, terminalDecisionAt string, inputEventCount int, inputHints array<string>, boundaryReason string, before {OBSERVATION}, after {OBSERVATION}, returnCheckpoints array<{CHECKPOINT}>, pasteCheckpoints array<{PASTE}>, mutationCheckpoints array<{CHECKPOINT}>, beforeAXErrors array<string>, tapTimeoutCountDuringBurst bigint, targetIdentity {TARGET}, bundleIdentifier string",
+    "screen_ocr_observation": f"recordID string, capturedAt string, lastActivityAt string, content string, contentWasTruncated boolean, supersedingWriteAttemptID string, triggerSurface {SURFACE}, postCaptureSurface {SURFACE}, windowBounds {RECT}, windowTitle string, windowID bigint, displayID bigint, appName string, bundleIdentifier string, processIdentifier int",
+    "active_tap_write_attempt": f"recordID string, beganAt string, lastInputAt string, terminalDecisionAt string, inputEventCount int, inputHints array<string>, inputEvents array<struct<hint:string,mutationCapable:boolean>>, boundaryReason string, before {OBSERVATION}, after {OBSERVATION}, returnCheckpoints array<{CHECKPOINT}>, pasteCheckpoints array<{PASTE}>, mutationCheckpoints array<{CHECKPOINT}>, beforeAXErrors array<string>, tapTimeoutCountDuringBurst bigint, targetIdentity {TARGET}, bundleIdentifier string",
     "prompt_submission_observation": "recordID string, observedAt string, sourceWriteRecordID string, terminalValueSHA256 string, disposition string",
 }
 
@@ -24,14 +26,20 @@ SCHEMAS = {
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, line, record_type, raw): the records of the files, one file a session's journal.
 
-    line counts the non-empty lines from 1. A line that is no JSON object is an error.
+    line counts the non-empty lines of its file from 1. A line that is no JSON object is an error. Files are read by lines and in
+    splits: a split's lines are numbered where they are read, and shifted by the lines of the file's splits before.
     """
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "raw"))
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", "\r$", "")) != "")
+    split = lines.select(F.regexp_replace("value", "\r$", "").alias("raw"), F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("split_"), F.monotonically_increasing_id().alias("mark_"))
+    # kept, so that both uses below see the same numbers; marks grow along a split
+    split = cut(split)
+    sizes = split.groupBy("file_", "split_").agg(F.count("*").alias("n_"), F.min("mark_").alias("first_"))  # one row a split
+    before = F.coalesce(F.sum("n_").over(W.partitionBy("file_").orderBy("split_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = split.join(sizes.withColumn("before_", before).drop("n_"), ["file_", "split_"]).withColumn("line", (F.col("mark_") - F.col("first_") + F.col("before_") + 1).cast("long"))
     kind = F.get_json_object("raw", "$.recordType")
     whole = F.get_json_object("raw", "$").startswith("{")
-    checked = F.when(F.coalesce(whole, F.lit(False)), F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("no JSON object in line "), (F.col("pos") + 1).cast("string"))))
-    return lines.select(F.get_json_object("raw", "$.sessionID").alias("session_id"), (F.col("pos") + 1).cast("long").alias("line"), kind.alias("record_type"), checked.alias("raw"))
+    checked = F.when(F.coalesce(whole, F.lit(False)), F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("no JSON object in line "), F.col("line").cast("string"))))
+    return placed.select(F.get_json_object("raw", "$.sessionID").alias("session_id"), "line", kind.alias("record_type"), checked.alias("raw"))
 
 
 def records(journal: DataFrame, record_type: str) -> DataFrame:
