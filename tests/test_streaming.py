@@ -58,3 +58,18 @@ def test_reads_overtaken_on_streams(spark, tmp_path):
     got = run(bursts.overtaken_reads(r, w, "1 minute", "5 minutes"), "overtaken_")
     assert [(x["read_id"], x["write_id"]) for x in got] == [("r1", "w1")]
     assert got[0].__fields__ == ["key", "read_id", "write_id", "input_at"]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    rows = [("a", 100, "typed"), ("b", 5, "typed"), ("a", 60, "typed"), ("a", 95, "typed"), ("b", 4, "typed"), ("a", 101, "typed")]
+    stream = spark.readStream.schema("key string, ts timestamp, hint string").option("maxFilesPerTrigger", 1).json(files(tmp_path, rows, 3))
+    got = run(bursts.marked_late(stream, 30.0), "late_")
+    assert len(got) == len(rows) and [(r["key"], r["ts"].second + 60 * r["ts"].minute) for r in got if r["is_late"]] == [("a", 60)]
+
+
+def test_earlier_events_move_an_open_burst_s_beginning(spark, tmp_path):
+    rows = [("a", 50, "typed"), ("a", 45, "typed"), ("a", 10, "typed"), ("z", 300, "typed")]
+    stream = spark.readStream.schema("key string, ts timestamp, hint string").option("maxFilesPerTrigger", 1).json(files(tmp_path, rows, 4))
+    got = run(bursts.bounded_bursts(stream, 10.0, "100 seconds"), "earlier_")
+    out = sorted((r["began_at"].second, r["ended_at"].second, r["n_events"], r["closed_by"]) for r in got if r["key"] == "a")
+    assert out == [(10, 10, 1, "late"), (45, 50, 2, "gap")]

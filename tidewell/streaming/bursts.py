@@ -29,7 +29,9 @@ def bounded_bursts(events: DataFrame, gap_seconds: float, late: str) -> DataFram
     """Bursts that a boundary event of the key ends at once; without one they end when the gap passes.
 
     events: (key string, ts timestamp, hint string), a stream. One small state a key: the open burst's times and count.
-    Inside a micro-batch events are taken in order of time; across batches later ones are expected to be later.
+    Inside a micro-batch events are taken in order of time. One that comes behind the open burst's beginning by less than the gap
+    belongs to it; one that comes earlier is a burst of its own, closed as ``late``. Events behind the watermark are
+    dropped here: take marked_late first to keep them apart.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,6 +46,9 @@ def bounded_bursts(events: DataFrame, gap_seconds: float, late: str) -> DataFram
             n = 0
         else:
             for ts, hint in sorted((t.timestamp(), h or "") for b in batches for t, h in zip(b["ts"], b["hint"], strict=True)):
+                if n and began - ts >= gap_seconds:
+                    out.append((key[0], pd.Timestamp(ts, unit="s"), pd.Timestamp(ts, unit="s"), 1, "late"))
+                    continue
                 if n and ts - last >= gap_seconds:
                     close("gap")
                     n = 0
@@ -52,7 +57,7 @@ def bounded_bursts(events: DataFrame, gap_seconds: float, late: str) -> DataFram
                         close(hint)
                     n = 0
                     continue
-                began, last, n = (began, max(last, ts), n + 1) if n else (ts, ts, 1)
+                began, last, n = (min(began, ts), max(last, ts), n + 1) if n else (ts, ts, 1)
         if n:
             state.update((began, last, n))
             state.setTimeoutTimestamp(max(int((last + gap_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
@@ -64,6 +69,22 @@ def bounded_bursts(events: DataFrame, gap_seconds: float, late: str) -> DataFram
     return rows.groupBy("key").applyInPandasWithState(step, BURST, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def marked_late(events: DataFrame, late_seconds: float) -> DataFrame:
+    """(key, ts, hint, is_late): a stream's events with those that come more than ``late_seconds`` behind the newest one of their key
+    in an earlier micro-batch. None is dropped: late ones can go to a table of their own. One number a key is kept."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = seen = state.get[0] if state.exists else float("-inf")
+        for b in batches:
+            at = b["ts"].map(lambda t: t.timestamp())
+            yield b.assign(is_late=at < newest - late_seconds)[["key", "ts", "hint", "is_late"]]
+            seen = max(seen, at.max())
+        state.update((seen,))
+
+    rows = events.select("key", "ts", "hint")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hint string, is_late boolean", "newest double", "append", GroupStateTimeout.NoTimeout)
+
+
 def follow_journal(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """A growing folder of journals as a stream of (session_id, record_type, raw)."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
