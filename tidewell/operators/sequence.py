@@ -58,13 +58,25 @@ def global_ordinal(rows: DataFrame, order: Sequence[Column | str], name: str) ->
     return marked.join(F.broadcast(starts), "part_").withColumn(name, F.col("place_") + F.col("before_")).drop("part_", "place_", "before_")
 
 
+def ordinal_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Each row's place (from 0) among its key's rows; a null key is one key. A hot key is dealt over ranges like any other rows."""
+    placed = global_ordinal(rows, [*keys, *order], name)
+    first = placed.groupBy(*[F.col(k).alias(f"{k}_of") for k in keys]).agg(F.min(name).alias("first_"))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    return placed.join(first, on).withColumn(name, F.col(name) - F.col("first_")).drop("first_", *[f"{k}_of" for k in keys])
+
+
 def viewport_novelty(rows: DataFrame, keys: Sequence[str], order: Sequence[str], content: str, resets: Column | None = None) -> DataFrame:
     """Adds emitted: the lines of each viewport that the row before of its key did not show.
 
     The row before counts whole, whatever it emitted. A row where ``resets`` holds shows nothing and clears what was seen.
     """
-    prior = F.lag(F.when(resets, F.lit(None)).otherwise(F.col(content)) if resets is not None else F.col(content)).over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("previous_", prior).withColumn("emitted", novel_lines(F.col("previous_"), F.col(content))).drop("previous_")
+    # the row before is met by its place, not in a window, so that a key's texts spread over tasks
+    placed = ordinal_within(rows, keys, order, "at_")
+    shown = F.when(resets, F.lit(None)).otherwise(F.col(content)) if resets is not None else F.col(content)
+    prior = placed.select(*[F.col(k).alias(f"{k}_of") for k in keys], (F.col("at_") + 1).alias("after_"), shown.alias("previous_"))
+    met = placed.join(prior, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys] + [F.col("at_") == F.col("after_")], "left")
+    return met.withColumn("emitted", novel_lines(F.col("previous_"), F.col(content))).select(*rows.columns, "emitted")
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -239,7 +239,8 @@ SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('m
 def deterministic_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random order of each source's documents that is the same on every run."""
     rows = table(spark, sf_dir, "documents").withColumn("k", ids.shuffle_key("mix", 7, F.col("n_chars"), F.col("doc_id")))
-    return rows.select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("k", "doc_id")).cast("long").alias("place"))
+    placed = sequence.ordinal_within(rows.select("doc_id", "source", "k"), ["source"], ["k", "doc_id"], "at")
+    return placed.select("doc_id", "source", (F.col("at") + 1).cast("long").alias("place"))
 
 
 @query("""
@@ -471,8 +472,9 @@ SELECT d.doc_id, d.source, l.quality, row_number() OVER (PARTITION BY d.source O
 def inspector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source as an inspector lists them: best label first, unlabelled last, then the longest."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    order = W.partitionBy("source").orderBy(F.col("quality").desc_nulls_last(), F.col("n_chars").desc(), "doc_id")
-    return rows.select("doc_id", "source", "quality", F.row_number().over(order).cast("long").alias("place"), F.left("text", F.lit(30)).alias("preview"))
+    rows = rows.select("doc_id", "source", "quality", "n_chars", F.left("text", F.lit(30)).alias("preview"))
+    placed = sequence.ordinal_within(rows, ["source"], [F.col("quality").desc_nulls_last(), F.col("n_chars").desc(), "doc_id"], "at")
+    return placed.select("doc_id", "source", "quality", (F.col("at") + 1).cast("long").alias("place"), "preview")
 
 
 @query(f"""
