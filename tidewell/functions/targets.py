@@ -60,11 +60,12 @@ def latest_observation(observations: Column, at: Column) -> Column:
 
 def _span(a: Column, b: Column) -> Column:
     e = minimal_edit(a, b)
-    return F.greatest(F.length(e["removed"]), F.length(e["inserted"]))
+    return F.length(e["removed"]) + F.length(e["inserted"])
 
 
 def is_coherent(values: Column) -> Column:
-    """Whether each of the last sixteen values follows from the one before by an edit of sixteen characters at most."""
+    """Whether each of the last sixteen values follows from the one before by an edit that removes and inserts
+    sixteen characters at most together."""
     last = F.slice(values, F.greatest(F.size(values) - LOOK_BACK + 1, F.lit(1)), F.lit(LOOK_BACK))
     pairs = F.zip_with(F.slice(last, F.lit(1), F.greatest(F.size(last) - 1, F.lit(0))), F.slice(last, F.lit(2), F.greatest(F.size(last) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.forall(pairs, lambda p: _span(p["a"], p["b"]) <= STEP)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions import ids, text
+from tidewell.functions import ids, targets, text
 
 #: Fixed value: least trimmed characters of an authored target.
 LEAST_TARGET = 4
@@ -30,11 +30,13 @@ def serialized(events: DataFrame) -> Column:
     return ids.canonical_json(kind=F.col("kind"), content=F.col("content"), window=F.col("window_title"))
 
 
-def target_exclusion(minimum: int = LEAST_TARGET) -> Column:
-    """The first case that keeps a write from being a target, or null."""
+def target_exclusion(minimum: int = LEAST_TARGET, segmented: bool = False) -> Column:
+    """The first case that keeps a write from being a target, or null. segmented: the events have segments and authorship."""
     body = F.coalesce("content", F.lit(""))
+    unproven = F.col("authorship").isNotNull() if segmented else F.lit(False)
     return text.first_reason(
         (body == "", "empty_content"),
+        (unproven, "authorship_unresolved"),
         (F.length(text.trimmed(body)) < minimum, "below_minimum_length"),
         (F.col("began_at").isNull(), "missing_onset"),
     )
@@ -57,20 +59,22 @@ def contexts(events: DataFrame) -> DataFrame:
 def examples(events: DataFrame, minimum: int = LEAST_TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(examples, exclusions, rejections): each write is in exactly one of them.
 
-    An example holds the context text (events joined by line ends, in order), the query and the target.
+    An example holds the context text (events joined by line ends, in order), the query and the target. Where events have segments, a
+    target shows a mark for each paste, and a write whose pastes can't be told from what was typed is excluded.
     """
+    segmented = {"segments", "authorship"} <= set(events.columns)
     judged = convertible(events)
     rejections = judged.where("rejection is not null").select("session_id", "event_id", "kind", F.col("rejection").alias("reason"))
     good = judged.where("rejection is null").withColumn("serialized", serialized(events))
-    writes = good.where("kind = 'write'").withColumn("exclusion", target_exclusion(minimum))
+    writes = good.where("kind = 'write'").withColumn("exclusion", target_exclusion(minimum, segmented)).withColumn("target_", targets.target_text(F.col("segments")) if segmented else F.col("content"))
     exclusions = writes.where("exclusion is not null").select("session_id", "event_id", F.col("exclusion").alias("reason"), F.length("content").alias("n_chars"))
     order = W.partitionBy("session_id").orderBy("available_at", "line")
     placed = good.select("session_id", (F.row_number().over(order)).alias("place"), "event_id", "serialized")
-    targets = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", "content", "window_title", "n_context")
-    history = targets.join(placed, "session_id").where(F.col("place") <= F.col("n_context"))
+    wanted = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", F.col("target_").alias("content"), "window_title", "n_context")
+    history = wanted.join(placed, "session_id").where(F.col("place") <= F.col("n_context"))
     joined = F.array_sort(F.collect_list(F.struct("place", "event_id", "serialized")))
     history = history.groupBy("session_id", "target_id").agg(joined.alias("h"))
-    out = targets.join(history, ["session_id", "target_id"], "left")
+    out = wanted.join(history, ["session_id", "target_id"], "left")
     context = F.coalesce(F.array_join(F.transform("h", lambda x: x["serialized"]), "\n"), F.lit(""))
     query = ids.canonical_json(query=F.lit("continue"), window=F.col("window_title"))
     out = out.withColumn("context", context).withColumn("query", query)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions import ids, text
+from tidewell.functions import ids, spans, text
 from tidewell.operators.causal import interval_join
+from tidewell.operators.observe import with_observation
 from tidewell.sources.journal import instant, records
 from tidewell.sources.shared import cut
 
@@ -55,14 +56,29 @@ def read_candidates(journal: DataFrame) -> DataFrame:
     return r.select("session_id", "line", F.col("recordID").alias("record_id"), F.col("processIdentifier").alias("pid"), F.col("windowTitle").alias("window_title"), F.col("windowID").alias("window_id"), F.col("displayID").alias("display_id"), F.col("appName").alias("app_name"), "content", instant(F.col("capturedAt")).alias("captured_at"), instant(F.col("lastActivityAt")).alias("last_activity"), reason.alias("reason"))
 
 
+def proven_pastes(pastes: Column) -> Column:
+    """The spans (start, text, paste_id) of pastes whose checkpoint shows exactly the clipboard's text put in."""
+    span = "struct<start:int,text:string,paste_id:string>"
+
+    def one(p: Column) -> Column:
+        was, now = (text.logical_value(p[o]["value"], p[o]["placeholderValue"]) for o in ("prePasteObservation", "observation"))
+        e = text.minimal_edit(was, now)
+        whole = ~F.coalesce(p["prePasteObservation"]["valueWasTruncated"], F.lit(False)) & ~F.coalesce(p["observation"]["valueWasTruncated"], F.lit(False))
+        return F.when(whole & (e["inserted"] == p["clipboardText"]) & (e["inserted"] != ""), F.struct(e["offset"].cast("int").alias("start"), p["clipboardText"].alias("text"), p["checkpointID"].alias("paste_id")))
+
+    return F.coalesce(F.filter(F.transform(pastes, one), lambda s: s.isNotNull()), F.array().cast(f"array<{span}>"))
+
+
 def write_candidates(journal: DataFrame) -> DataFrame:
-    """WRITE candidates: the net edit between the fields before and after, and the first case that rejects it."""
+    """WRITE candidates: the net edit between the field before and the observation chosen for it, and the first case that rejects it."""
     w = records(journal, "active_tap_write_attempt")
     empty = F.array().cast("array<string>")
     w = w.withColumn("hints", F.array_sort(F.array_distinct(F.coalesce("inputHints", empty))))
-    w = w.withColumn("before_value", text.logical_value(F.col("before.value"), F.col("before.placeholderValue"))).withColumn("after_value", text.logical_value(F.col("after.value"), F.col("after.placeholderValue")))
+    w = w.withColumn("before_value", text.logical_value(F.col("before.value"), F.col("before.placeholderValue")))
+    w = with_observation(w).withColumn("after_value", F.col("chosen.value"))
     w = w.withColumn("edit", text.minimal_edit(F.coalesce("before_value", F.lit("")), F.coalesce("after_value", F.lit(""))))
     again = text.apply_edit(F.col("before_value"), F.col("edit.offset"), F.col("edit.removed"), F.col("edit.inserted"))
+    authorship = spans.paste_segments(F.col("edit.inserted"), F.col("edit.offset").cast("int"), proven_pastes(F.col("pasteCheckpoints")))
     only_removing = F.size(F.array_except("hints", F.array(*map(F.lit, REMOVING)))) == 0
     reason = text.first_reason(
         (F.col("recordID").isNull(), "missing_record_id"),
@@ -72,8 +88,8 @@ def write_candidates(journal: DataFrame) -> DataFrame:
         (F.col("before").isNull(), "before_missing"),
         (F.size(F.coalesce("beforeAXErrors", empty)) > 0, "before_error"),
         (F.coalesce("before.valueWasTruncated", F.lit(False)), "before_truncated"),
-        (F.col("after").isNull() | F.col("after_value").isNull(), "no_observation"),
-        (F.coalesce("after.valueWasTruncated", F.lit(False)), "observation_truncated"),
+        (F.col("chosen").isNull() & F.coalesce("after.valueWasTruncated", F.lit(False)), "observation_truncated"),
+        (F.col("after_value").isNull(), "no_observation"),
         (F.array_contains("hints", "cut") & (F.length("after_value") >= F.length("before_value")) & (F.size("hints") == 1), "cut_did_not_contract"),
         ((F.col("edit.operation") == "none") | ~again.eqNullSafe(F.col("after_value")), "empty_or_unreproduced_edit"),
         (only_removing & (F.col("edit.inserted") != ""), "inserted_without_insertion"),
@@ -82,7 +98,7 @@ def write_candidates(journal: DataFrame) -> DataFrame:
     return w.select(
         "session_id", "line", F.col("recordID").alias("record_id"), F.coalesce("targetIdentity.processIdentifier", F.lit(-1)).alias("pid"), F.col("targetIdentity.windowTitle").alias("window_title"), "hints",
         F.col("targetIdentity.elementHash").alias("element"), F.coalesce("inputEventCount", F.lit(0)).alias("input_events"), F.col("boundaryReason").alias("boundary_reason"), "before_value", "after_value", F.col("edit.operation").alias("operation"), F.col("edit.offset").alias("offset"),
-        F.col("edit.removed").alias("removed"), F.col("edit.inserted").alias("content"), instant(F.col("beganAt")).alias("began_at"), instant(F.col("terminalDecisionAt")).alias("terminal_at"), F.col("pasteCheckpoints").alias("pastes"), reason.alias("reason"),
+        F.col("edit.removed").alias("removed"), F.col("edit.inserted").alias("content"), instant(F.col("beganAt")).alias("began_at"), instant(F.col("terminalDecisionAt")).alias("terminal_at"), authorship.alias("authorship"), F.col("chosen.source").alias("observed_by"), F.col("chosen.checkpoint_id").alias("checkpoint_id"), F.col("chosen.reason").alias("observed_because"), reason.alias("reason"),
     )
 
 
@@ -146,7 +162,7 @@ def reduce_journal(journal: DataFrame, width: int = 60_000_000) -> tuple[DataFra
     first = closed.where("reason is null").select("session_id", "record_id", F.col("observed_at").alias("submitted_at"))
     lineage = F.array("record_id")
     read_events = judged.where("reason is null").select("session_id", "line", ids.stable_id("evt_", F.col("session_id"), lineage, F.lit(0)).alias("event_id"), F.lit("read").alias("kind"), "record_id", "pid", "window_title", F.col("emitted").alias("content"), F.lit(None).cast("long").alias("began_at"), F.col("captured_at").alias("available_at"))
-    write_events = good_writes.join(first, ["session_id", "record_id"], "left").select("session_id", "line", ids.stable_id("evt_", F.col("session_id"), lineage, F.lit(0)).alias("event_id"), F.lit("write").alias("kind"), "record_id", "pid", "window_title", "content", "began_at", F.col("terminal_at").alias("available_at"), "operation", "offset", "removed", "before_value", "after_value", "element", "hints", "submitted_at", F.when(F.col("submitted_at").isNotNull(), "prompt_submitted").otherwise(F.col("boundary_reason")).alias("boundary_reason"))
+    write_events = good_writes.join(first, ["session_id", "record_id"], "left").select("session_id", "line", ids.stable_id("evt_", F.col("session_id"), lineage, F.lit(0)).alias("event_id"), F.lit("write").alias("kind"), "record_id", "pid", "window_title", "content", "began_at", F.col("terminal_at").alias("available_at"), "operation", "offset", "removed", "before_value", "after_value", F.col("authorship.segments").alias("segments"), F.col("authorship.reason").alias("authorship"), "element", "hints", "submitted_at", F.when(F.col("submitted_at").isNotNull(), "prompt_submitted").otherwise(F.col("boundary_reason")).alias("boundary_reason"))
     events = write_events.unionByName(read_events, allowMissingColumns=True)
     events = cut(events.withColumn("sequence", F.row_number().over(W.partitionBy("session_id").orderBy(F.coalesce("began_at", "available_at"), F.when(F.col("kind") == "write", 0).otherwise(1), "line"))))
     rejected = judged.where("reason is not null").select("session_id", "line", "record_id", F.lit("read").alias("candidate"), "reason", "by_write")

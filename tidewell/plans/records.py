@@ -90,7 +90,7 @@ def write_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH w AS (SELECT * FROM {CASCADE} WHERE role <> 'system'),
 c AS (SELECT conv_id, turn AS closure_line, turn - 1 AS of_turn, CASE WHEN turn % 7 = 2 THEN 'pending' ELSE 'validated_transition' END AS disposition, CASE WHEN turn % 9 = 4 THEN sha256('') ELSE sha256(before) END AS digest, turn * 10 - (CASE WHEN turn % 8 = 5 THEN 40 ELSE 0 END) AS seen FROM {PAIRS}
   UNION ALL SELECT conv_id, turn + 1000, turn - 1, 'validated_transition', sha256(before), turn * 10 + 1 FROM {PAIRS} WHERE turn % 3 = 0),
-j AS (SELECT c.*, CASE WHEN w.conv_id IS NULL THEN 'source_write_missing' WHEN disposition <> 'validated_transition' THEN 'transition_not_validated' WHEN sha256(CASE WHEN w.conv_id % 13 = 5 THEN '' ELSE w.text END) <> digest THEN 'terminal_value_differs' WHEN seen < w.turn * 10 THEN 'closure_before_write' END AS why
+j AS (SELECT c.*, CASE WHEN w.conv_id IS NULL THEN 'source_write_missing' WHEN disposition <> 'validated_transition' THEN 'transition_not_validated' WHEN sha256(CASE WHEN w.conv_id % 13 = 5 OR length(w.text) > 450 THEN '' ELSE w.text END) <> digest THEN 'terminal_value_differs' WHEN seen < w.turn * 10 THEN 'closure_before_write' END AS why
   FROM c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.of_turn)
 SELECT conv_id, closure_line, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY conv_id, of_turn, why IS NULL ORDER BY seen, closure_line) > 1 THEN 'duplicate_closure' END) AS reason FROM j
 """)
