@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tests.llm import fixtures, test_mixing, test_repeats, test_rules, test_simhash, test_urls
+from tests.llm import fixtures, test_codes, test_lines, test_mixing, test_phrases, test_repeats, test_rules, test_simhash, test_urls
 from tidewell.llm import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_pieces": [("doc_id", "bigint"), ("n_pieces", "bigint"), ("ids_digest", "string"), ("score", "double"), ("nbest_scores", "array<double>"), ("round_trip", "boolean")],
     "op9_rules": [("doc_id", "bigint"), ("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("base_failed", "boolean"), ("kept", "boolean")],
     "op10_urls": [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")],
+    "op11_phrases": [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), ("a", "bigint"), ("l", "bigint"), ("r", "bigint"), ("n", "bigint"), ("score", "bigint")],
+    "op12_codes": [("vec_id", "bigint"), ("code", "string"), ("error", "bigint"), ("label_error", "bigint"), ("codebooks_sha256", "string")],
+    "op13_lines": [("doc_id", "bigint"), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string")],
 }
 
 
@@ -38,10 +41,12 @@ def results(spark, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(d[0], int(len(d[1] or "") > 90), 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, u, "h") for i, u in enumerate(test_urls.URLS * 2)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [v for v in test_codes.vectors() if v[0] is not None]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     out = {}
     for name, query in queries.QUERIES.items():
         df = query(spark, folder)
-        out[name] = (dict(df.dtypes), {r[0]: r for r in df.collect()})
+        out[name] = (dict(df.dtypes), {r[:2] if name == "op11_phrases" else r[0]: r for r in df.collect()})
     return docs, out
 
 
@@ -51,7 +56,8 @@ def test_columns_rows_and_folds(results):
     for name, wanted in COLUMNS.items():
         types, rows = out[name]
         assert [(c, types.get(c)) for c, _ in wanted] == wanted
-        assert len(rows) == (2 * len(test_urls.URLS) if name == "op10_urls" else len(docs))
+        if name not in ("op11_phrases", "op12_codes"):
+            assert len(rows) == (2 * len(test_urls.URLS) if name == "op10_urls" else len(docs))
     for name, folds, fold in (("op3_quality", 5, 0), ("op4_language", 4, 2), ("op5_lm", 7, 2)):
         assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % folds == fold) for i, r in out[name][1].items())
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out["op3_quality"][1].values())
@@ -126,3 +132,13 @@ def test_model_scores_are_log_probabilities(results):
     for d in docs:
         r, n = out["op5_lm"][1][d[0]], len((d[1] or "").encode())
         assert r["score"] < 0 and abs(r["bits_per_byte"] * max(1, n) + r["score"] * np.log2(10)) < 1e-6
+
+
+def test_phrases_codes_and_lines(results):
+    docs, out = results
+    got = out["op11_phrases"][1]
+    assert sorted(tuple(r) for r in got.values()) == test_phrases.brute([(t, lang) for _, t, lang, *_ in docs], 3, 10, 2000, 50)
+    rows, books = test_codes.brute([v for v in test_codes.vectors() if v[0] is not None])
+    assert {tuple(r) for r in out["op12_codes"][1].values()} <= {(*r, books) for r in rows} and set(out["op12_codes"][1]) == {r[0] for r in rows}
+    lines = test_lines.brute([(i, t) for i, t, *_ in docs])
+    assert [tuple(r) for _, r in sorted(out["op13_lines"][1].items())] == [(i, n, gone, sha(kept)) for i, n, gone, kept in lines]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import language, mixing, mixlm, pieces, quality, repeats, rules, simhash, sketches, urls
+from tidewell.llm import codes, language, lines, mixing, mixlm, phrases, pieces, quality, repeats, rules, simhash, sketches, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,6 +72,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("llr", 6).alias("llr"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = codes.with_label_errors(coded)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_fingerprints": op2_fingerprints,
@@ -83,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
+    "op11_phrases": op11_phrases,
+    "op12_codes": op12_codes,
+    "op13_lines": op13_lines,
 }
 
 
-
 def _url_sql() -> str:
     """op10 in SQL: rules, then the smoothed character models of both classes, order by order."""
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
@@ -159,6 +176,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+PHRASES_SQL = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, str_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+b AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+x AS (SELECT c.* FROM c LEFT JOIN b USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+u AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM x)),
+s AS (SELECT u.*, fl.f AS l, fr.f AS r, CAST((1000000::HUGEINT * a * a) // (fl.f::HUGEINT * fr.f) AS BIGINT) AS score
+  FROM u JOIN f fl ON fl.lang = u.lang AND fl.phrase = lp JOIN f fr ON fr.lang = u.lang AND fr.phrase = rp),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS first FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m WHERE first = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """op12 in SQL: the rounds one after another; distances from inner products, which are exact for whole numbers."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT i, v.p, min(CAST(list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT) * {entries} + e) AS m FROM v JOIN c{k} c ON v.p = c.p GROUP BY i, v.p)")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT p, e, list(x ORDER BY place) AS v FROM (SELECT p, e, place, floor(sum(x) / count(*)) AS x
+  FROM (SELECT v.p, m % {entries} AS e, unnest(v.v) AS x, unnest(range(len(v.v))) AS place FROM a{k} JOIN v USING (i, p)) GROUP BY p, e, place) GROUP BY p, e)""")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(s.v, c.v) AS v FROM c{k} c LEFT JOIN s{k} s USING (p, e))")
+    return f"""
+WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, * FROM r),
+v AS MATERIALIZED (SELECT i, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, i - 1 AS e, v FROM v WHERE i <= {entries}),
+{", ".join(steps)},
+d AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS t FROM c{rounds})),
+z AS (SELECT i, string_agg(lower(lpad(to_hex(m % {entries}), 2, '0')), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM z JOIN k USING (i), d
+"""
+
+
+LINES_SQL = f"""
+WITH s AS (SELECT doc_id, str_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, i, s[i] AS line, translate(trim(s[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{urls.UPPER}', '{urls.LOWER}') AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
+f AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT l.*, last IS NOT NULL AND doc_id <> last AS gone FROM l LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id
+"""
+
+
 #: The others can't be said in SQL: rounding and components are iterative, and the hashes, models and lattices are not in
 #: the SQL engine. tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op9_rules": _rules_sql(), "op10_urls": _url_sql()}
+ORACLES: dict[str, str] = {"op9_rules": _rules_sql(), "op10_urls": _url_sql(), "op11_phrases": PHRASES_SQL, "op12_codes": _codes_sql(), "op13_lines": LINES_SQL}
