@@ -24,7 +24,7 @@ from tidewell.llm.bytestext import mix, passes
 from tidewell.llm.sparktools import arrow_batches, released, written
 
 #: Bytes of text whose windows are counted together before they leave a task.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 5 << 20
 #: Bytes of text for each slot that prefix hashes are dealt to, and the fewest slots, as a power of two.
 SLOT_BYTES, LEAST_SLOT_BITS = 4 << 20, 8
 #: The most frequent prefix hashes (8 bytes each) that are sent to all tasks; with more of them windows go uncut.
@@ -83,8 +83,8 @@ def windows(texts: pa.Array, langs: pa.Array, size: int, pass_bytes: int = CHUNK
         offsets = np.concatenate(([0], np.cumsum(last - first))).astype(np.int32)
         letters = data[kind == 0]
         found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
-        at = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = np.full((len(first), size), -1, np.int64)
+        at = found.indices.to_numpy(zero_copy_only=False)
+        ids = np.full((len(first), size), -1, np.int32)
         ids[:, 0] = at
         for k in range(1, size):  # lead columns
             same = piece[k:] == piece[:-k]
