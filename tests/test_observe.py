@@ -22,7 +22,7 @@ CASES = {
     "terminal_does_not_preserve_pre_return": (case("c3", "", "other text", returnCheckpoints=[point("p", 50, "what I wrote")]), "what I wrote"),
     "terminal_ax_epoch_discontinuity": (case("c4", "x" * 300, "z" * 700, mutationCheckpoints=[point(f"m{k}", 30 + 10 * k, v, seen=1.6 + k / 10) for k, v in enumerate(WALK)]), WALK[-1]),
     "cut_post_input_checkpoint": (case("c5", "long text here", "long text here", hints=("cut",), mutationCheckpoints=[point("p", 50, "long")]), "long"),
-    "terminal_matches_before": (case("c6", "same", "same", pasteCheckpoints=[point("p", 50, "same pasted")]), "same pasted"),
+    "terminal_matches_before": (case("c6", "same", "same", hints=("paste",), pasteCheckpoints=[point("p", 50, "same pasted")]), "same pasted"),
     "terminal_unpopulated": (case("c7", "abc", " \n", mutationCheckpoints=[point("p", 50, "abcdef")]), "abcdef"),
     "terminal_observation": (case("c8", "abc", "abcd", mutationCheckpoints=[point("p", 50, "abcdef")]), "abcd"),
     None: (case("c9", "abc", "abc", mutationCheckpoints=[point("p", 50, "abcdef")]), None),

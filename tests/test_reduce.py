@@ -14,7 +14,7 @@ def at(s):
 
 def read(i, t, content, last=None, pid=1, title="w", **more):
     surface = {"displayID": 1, "windowID": 1, "windowTitle": title, "windowBounds": {"x": 0, "y": 0, "width": 800, "height": 600}, "appName": "App", "bundleIdentifier": "app", "processIdentifier": pid}
-    return {"sessionID": "s", "recordType": "screen_ocr_observation", "recordID": i, "capturedAt": at(t), "lastActivityAt": at(t - 0.5 if last is None else last), "content": content, "windowTitle": title, "processIdentifier": pid, "appName": "App", "windowBounds": surface["windowBounds"], "triggerSurface": surface, "postCaptureSurface": surface, **more}
+    return {"sessionID": "s", "recordType": "screen_ocr_observation", "recordID": i, "capturedAt": at(t), "lastActivityAt": at(t - 0.5 if last is None else last), "content": content, "windowTitle": title, "displayID": 1, "windowID": 1, "processIdentifier": pid, "appName": "App", "windowBounds": surface["windowBounds"], "triggerSurface": surface, "postCaptureSurface": surface, **more}
 
 
 def write(i, t, end, before, after, reason="write_delay_elapsed", hints=("typed",), pid=1, **more):
@@ -22,6 +22,12 @@ def write(i, t, end, before, after, reason="write_delay_elapsed", hints=("typed"
     return {"sessionID": "s", "recordType": "active_tap_write_attempt", "recordID": i, "beganAt": at(t), "terminalDecisionAt": at(end), "inputEventCount": 3, "inputHints": list(hints), "boundaryReason": reason, "before": obs(before), "after": obs(after), "targetIdentity": {"processIdentifier": pid, "windowTitle": "w", "role": "AXTextArea", "elementHash": 5}, "tapTimeoutCountDuringBurst": 0, **more}
 
 
+def closure(i, t, source, value, **more):
+    seen = lambda v: {"observationID": "o", "value": v}
+    base = {"sessionID": "s", "recordType": "prompt_submission_observation", "recordID": i, "observedAt": at(t), "sourceWriteRecordID": source, "terminalObservationID": "o", "terminalValueSHA256": hashlib.sha256(value.encode()).hexdigest(), "terminalCharacterCount": len(value), "disposition": "confirmed_field_cleared"}
+    return base | {"referenceRetainedAt": at(t - 2), "action": {"kind": "unmodified_return", "observedAt": at(t - 1)}, "preActionObservation": seen(value), "preActionAXErrors": [], "postActionObservation": seen(""), "postActionAXErrors": []} | more
+
+
 LONG = "the quick brown fox jumps over the lazy dog again"
 RECORDS = [
     read("r1", 1, "alpha\nbeta"),
@@ -37,10 +43,10 @@ RECORDS = [
     write("w5", 14, 15, None, "secret", targetIdentity={"role": "AXSecureTextField", "processIdentifier": 1}),
     write("w6", 16, 17, "abc", "abcd", hints=("delete",)),
     write("w7", 18, 19, "", "ok"),
-    {"sessionID": "s", "recordType": "prompt_submission_observation", "recordID": "c1", "observedAt": at(20), "sourceWriteRecordID": "w7", "terminalValueSHA256": hashlib.sha256(b"ok").hexdigest(), "disposition": "validated_transition"},
-    {"sessionID": "s", "recordType": "prompt_submission_observation", "recordID": "c2", "observedAt": at(21), "sourceWriteRecordID": "w7", "terminalValueSHA256": hashlib.sha256(b"ok").hexdigest(), "disposition": "validated_transition"},
+    closure("c1", 20, "w7", "ok"),
+    closure("c2", 21, "w7", "ok"),
     {"sessionID": "s", "recordType": "write_sensor_health", "recordID": "h"},
-    read("r7", 22, " ", title="z"),
+    read("r7", 22, "", title="z"),
     read("r8", 23, "cut", contentWasTruncated=True),
 ]
 
@@ -58,8 +64,8 @@ def test_reduce_gives_each_record_one_place(spark, tmp_path):
     why = {r["record_id"]: (r["reason"], r["by_write"]) for r in rejected.collect()}
     assert {k: got[k]["content"] for k in ("r1", "r2", "r6")} == {"r1": "alpha\nbeta", "r2": "gamma", "r6": "beta\ngamma"}
     assert why["r3"] == ("nothing_new_in_viewport", None) and why["r4"] == ("stale_read", "w1") and why["r5"] == ("shows_own_write", "w1")
-    assert {k: why[k][0] for k in ("w4", "w5", "w6", "c2", "r7", "r8")} == {"w4": "empty_or_unreproduced_edit", "w5": "sensitive_field", "w6": "inserted_without_insertion", "c2": "duplicate_closure", "r7": "empty_content", "r8": "truncated_content"}
-    assert got["w7"]["boundary_reason"] == "prompt_submitted" and got["w1"]["content"] == LONG
+    assert {k: why[k][0] for k in ("w4", "w5", "w6", "c2", "r7", "r8")} == {"w4": "empty_or_unreproduced_edit", "w5": "sensitive_field", "w6": "inserted_without_insertion", "c2": "duplicate_confirmed_closure_for_write", "r7": "empty_content", "r8": "truncated_content"}
+    assert got["w7"]["boundary_reason"] == "submission_boundary" and got["w1"]["content"] == LONG
     assert set(got) | set(why) == {r["recordID"] for r in RECORDS} - {"h", "c1"} and not set(got) & set(why)
     shuffled, _ = reduce_journal(j.repartition(7))
     assert {(r["event_id"], r["content"], r["sequence"]) for r in shuffled.collect()} == {(r["event_id"], r["content"], r["sequence"]) for r in got.values()}

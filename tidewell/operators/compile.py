@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import ids, targets, text
+from tidewell.operators import conditioning
 
 #: Fixed value: least trimmed characters of an authored target.
 LEAST_TARGET = 4
@@ -30,16 +31,49 @@ def serialized(events: DataFrame) -> Column:
     return ids.canonical_json(kind=F.col("kind"), content=F.col("content"), window=F.col("window_title"))
 
 
-def target_exclusion(minimum: int = LEAST_TARGET, segmented: bool = False) -> Column:
-    """The first case that keeps a write from being a target, or null. segmented: the events have segments and authorship."""
-    body = F.coalesce("content", F.lit(""))
-    unproven = F.col("authorship").isNotNull() if segmented else F.lit(False)
-    return text.first_reason(
-        (body == "", "empty_content"),
-        (unproven, "authorship_unresolved"),
-        (F.length(text.trimmed(body)) < minimum, "below_minimum_length"),
-        (F.col("began_at").isNull(), "missing_onset"),
-    )
+def _has(events: DataFrame, *columns: str) -> bool:
+    return set(columns) <= set(events.columns)
+
+
+def target_exclusion(events: DataFrame, minimum: int = LEAST_TARGET) -> Column:
+    """The first case that keeps a write from being a target, or null. Cases whose columns the events don't have are passed over.
+
+    The least length is that of trimmed typed text, and asked only where nothing was pasted. A state with the field's own strings needs
+    all of them; any other needs a cursor whose place, the first change's and the net edit's agree.
+    """
+    body, cases = F.coalesce("content", F.lit("")), []
+    if _has(events, "ineligible"):
+        cases.append((F.col("ineligible").isNotNull(), F.col("ineligible")))
+    cases.append((body == "", F.lit("empty_content")))
+    length, pasted = F.length(text.trimmed(body)), F.lit(False)
+    if _has(events, "segments", "authorship"):
+        cases.append((F.col("authorship").isNotNull(), F.lit("authorship_unresolved")))
+        length = F.coalesce(targets.authored_length(F.col("segments")), length)
+        pasted = F.coalesce(F.exists("segments", lambda s: s["type"] == "paste"), F.lit(False))
+    cases.append((~pasted & (length < minimum), F.lit("below_minimum_length")))
+    cases.append((F.col("began_at").isNull(), F.lit("missing_onset")))
+    if _has(events, "conditioning", "fidelity"):
+        state = F.from_json("conditioning", conditioning.CONDITIONING)
+        cursor, status = state["cursorContext"], F.col("fidelity.status")
+        known = F.col("conditioning").isNotNull()  # events without any state are judged by the cases above
+        ranged = F.coalesce(state["schemaVersion"] >= conditioning.RANGE, F.lit(False))
+        complete = cursor["leftContext"].isNotNull() & cursor["selectedText"].isNotNull() & cursor["rightContext"].isNotNull()
+        start = cursor["selectionStartCharacters"]
+        old = known & ~ranged
+        cases += [
+            (known & ranged & ~F.coalesce(complete, F.lit(False)), F.lit("missing_semantic_cursor_context")),
+            (old & start.isNull(), F.lit("missing_initial_cursor_context")),
+            (old & (status == conditioning.NO_MUTATION), F.lit("missing_earliest_observed_mutation")),
+            (old & (status == conditioning.DIFFERS), F.lit(conditioning.DIFFERS)),
+            (old & ((status == conditioning.MOVED) | ~F.col("offset").eqNullSafe(start)), F.lit("net_edit_offset_differs_from_initial_cursor")),
+            (old & ~status.eqNullSafe(conditioning.ALIGNED), F.lit("missing_cursor_fidelity")),
+        ]
+    return F.coalesce(*[F.when(condition, reason) for condition, reason in cases])
+
+
+def _query(events: DataFrame) -> Column:
+    plain = ids.canonical_json(query=F.lit("continue"), window=F.col("window_title"))
+    return F.coalesce(conditioning.query_text(F.col("conditioning")), plain) if _has(events, "conditioning") else plain
 
 
 def contexts(events: DataFrame) -> DataFrame:
@@ -60,24 +94,24 @@ def examples(events: DataFrame, minimum: int = LEAST_TARGET) -> tuple[DataFrame,
     """(examples, exclusions, rejections): each write is in exactly one of them.
 
     An example holds the context text (events joined by line ends, in order), the query and the target. Where events have segments, a
-    target shows a mark for each paste, and a write whose pastes can't be told from what was typed is excluded.
+    target shows a mark for each paste, and a write whose pastes can't be told from what was typed is excluded. The query is what the
+    write was conditioned on, where its event has it.
     """
-    segmented = {"segments", "authorship"} <= set(events.columns)
+    segmented = _has(events, "segments", "authorship")
     judged = convertible(events)
     rejections = judged.where("rejection is not null").select("session_id", "event_id", "kind", F.col("rejection").alias("reason"))
     good = judged.where("rejection is null").withColumn("serialized", serialized(events))
-    writes = good.where("kind = 'write'").withColumn("exclusion", target_exclusion(minimum, segmented)).withColumn("target_", targets.target_text(F.col("segments")) if segmented else F.col("content"))
+    writes = good.where("kind = 'write'").withColumn("exclusion", target_exclusion(good, minimum)).withColumn("target_", targets.target_text(F.col("segments")) if segmented else F.col("content"))
     exclusions = writes.where("exclusion is not null").select("session_id", "event_id", F.col("exclusion").alias("reason"), F.length("content").alias("n_chars"))
     order = W.partitionBy("session_id").orderBy("available_at", "line")
     placed = good.select("session_id", (F.row_number().over(order)).alias("place"), "event_id", "serialized")
-    wanted = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", F.col("target_").alias("content"), "window_title", "n_context")
+    wanted = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", F.col("target_").alias("content"), _query(writes).alias("query"), "n_context")
     history = wanted.join(placed, "session_id").where(F.col("place") <= F.col("n_context"))
     joined = F.array_sort(F.collect_list(F.struct("place", "event_id", "serialized")))
     history = history.groupBy("session_id", "target_id").agg(joined.alias("h"))
     out = wanted.join(history, ["session_id", "target_id"], "left")
     context = F.coalesce(F.array_join(F.transform("h", lambda x: x["serialized"]), "\n"), F.lit(""))
-    query = ids.canonical_json(query=F.lit("continue"), window=F.col("window_title"))
-    out = out.withColumn("context", context).withColumn("query", query)
+    out = out.withColumn("context", context)
     out = out.withColumn("model_input", F.when(F.col("context") == "", F.col("query")).otherwise(F.concat("context", F.lit("\n"), "query")))
     context_ids = F.coalesce(F.transform("h", lambda x: x["event_id"]), F.array().cast("array<string>"))
     return out.select("session_id", F.col("target_id").alias("event_id"), "began_at", "n_context", "context", "query", "model_input", context_ids.alias("context_ids"), F.col("content").alias("target")), exclusions, rejections

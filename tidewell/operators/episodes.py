@@ -57,7 +57,7 @@ def fold_session(rows: pd.DataFrame) -> pd.DataFrame:
             near = touches(first_before, last.after_value or "", r.after_value or "")
             gap = (r.began_at - last.available_at) / 1e6
             revision = last.boundary_reason == "pointer_selection_boundary" and r.element == last.element and 0 <= gap <= REVISION_SECONDS
-            if same and continues and not novel and last.boundary_reason != "prompt_submitted":
+            if same and continues and not novel and last.boundary_reason != "submission_boundary":
                 why = "same_region" if near else "caret_revision" if revision else ""
         if not why:
             episode, member, first_before = episode + 1, 0, r.before_value or ""
@@ -75,7 +75,7 @@ def fold(events: DataFrame) -> DataFrame:
 
 def closure_status(e: Column) -> Column:
     """How an episode closed."""
-    return text.first_reason((e == "prompt_submitted", "submitted"), (e.isin("pointer_selection_boundary", "pointer_context_boundary"), "pointer_left"), (e == "target_changed", "new_frontier"), (e == "write_delay_elapsed", "persistent"), (F.lit(True), "open"))
+    return text.first_reason((e == "submission_boundary", "submitted"), (e.isin("pointer_selection_boundary", "pointer_context_boundary"), "pointer_left"), (e == "target_changed", "new_frontier"), (e == "write_delay_elapsed", "persistent"), (F.lit(True), "open"))
 
 
 def closed(events: DataFrame, members: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from tidewell.sources.journal import instant
 SOURCES = (("returnCheckpoints", "pre_return_checkpoint", 3), ("pasteCheckpoints", "post_paste_checkpoint", 2), ("mutationCheckpoints", "post_input_checkpoint", 1))
 #: Fixed value: hints of a burst that cuts and does no more.
 CUTTING = ("cut", "navigation")
-CHOSEN = "struct<value:string,source:string,checkpoint_id:string,reason:string>"
-_POINT = "struct<t:bigint,weight:int,place:int,seen:bigint,source:string,checkpoint_id:string,value:string>"
+CHOSEN = "struct<value:string,source:string,checkpoint_id:string,reason:string,observed_at:string,observation_id:string>"
+_POINT = "struct<t:bigint,weight:int,place:int,seen:bigint,source:string,checkpoint_id:string,value:string,observed_at:string,observation_id:string>"
 
 
 def _no_errors(c: Column) -> Column:
@@ -33,13 +33,14 @@ def points(checkpoints: Column, source: str, weight: int) -> Column:
         lambda p, i: F.when(fit(p), F.struct(
             F.coalesce(p["eventTimestampNanoseconds"], F.lit(0)).cast("bigint").alias("t"), F.lit(weight).alias("weight"), (-i).cast("int").alias("place"), instant(p["observation"]["observedAt"]).alias("seen"),
             F.lit(source).alias("source"), p["checkpointID"].alias("checkpoint_id"), text.logical_value(p["observation"]["value"], p["observation"]["placeholderValue"]).alias("value"),
+            p["observation"]["observedAt"].alias("observed_at"), p["observation"]["observationID"].alias("observation_id"),
         )),
     )
     return F.coalesce(listed, F.array().cast(f"array<{_POINT}>"))
 
 
 def with_observation(writes: DataFrame) -> DataFrame:
-    """Adds chosen: (value, source, checkpoint_id, reason), null if nothing can be trusted; needs before_value beside the record's columns.
+    """Adds chosen: (value, source, checkpoint_id, reason, observed_at, observation_id), null if nothing can be trusted; needs before_value beside the record's columns.
 
     In this order: what was seen before a return that ended the burst; the latest checkpoint where the terminal state is missing; nothing
     where it is cut; what was seen before a last return that the terminal state doesn't hold; a last checkpoint that goes on where
@@ -58,7 +59,7 @@ def with_observation(writes: DataFrame) -> DataFrame:
     rows = rows.withColumn("path_", F.transform(timed, lambda x: x["p"])).withColumn("end_", F.try_element_at("path_", F.lit(-1)))
     terminal = text.logical_value(F.col("after.value"), F.col("after.placeholderValue"))
     rows = rows.withColumn("terminal_", terminal)
-    point = lambda p, reason: F.struct(p["value"].alias("value"), p["source"].alias("source"), p["checkpoint_id"].alias("checkpoint_id"), F.lit(reason).alias("reason")).cast(CHOSEN)
+    point = lambda p, reason: F.struct(p["value"].alias("value"), p["source"].alias("source"), p["checkpoint_id"].alias("checkpoint_id"), F.lit(reason).alias("reason"), p["observed_at"].alias("observed_at"), p["observation_id"].alias("observation_id")).cast(CHOSEN)
     seen, end, latest, ret = F.col("terminal_"), F.col("end_"), F.col("latest_"), F.col("return_")
     none = F.lit(None).cast(CHOSEN)
     missing = F.col("after").isNull() | ~_no_errors(F.col("afterAXErrors"))
@@ -83,6 +84,6 @@ def with_observation(writes: DataFrame) -> DataFrame:
         .when(only_cut & true(left.isNotNull()), point(left, "cut_post_input_checkpoint"))
         .when(as_before, F.when(latest["source"] != "post_input_checkpoint", point(latest, "terminal_matches_before")))
         .when((text.trimmed(seen) == "") & latest.isNotNull(), point(latest, "terminal_unpopulated"))
-        .otherwise(F.struct(seen.alias("value"), F.lit("terminal_after").alias("source"), F.lit(None).cast("string").alias("checkpoint_id"), F.lit("terminal_observation").alias("reason")).cast(CHOSEN))
+        .otherwise(F.struct(seen.alias("value"), F.lit("terminal_after").alias("source"), F.lit(None).cast("string").alias("checkpoint_id"), F.lit("terminal_observation").alias("reason"), F.col("after.observedAt").alias("observed_at"), F.col("after.observationID").alias("observation_id")).cast(CHOSEN))
     )
     return rows.withColumn("chosen", chosen).drop("p1_", "p2_", "p3_", "latest_", "return_", "path_", "end_", "terminal_")

@@ -66,6 +66,24 @@ def ordinal_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
     return placed.join(first, on).withColumn(name, F.col(name) - F.col("first_")).drop("first_", *[f"{k}_of" for k in keys])
 
 
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over the rows of the key that come before, by ranges, so that no task holds a hot key.
+
+    Rows are dealt by ranges of key and order and summed inside; the sums of a key's ranges before, one row for each key and range, are added.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *keys, *order).withColumn("part_", F.spark_partition_id())
+    ranged = cut(ranged.withColumns({f"{k}_own": v for k, v in sums.items()}))  # ranges are drawn from a sample: all uses see the same ones
+    inside = W.partitionBy("part_", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.withColumns({k: F.coalesce(F.sum(f"{k}_own").over(inside), F.lit(0)) for k in sums})
+    totals = ranged.groupBy("part_", *keys).agg(*[F.coalesce(F.sum(f"{k}_own"), F.lit(0)).alias(f"{k}_own") for k in sums])
+    earlier = W.partitionBy(*keys).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    shift = totals.select(F.col("part_").alias("part_of"), *[F.col(k).alias(f"{k}_of") for k in keys], *[F.coalesce(F.sum(f"{k}_own").over(earlier), F.lit(0)).alias(f"{k}_shift") for k in sums])
+    on = [F.col("part_") == F.col("part_of"), *[F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]]
+    out = placed.join(shift, on)
+    return out.withColumns({k: F.col(k) + F.col(f"{k}_shift") for k in sums}).select(*rows.columns, *sums)
+
+
 def viewport_novelty(rows: DataFrame, keys: Sequence[str], order: Sequence[str], content: str, resets: Column | None = None) -> DataFrame:
     """Adds emitted: the lines of each viewport that the row before of its key did not show.
 

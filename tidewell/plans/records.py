@@ -35,74 +35,90 @@ def _surface(title: Column, shift: Column, high: Column) -> Column:
 
 @query("""
 SELECT doc_id, CASE WHEN lang IS NULL THEN 'missing_record_id' WHEN source IN ('src1', 'src3') THEN 'surface_changed_during_capture' WHEN source = 'src4' THEN 'superseded_by_write'
-  WHEN source = 'src5' AND n_chars % 600 < 300 THEN 'auxiliary_surface' WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'empty_content' WHEN n_chars > 5000 THEN 'truncated_content' END AS reason
+  WHEN source = 'src5' AND n_chars % 600 < 300 THEN 'auxiliary_surface' WHEN coalesce(text, '') = '' THEN 'empty_content' WHEN n_chars > 5000 THEN 'truncated_content' END AS reason
 FROM documents
 """)
 def read_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reader's cascade: what keeps each observation from being an event. Surfaces within a point are the same."""
+    """The reader's cascade: what keeps each observation from being an event. Surfaces within a point are the same, and only browsers have auxiliary ones."""
     d, source = table(spark, sf_dir, "documents"), F.col("source")
     high = F.when(source == "src5", F.col("n_chars") % 600).otherwise(900)
     shift = F.when(source == "src2", 1).when(source == "src3", 2).otherwise(0)
     post = F.when(source.isin("src1", "src2", "src3"), _surface(F.when(source == "src1", "other").otherwise("w"), shift, high))
     journal = _journal(
         d, "screen_ocr_observation", F.col("source"), F.col("doc_id"), recordID=F.when(F.col("lang").isNotNull(), F.concat(F.lit("r"), "doc_id")), capturedAt=_stamp(F.col("doc_id")), content=F.col("text"), contentWasTruncated=F.col("n_chars") > 5000,
-        supersedingWriteAttemptID=F.when(source == "src4", "w"), triggerSurface=_surface(F.lit("w"), F.lit(0), high), postCaptureSurface=post, windowBounds=_surface(F.lit("w"), F.lit(0), high)["windowBounds"], bundleIdentifier=F.when(source == "src5", "org.chromium.app").otherwise("app"), processIdentifier=F.lit(3),
+        supersedingWriteAttemptID=F.when(source == "src4", "w"), triggerSurface=_surface(F.lit("w"), F.lit(0), high), postCaptureSurface=post, windowBounds=_surface(F.lit("w"), F.lit(0), high)["windowBounds"], bundleIdentifier=F.when(source == "src5", F.element_at(F.array(F.lit("com.google.Chrome"), F.lit("company.thebrowser.Browser")), (F.col("doc_id") % 2 + 1).cast("int"))).otherwise("org.chromium.app"), processIdentifier=F.lit(3),
+        displayID=F.lit(1), windowID=F.lit(7), windowTitle=F.lit("w"),
     )
     return reduce.read_candidates(journal).select(F.col("line").alias("doc_id"), "reason")
 
 
-WRITES = f"(SELECT *, CASE WHEN turn % 5 = 1 AND length(before) > 30 THEN '' ELSE before END AS was FROM {PAIRS})"
+ROWS = "(SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)"
+WRITES = f"(SELECT *, CASE WHEN turn % 5 = 1 AND length(before) > 30 THEN '' ELSE before END AS was FROM {ROWS} WHERE nth > 1)"
 
 
 def _write_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as a write over the one before it; where turn % 5 is 1, a long field shows its placeholder instead."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null and text is not null")
+    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).withColumn("nth", F.row_number().over(w)).where("nth > 1")
     shown = (F.col("turn") % 5 == 1) & (F.length("before") > 30)
-    state = lambda v, hint, cut: F.struct(v.alias("value"), hint.alias("placeholderValue"), cut.alias("valueWasTruncated"))
+    state = lambda v, hint, cut, i: F.struct(v.alias("value"), hint.alias("placeholderValue"), cut.alias("valueWasTruncated"), i.alias("observationID"))
     none = F.lit(None).cast("string")
-    hints = F.when(F.col("turn") % 4 == 0, F.array(F.lit("character"))).when(F.col("turn") % 4 == 1, F.array(F.lit("delete"))).when(F.col("turn") % 4 == 2, F.array(F.lit("cut"))).otherwise(F.array(F.lit("paste"), F.lit("character")))
+    hints = F.when(F.col("turn") % 4 == 0, F.array(F.lit("typed"))).when(F.col("turn") % 4 == 1, F.array(F.lit("delete"), F.lit("navigation"))).when(F.col("turn") % 4 == 2, F.array(F.lit("cut"), F.lit("navigation"))).otherwise(F.array(F.lit("paste"), F.lit("typed")))
     return _journal(
         rows, "active_tap_write_attempt", F.col("conv_id"), F.col("turn"), recordID=F.when(F.col("role") != "system", F.concat_ws("-", "conv_id", "turn")), beganAt=_stamp(F.col("turn") * 10), terminalDecisionAt=_stamp(F.col("turn") * 10 + 8), inputHints=hints, tapTimeoutCountDuringBurst=F.when(F.col("conv_id") % 11 == 3, 1),
-        before=state(F.col("before"), F.when(shown, F.concat(F.lit(" "), "before")).otherwise(none), F.length("before") > 400), after=F.when(F.col("conv_id") % 13 != 5, state(F.col("text"), none, F.length("text") > 450)),
-        beforeAXErrors=F.when(F.col("conv_id") % 17 == 4, F.array(F.lit("e"))), targetIdentity=F.struct(F.when(F.col("conv_id") % 19 == 6, "AXSecureTextField").otherwise("AXTextArea").alias("role"), F.lit("note").alias("fieldLabel"), F.lit(3).alias("processIdentifier"), F.lit("w").alias("windowTitle")), boundaryReason=F.lit("write_delay_elapsed"),
+        before=state(F.col("before"), F.when(shown, F.concat(F.lit(" "), "before")).otherwise(none), F.length("before") > 400, F.lit("b")), after=F.when(F.col("conv_id") % 13 != 5, state(F.col("text"), none, F.length("text") > 450, F.concat_ws("-", F.lit("o"), "turn"))),
+        beforeAXErrors=F.when(F.col("conv_id") % 17 == 4, F.array(F.lit("e"))), targetIdentity=F.struct(F.when(F.col("conv_id") % 19 == 6, "AXSecureTextField").otherwise("AXTextArea").alias("role"), F.lit("note").alias("fieldLabel"), F.lit(3).alias("processIdentifier"), F.lit("w").alias("windowTitle")), boundaryReason=F.when(F.col("turn") % 10 == 9, "target_changed").otherwise("write_delay_elapsed"),
     )
 
 
-#: The edit of each write in SQL, and the cascade over it.
-CASCADE = f"""(SELECT *, CASE WHEN role = 'system' THEN 'missing_record_id' WHEN conv_id % 11 = 3 THEN 'tap_timeout_during_burst' WHEN conv_id % 19 = 6 THEN 'sensitive_field' WHEN conv_id % 17 = 4 THEN 'before_error' WHEN length(before) > 400 THEN 'before_truncated'
-  WHEN conv_id % 13 = 5 THEN 'no_observation' WHEN length(text) > 450 THEN 'observation_truncated' WHEN turn % 4 = 2 AND length(text) >= length(was) THEN 'cut_did_not_contract' WHEN removed = '' AND inserted = '' THEN 'empty_or_unreproduced_edit'
-  WHEN turn % 4 IN (1, 2) AND inserted <> '' THEN 'inserted_without_insertion' WHEN length(removed) >= 16 AND contains(inserted, removed) THEN 'formatting_change' END AS reason
+#: The edit of each write in SQL, and the cascade over it. A cut writes nothing; a paste that no checkpoint shows stays in history.
+CASCADE = f"""(SELECT *, CASE WHEN role = 'system' THEN 'missing_record_id' WHEN conv_id % 11 = 3 THEN 'tap_timeout_during_burst' WHEN conv_id % 19 = 6 THEN 'sensitive_field' WHEN conv_id % 17 = 4 THEN 'before_error' WHEN length(before) > 400 THEN 'before_truncated' WHEN before IS NULL THEN 'before_missing'
+  WHEN conv_id % 13 <> 5 AND length(text) > 450 THEN 'observation_truncated' WHEN conv_id % 13 = 5 OR text IS NULL THEN 'no_observation' WHEN turn % 4 = 2 AND length(text) >= length(was) THEN 'cut_did_not_contract' WHEN removed = '' AND inserted = '' THEN 'empty_or_unreproduced_edit'
+  WHEN turn % 4 = 1 AND inserted <> '' THEN 'inserted_without_insertion' WHEN turn % 4 <> 3 AND length(removed) >= 16 AND contains(inserted, removed) THEN 'formatting_change'
+  WHEN turn % 4 = 0 AND contains(inserted, chr(8203)) THEN 'application_generated_zero_width_scaffold' END AS reason
   FROM (SELECT *, substr(was, p + 1, lb - p - s) AS removed, substr(text, p + 1, lt - p - s) AS inserted FROM (SELECT *, least(s0, least(lb, lt) - p) AS s FROM (SELECT *, length(was) AS lb, length(text) AS lt,
   (SELECT coalesce(max(i), 0) FROM range(1, least(length(was), length(text)) + 1) r(i) WHERE left(was, i) = left(text, i)) AS p,
-  (SELECT coalesce(max(i), 0) FROM range(1, least(length(was), length(text)) + 1) r(i) WHERE right(was, i) = right(text, i)) AS s0 FROM {WRITES} WHERE text IS NOT NULL))))"""
+  (SELECT coalesce(max(i), 0) FROM range(1, least(length(was), length(text)) + 1) r(i) WHERE right(was, i) = right(text, i)) AS s0 FROM {WRITES}))))"""
 
 
-@query(f"SELECT conv_id, turn, reason, CASE WHEN reason IS NULL THEN p END AS edit_offset, CASE WHEN reason IS NULL THEN sha256(inserted) END AS content_sha256 FROM {CASCADE}")
+@query(f"""SELECT conv_id, turn, reason, CASE WHEN reason IS NULL THEN p END AS edit_offset, CASE WHEN reason IS NULL THEN sha256(CASE WHEN turn % 4 = 2 THEN '' ELSE inserted END) END AS content_sha256,
+CASE WHEN reason IS NULL AND turn % 4 = 3 THEN 'paste_checkpoint_missing' END AS authorship FROM {CASCADE}""")
 def write_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The writer's cascade in its order, and the net edit of each write that passes."""
+    """The writer's cascade in its order, the net edit of each write that passes, and why its pastes can't be told apart."""
     w = reduce.write_candidates(_write_journal(spark, sf_dir))
     good = F.col("reason").isNull()
-    return w.select(F.col("session_id").cast("long").alias("conv_id"), F.col("line").alias("turn"), "reason", F.when(good, F.col("offset")).alias("edit_offset"), F.when(good, F.sha2("content", 256)).alias("content_sha256"))
+    return w.select(F.col("session_id").cast("long").alias("conv_id"), F.col("line").alias("turn"), "reason", F.when(good, F.col("offset")).alias("edit_offset"), F.when(good, F.sha2("content", 256)).alias("content_sha256"), F.when(good, F.col("authorship")).alias("authorship"))
 
 
 @query(f"""
-WITH w AS (SELECT * FROM {CASCADE} WHERE role <> 'system'),
-c AS (SELECT conv_id, turn AS closure_line, turn - 1 AS of_turn, CASE WHEN turn % 7 = 2 THEN 'pending' ELSE 'validated_transition' END AS disposition, CASE WHEN turn % 9 = 4 THEN sha256('') ELSE sha256(before) END AS digest, turn * 10 - (CASE WHEN turn % 8 = 5 THEN 40 ELSE 0 END) AS seen FROM {PAIRS}
-  UNION ALL SELECT conv_id, turn + 1000, turn - 1, 'validated_transition', sha256(before), turn * 10 + 1 FROM {PAIRS} WHERE turn % 3 = 0),
-j AS (SELECT c.*, CASE WHEN w.conv_id IS NULL THEN 'source_write_missing' WHEN disposition <> 'validated_transition' THEN 'transition_not_validated' WHEN sha256(CASE WHEN w.conv_id % 13 = 5 OR length(w.text) > 450 THEN '' ELSE w.text END) <> digest THEN 'terminal_value_differs' WHEN seen < w.turn * 10 THEN 'closure_before_write' END AS why
-  FROM c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.of_turn)
-SELECT conv_id, closure_line, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY conv_id, of_turn, why IS NULL ORDER BY seen, closure_line) > 1 THEN 'duplicate_closure' END) AS reason FROM j
+WITH w AS (SELECT *, conv_id % 13 = 5 OR text IS NULL OR length(text) > 450 AS lost FROM {WRITES} WHERE role <> 'system'),
+c AS (SELECT conv_id, turn AS closure_line, turn - 1 AS of_turn, 0 AS k, turn, before FROM {ROWS} WHERE nth > 1 UNION ALL SELECT conv_id, turn + 1000, turn - 1, 1, turn, before FROM {ROWS} WHERE nth > 1 AND turn % 3 = 0),
+j AS (SELECT c.*, CASE WHEN w.conv_id IS NULL THEN 'closure_source_write_missing' WHEN w.lost OR of_turn % 10 = 9 OR c.turn % 7 = 3 AND k = 0 THEN 'closure_terminal_observation_mismatch'
+    WHEN w.text = '' OR c.turn % 9 = 4 AND k = 0 THEN 'closure_pre_action_state_mismatch' WHEN c.turn % 8 = 5 AND k = 0 THEN 'closure_action_or_timing_invalid' WHEN c.turn % 11 = 6 AND k = 0 THEN 'closure_action_not_semantically_submissive'
+    WHEN c.turn % 13 = 7 AND k = 0 THEN 'closure_post_action_transition_invalid' END AS why FROM c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.of_turn WHERE c.turn % 7 <> 2 OR k = 1)
+SELECT conv_id, closure_line, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY conv_id, of_turn, why IS NULL ORDER BY closure_line) > 1 THEN 'duplicate_confirmed_closure_for_write' END) AS reason FROM j
 """)
 def submission_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which submission closes which write: a validated transition from the write's own last value, the first of several."""
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
-    record = lambda r, line, at, disposition, digest: _journal(r, "prompt_submission_observation", F.col("conv_id"), line, recordID=F.concat_ws("-", F.lit("c"), "conv_id", line), observedAt=_stamp(at), sourceWriteRecordID=F.concat_ws("-", "conv_id", F.col("turn") - 1), terminalValueSHA256=digest, disposition=disposition)
-    whole, valid = F.sha2("before", 256), F.lit("validated_transition")
-    first = record(rows, F.col("turn"), F.col("turn") * 10 - F.when(F.col("turn") % 8 == 5, 40).otherwise(0), F.when(F.col("turn") % 7 == 2, "pending").otherwise(valid), F.when(F.col("turn") % 9 == 4, F.sha2(F.lit(""), 256)).otherwise(whole))
-    second = record(rows.where("turn % 3 = 0"), F.col("turn") + 1000, F.col("turn") * 10 + 1, valid, whole)
-    writes = reduce.write_candidates(_write_journal(spark, sf_dir)).where("record_id is not null")
-    return reduce.closures(first.union(second), writes).select(F.col("session_id").cast("long").alias("conv_id"), "closure_line", "reason")
+    """Which confirmed submission closes which write: each check of the evidence in its order, the first valid one of several."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).withColumn("nth", F.row_number().over(w)).where("nth > 1")
+    turn, none = F.col("turn"), F.lit(None).cast("string")
+    state = lambda v: F.struct(v.alias("value"), F.lit("x").alias("observationID"))
+
+    def record(r: DataFrame, line: Column, first: bool) -> DataFrame:
+        at = lambda m, rest: (turn % m == rest) & F.lit(first)
+        gone = turn % 2 == 0
+        how = F.when(at(7, 2), "prompt_remained_populated").when(gone, "confirmed_field_disappeared").when(turn % 4 == 1, "confirmed_field_cleared").otherwise("confirmed_placeholder_restored")
+        click = F.struct(F.lit("pointer_click").alias("kind"), _stamp(turn * 10 + 1).alias("observedAt"), F.when(at(11, 6), "cancel").otherwise("send").alias("matchedSubmissionTerm"))
+        key = F.struct(F.when(at(11, 6), "modified_return").otherwise("unmodified_return").alias("kind"), _stamp(turn * 10 + 1).alias("observedAt"), none.alias("matchedSubmissionTerm"))
+        return _journal(
+            r, "prompt_submission_observation", F.col("conv_id"), line, recordID=F.concat_ws("-", F.lit("c"), "conv_id", line), sourceWriteRecordID=F.concat_ws("-", "conv_id", turn - 1), terminalObservationID=F.when(at(7, 3), "other").otherwise(F.concat_ws("-", F.lit("o"), turn - 1)), disposition=how,
+            terminalValueSHA256=F.sha2("before", 256), terminalCharacterCount=F.length("before") + F.when(at(9, 4), 1).otherwise(0), preActionObservation=state(F.col("before")), referenceRetainedAt=_stamp(turn * 10), action=F.when(turn % 3 == 1, click).otherwise(key),
+            observedAt=_stamp(turn * 10 + F.when(at(8, 5), -1).otherwise(2)), postActionObservation=F.when(~gone, state(F.when(at(13, 7), "left").otherwise(""))), postActionAXErrors=F.when(gone, F.array(F.when(at(13, 7), "timeout").otherwise("kAX_Invalid_UI_Element"))),
+        )
+
+    journal = _write_journal(spark, sf_dir).union(record(rows, turn, True)).union(record(rows.where("turn % 3 = 0"), turn + 1000, False))
+    return reduce.closures(journal).select(F.col("session_id").cast("long").alias("conv_id"), "closure_line", "reason")
 
 
 @query(f"""
@@ -117,7 +133,7 @@ def contaminated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
     key = [F.col("conv_id").cast("string").alias("session_id"), F.lit(1).alias("pid"), F.col("turn").cast("long").alias("record_id")]
     reads = rows.select(*key, (F.col("turn") * 10).cast("long").alias("captured_at"), F.concat_ws(" ", "text", "before").alias("content"))
-    writes = rows.select(*key, (F.col("turn") * 10).cast("long").alias("began_at"), (F.col("turn") * 10 + 20).cast("long").alias("terminal_at"), F.col("text").alias("after_value"))
+    writes = rows.select(*key, (F.col("turn") * 10).cast("long").alias("began_at"), (F.col("turn") * 10 + 20).cast("long").alias("terminal_at"), F.col("text").alias("content"))
     out = reduce.contaminated_reads(reads, writes, 30)
     return out.select(F.col("session_id").cast("long").alias("conv_id"), F.col("read_id").alias("read_turn"), F.col("shown").cast("long").alias("shown"))
 
@@ -143,7 +159,7 @@ SELECT conv_id, turn, rejection, CASE WHEN kind = 'write' AND rejection IS NULL
 def target_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps an event out of the data set, and a write from being a target."""
     rows = compiled.convertible(_events(spark, sf_dir))
-    excluded = F.when((F.col("kind") == "write") & F.col("rejection").isNull(), compiled.target_exclusion())
+    excluded = F.when((F.col("kind") == "write") & F.col("rejection").isNull(), compiled.target_exclusion(rows))
     key = F.split("event_id", "-")
     return rows.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "rejection", excluded.alias("exclusion"))
 

@@ -10,16 +10,18 @@ from tidewell.sources.shared import cut
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
 OBSERVATION = "struct<observationID:string,observedAt:string,value:string,placeholderValue:string,selectedRangeLocation:int,selectedRangeLength:int,valueWasTruncated:boolean>"
+PROBE = "struct<errors:array<string>,left:struct<text:string,axError:string,rangeLength:int>,selected:struct<text:string,axError:string,rangeLength:int>,right:struct<text:string,axError:string,rangeLength:int>>"
+BEFORE = f"{OBSERVATION[:-1]},valueRepresentedPlaceholder:boolean,axRangeCursorProbe:{PROBE}>"
 SURFACE = f"struct<displayID:bigint,windowID:bigint,windowTitle:string,windowBounds:{RECT},appName:string,bundleIdentifier:string,processIdentifier:int>"
 CHECKPOINT = f"struct<checkpointID:string,eventTimestampNanoseconds:bigint,axErrors:array<string>,inputObservedAt:string,observation:{OBSERVATION}>"
-PASTE = f"struct<checkpointID:string,eventTimestampNanoseconds:bigint,axErrors:array<string>,clipboardSnapshotID:string,inputObservedAt:string,clipboardText:string,prePasteObservation:{OBSERVATION},observation:{OBSERVATION}>"
+PASTE = f"struct<checkpointID:string,eventTimestampNanoseconds:bigint,axErrors:array<string>,prePasteAXErrors:array<string>,clipboardSnapshotID:string,clipboardChangeCount:bigint,clipboardTextWasTruncated:boolean,inputObservedAt:string,clipboardText:string,prePasteObservation:{OBSERVATION},observation:{OBSERVATION}>"
 TARGET = "struct<elementHash:bigint,processIdentifier:int,bundleIdentifier:string,windowTitle:string,role:string,subrole:string,accessibilityIdentifier:string,fieldLabel:string,fieldDescription:string>"
 
 #: The schema that each record type is read with. Unknown types are passed over.
 SCHEMAS = {
     "screen_ocr_observation": f"recordID string, capturedAt string, lastActivityAt string, content string, contentWasTruncated boolean, supersedingWriteAttemptID string, triggerSurface {SURFACE}, postCaptureSurface {SURFACE}, windowBounds {RECT}, windowTitle string, windowID bigint, displayID bigint, appName string, bundleIdentifier string, processIdentifier int",
-    "active_tap_write_attempt": f"recordID string, beganAt string, lastInputAt string, terminalDecisionAt string, inputEventCount int, inputHints array<string>, inputEvents array<struct<hint:string,mutationCapable:boolean>>, boundaryReason string, before {OBSERVATION}, after {OBSERVATION}, returnCheckpoints array<{CHECKPOINT}>, pasteCheckpoints array<{PASTE}>, mutationCheckpoints array<{CHECKPOINT}>, beforeAXErrors array<string>, afterAXErrors array<string>, lastEventTimestampNanoseconds bigint, tapTimeoutCountDuringBurst bigint, targetIdentity {TARGET}, bundleIdentifier string",
-    "prompt_submission_observation": "recordID string, observedAt string, sourceWriteRecordID string, terminalValueSHA256 string, disposition string",
+    "active_tap_write_attempt": f"recordID string, beganAt string, lastInputAt string, observedAt string, terminalDecisionAt string, terminalSnapshotAt string, configuredWriteDelaySeconds double, processIdentifier int, conditioningState string, inputEventCount int, inputHints array<string>, inputEvents array<struct<hint:string,mutationCapable:boolean,eventTimestampNanoseconds:bigint>>, boundaryReason string, before {BEFORE}, after {OBSERVATION}, returnCheckpoints array<{CHECKPOINT}>, pasteCheckpoints array<{PASTE}>, mutationCheckpoints array<{CHECKPOINT}>, beforeAXErrors array<string>, afterAXErrors array<string>, lastEventTimestampNanoseconds bigint, tapTimeoutCountDuringBurst bigint, targetIdentity {TARGET}, bundleIdentifier string",
+    "prompt_submission_observation": f"recordID string, observedAt string, sourceWriteRecordID string, terminalObservationID string, terminalValueSHA256 string, terminalCharacterCount int, referenceRetainedAt string, surfaceValidationErrors array<string>, action struct<kind:string,observedAt:string,matchedSubmissionTerm:string>, preActionObservation {OBSERVATION}, preActionAXErrors array<string>, postActionObservation {OBSERVATION}, postActionAXErrors array<string>, disposition string",
 }
 
 
