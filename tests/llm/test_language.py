@@ -61,3 +61,16 @@ def test_nothing_to_learn(spark):
     assert language.identify(frame(spark, [])).collect() == []
     got = language.identify(frame(spark, [(1, "abc", None, *[None] * 7)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
+
+
+def test_large_counts_many_languages_repeats_and_long_texts(spark, monkeypatch):
+    rows = [(i, "the cat and the dog " * 9 if i % 2 else "der hund und die katze " * 9, "en" if i % 2 else "de") for i in range(120)]
+    rows += [(1000 + i, f"odd words {i}", f"rare{i}") for i in range(40)] + [rows[4], rows[4], (5000, "the cat and the dog " * 40_000, "en"), (None, "der hund", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language.identify(table, sample=8).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"en", "de", *(f"rare{i}" for i in range(40))}
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identify(table.where("lang in ('en', 'de') or lang is null"), sample=40).collect()}
+    assert by[5000] == "en" and by[3] == "en" and by[4] == "de"
+    # the hash of a row may be multiplied by any number of rows
+    h, n = (1 << 40) - 1, 10**9
+    assert spark.sql(f"select {h}L / {float(1 << 40)}D * {n}L <= 1650 as x").first()["x"] is False

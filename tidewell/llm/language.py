@@ -17,8 +17,8 @@ from tidewell.llm.sparktools import arrow_batches, released
 
 #: Bytes in a window, of a byte's vector, in each width of filters, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 6, (2, 3, 4), 12
-#: Rows that the network is fitted on at most, as many of each language (those with the smallest hashes of doc_id), windows from each, training passes.
-SAMPLE, WINDOWS_EACH, EPOCHS, RATE, BATCH = 4000, 3, 4, 4e-3, 64
+#: Rows that the network is fitted on at most, as many of each language (those with the smallest hashes of doc_id), all of their windows; training passes.
+SAMPLE, EPOCHS, RATE, BATCH = 800, 4, 4e-3, 64
 #: Windows in one numpy pass.
 TOGETHER = 256
 
@@ -119,8 +119,8 @@ def fit(rows: np.ndarray, y: np.ndarray, hold: np.ndarray, classes: list[str], e
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of each row's whole text.
 
-    Learned from text and non-null lang of at most ``sample`` rows that are not held out, as many of each language, the ones with
-    the smallest hashes of doc_id, and up to three windows spread over each; so a rare language is learned too. A text's scores are the softmax of its windows' mean
+    Learned from the whole texts and non-null lang of at most ``sample`` rows that are not held out, as many of each language, the ones with
+    the smallest hashes of doc_id; so a rare language is learned too. Of more languages than ``sample`` the most frequent are learned. A text's scores are the softmax of its windows' mean
     logits, weighted by their bytes and divided by the calibrated temperature; ties go to the first language in order.
     Null texts and texts without a letter are ``und`` with score 0; so are all if nothing can be learned. Repeated
     rows and rows without a doc_id are predicted like any other; extra columns are ignored; an empty table gives an empty result. A
@@ -131,25 +131,21 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where("lang is not null and doc_id is not null").where(letter & ~held_out(F.col("doc_id"), folds, fold))
     pairs = known.select("doc_id", "lang").distinct()
-    per = pairs.groupBy("lang").agg(F.count("*").alias("n"))
-    each = -(-sample // max(1, per.count()))
+    per = pairs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    each = max(1, sample // max(1, per.count()))
     # about twice as many as wanted by the hash alone, so that the ranking sees a bounded number of each language
     hashed = pairs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(F.broadcast(per), "lang")
-    near = hashed.where(F.col("h") * F.col("n") <= F.lit(float((2 * each + 50) * (1 << 40))))
+    near = hashed.where(F.col("h") / F.lit(float(1 << 40)) * F.col("n") <= 2 * each + 50)  # in double: a language may have any number of rows
     chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= each).select("doc_id", "lang")
 
     @released
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for win, text, room, at in windows(b.column(2)):
-                n = np.bincount(text, minlength=at.stop - at.start)
-                k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-                spread = np.minimum(n, WINDOWS_EACH)[text]
-                take = (k * spread) // n[text] != ((k - 1) * spread) // n[text]  # evenly over the text
-                ids, langs = (b.column(c).slice(at.start, at.stop - at.start).take(pa.array(text[take])) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids, langs, pa.array([x.tobytes() for x in win[take]], pa.binary())], ["doc_id", "lang", "bytes"])
-
-    # of rows that repeat a doc_id one is left, and only windows travel: sample * WINDOWS_EACH * WINDOW bytes at most
+            for win, text, _, at in windows(b.column(2)):
+                ids, langs = (b.column(c).slice(at.start, at.stop - at.start).take(pa.array(text)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, langs, pa.array([x.tobytes() for x in win], pa.binary())], ["doc_id", "lang", "bytes"])
+
+    # of rows that repeat a doc_id one is left: the windows of sample texts at most reach the driver
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = texts.mapInArrow(pieces, "doc_id long, lang string, bytes binary").collect()
     got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
