@@ -186,16 +186,17 @@ def test_journal_is_numbered_over_splits(spark, tmp_path):
 
 def test_pastes_are_marks_in_targets(spark, tmp_path):
     state = lambda v: {"observationID": "o", "observedAt": at(1), "value": v}
-    paste = lambda i, was, clip, now: {"checkpointID": i, "eventTimestampNanoseconds": 5, "clipboardText": clip, "prePasteObservation": state(was), "observation": state(now)}
+    paste = lambda i, was, clip, now: {"checkpointID": i, "eventTimestampNanoseconds": 5, "clipboardSnapshotID": "s", "clipboardChangeCount": 1, "clipboardText": clip, "prePasteObservation": state(was), "observation": state(now)}
+    known = {"hints": ("paste", "typed"), "conditioningState": {"schemaVersion": 3, "cursorContext": {"leftContext": "", "selectedText": "", "rightContext": ""}, "clipboard": {"snapshotID": "s", "changeCount": 1}}}
     rows = [
-        write("kept", 1, 2, "", "see LINK here", pasteCheckpoints=[paste("p1", "see ", "LINK", "see LINK")]),
-        write("lost", 3, 4, "", "see LXNK here", pasteCheckpoints=[paste("p2", "see ", "LINK", "see LINK")]),
-        write("other", 5, 6, "", "plain text", pasteCheckpoints=[paste("p3", "a", "LINK", "something else")]),
+        write("kept", 1, 2, "", "see LINK here", pasteCheckpoints=[paste("p1", "see ", "LINK", "see LINK")], **known),
+        write("lost", 3, 4, "", "see LXNK here", pasteCheckpoints=[paste("p2", "see ", "LINK", "see LINK")], **known),
+        write("other", 5, 6, "", "plain text", pasteCheckpoints=[paste("p3", "a", "LINK", "something else")], **known),
     ]
     events, _ = reduce_journal(load(spark, tmp_path, rows))
     got = {r["record_id"]: r for r in events.collect()}
     assert [(s["type"], s["content"]) for s in got["kept"]["segments"]] == [("authored_text", "see "), ("paste", "LINK"), ("authored_text", " here")]
-    assert (got["lost"]["authorship"], got["kept"]["authorship"], got["other"]["authorship"]) == ("paste_span_not_preserved", None, None)
+    assert (got["lost"]["authorship"], got["kept"]["authorship"], got["other"]["authorship"]) == ("paste_span_not_preserved", None, "unproven_ax_epoch_transition")
     ex, exclusions, _ = compiled.examples(events)
-    assert {r["target"] for r in ex.collect()} == {"see <|paste|> here", "plain text"}
-    assert [r["reason"] for r in exclusions.collect()] == ["authorship_unresolved"]
+    assert {r["target"] for r in ex.collect()} == {"see <|paste|> here"}
+    assert [r["reason"] for r in exclusions.collect()] == ["authorship_unresolved"] * 2

@@ -35,7 +35,7 @@ def initial_cursor(value: Column, location: Column, length: Column) -> Column:
 
 def earliest_mutation(before_value: Column) -> Column:
     """struct(at, id, offset) of the first observation that shows the field changed, by (time, ID)."""
-    kind = "struct<at:string,id:string,offset:bigint>"
+    kind = "array<struct<axErrors:array<string>,observation:struct<observationID:string,observedAt:string,value:string,placeholderValue:string,valueWasTruncated:boolean>>>"
 
     def one(p: Column) -> Column:
         o = p["observation"]
@@ -43,8 +43,9 @@ def earliest_mutation(before_value: Column) -> Column:
         edit = text.minimal_edit(before_value, text.logical_value(o["value"], o["placeholderValue"]))
         return F.when(fit & (edit["operation"] != "none"), F.struct(o["observedAt"].alias("at"), o["observationID"].alias("id"), edit["offset"].alias("offset")))
 
-    found = F.concat(*[F.transform(F.coalesce(c, F.array()), one).cast(f"array<{kind}>") for c in CHECKPOINTS])
-    return F.array_min(F.filter(found, lambda x: x.isNotNull()))
+    slim = lambda p: F.struct(p["axErrors"].alias("axErrors"), F.struct(*[p["observation"][k].alias(k) for k in ("observationID", "observedAt", "value", "placeholderValue", "valueWasTruncated")]).alias("observation"))
+    every = F.concat(*[F.coalesce(F.transform(c, slim), F.array().cast(kind)) for c in CHECKPOINTS])
+    return F.array_min(F.transform(every, one))  # a minimum passes over nulls
 
 
 def fidelity_status(initial: Column, earliest: Column, terminal: Column) -> Column:
