@@ -188,8 +188,7 @@ def looks_like_address(c: Column) -> Column:
 
 def submit_term(c: Column, terms: Sequence[str] = SUBMIT_TERMS) -> Column:
     """The first of the terms, in their order, that is a whole word of c; null if none is."""
-    words = F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+")
-    return F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(words, t)), F.lit(0))
+    return let(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda words: F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(words, t)), F.lit(0)))
 
 
 def writable(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import spans, text
+from tidewell.functions.columns import Steps, remembered, with_steps
 
 SEGMENTS = spans.SEGMENTS
 AUTHORSHIP = f"struct<segments:{SEGMENTS},resolution:string,completion:string,continuity:string,evidence:string,observation_id:string,edit:struct<operation:string,offset:bigint,removed:string,inserted:string>>"
@@ -95,14 +96,19 @@ def with_authorship(writes: DataFrame) -> DataFrame:
     a single one may have begun a new, empty state of the field, with typed text before and after it. Everything else is set aside with
     the reason as resolution; if a paste was among the inputs, its text stays in history as one segment unresolved_paste_transition.
     """
+    return with_steps(writes, _resolution()).drop("pastes_", "found_", "delayed_")
+
+
+@remembered
+def _resolution() -> Steps:
     hints, n = F.col("hints"), F.size(F.coalesce("pasteCheckpoints", F.array()))
     clipboard, put, now = F.col("state.clipboard"), F.col("edit.inserted"), F.col("after_value")
-    rows = writes.withColumn("pastes_", F.when(n > 0, judged_pastes(clipboard)))
+    steps: Steps = [{"pastes_": F.when(n > 0, judged_pastes(clipboard))}]
     spans_ = F.transform("pastes_", lambda p: F.struct(p["start"].alias("start"), p["text"].alias("text"), p["paste_id"].alias("paste_id")))
     proven = F.coalesce(F.forall("pastes_", lambda p: p["failure"].isNull() & p["proven"]), F.lit(False))
-    rows = rows.withColumn("found_", spans.paste_segments(F.coalesce(put, F.lit("")), F.coalesce("edit.offset", F.lit(0)).cast("int"), F.when(proven, spans_)))
     first = F.try_element_at("pasteCheckpoints", F.lit(1))
-    rows = rows.withColumn("delayed_", F.when((n == 1) & ~proven & F.try_element_at("pastes_", F.lit(1))["failure"].isNull(), delayed_paste(first)))
+    found = spans.paste_segments(F.coalesce(put, F.lit("")), F.coalesce("edit.offset", F.lit(0)).cast("int"), F.when(proven, spans_))
+    steps.append({"found_": found, "delayed_": F.when((n == 1) & ~proven & F.try_element_at("pastes_", F.lit(1))["failure"].isNull(), delayed_paste(first))})
 
     none = F.lit(None)
 
@@ -140,15 +146,14 @@ def with_authorship(writes: DataFrame) -> DataFrame:
         .when(_true(fresh), segmented)
         .otherwise(aside(F.lit("unproven_ax_epoch_transition")))
     )
-    rows = rows.withColumn("authored", resolved)
+    steps.append({"authored": resolved})
     unresolved = (F.col("authored.resolution") != "resolved") & pasted
     kept = case(_segments(_segment("unresolved_paste_transition", put)), put, "observed_document_transition_unresolved_authorship", "complete_before_selected_observation_minimal_diff", F.col("chosen.observation_id"), resolution="unresolved")
-    rows = rows.withColumn("unresolved_paste", F.when(unresolved, F.col("authored.resolution")))
-    rows = rows.withColumn("authored", F.when(F.col("unresolved_paste").isNotNull(), kept).otherwise(F.col("authored")))
-    return _without_list_marks(rows).drop("pastes_", "found_", "delayed_")
+    steps.append({"unresolved_paste": F.when(unresolved, F.col("authored.resolution")), "authored": F.when(unresolved, kept).otherwise(F.col("authored"))})
+    return [*steps, {"authored": _without_list_marks()}]
 
 
-def _without_list_marks(rows: DataFrame) -> DataFrame:
+def _without_list_marks() -> Column:
     """Takes the marks that an editor puts between list entries out of typed text, where a typed return made them and no other such mark is left."""
     a = F.col("authored")
     marked = lambda s: F.exists(s, lambda x: (x["type"] == "authored_text") & F.contains(x["content"], F.lit(ZERO_WIDTH)))
@@ -168,4 +173,4 @@ def _without_list_marks(rows: DataFrame) -> DataFrame:
     source = F.coalesce(a["edit"], F.col("edit"))
     edit = F.struct(source["operation"].alias("operation"), source["offset"].alias("offset"), source["removed"].alias("removed"), whole.alias("inserted"))
     new = F.struct(cleaned.alias("segments"), a["resolution"].alias("resolution"), whole.alias("completion"), a["continuity"].alias("continuity"), F.lit("obsidian_list_scaffold_normalized_v1").alias("evidence"), a["observation_id"].alias("observation_id"), edit.alias("edit")).cast(AUTHORSHIP)
-    return rows.withColumn("authored", F.when(use, new).otherwise(a))
+    return F.when(use, new).otherwise(a)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
+from tidewell.functions.columns import remembered
 from tidewell.operators.conditioning import CONDITIONING
 from tidewell.operators.sequence import ordinal_within, running
 from tidewell.sources.journal import instant, records
@@ -74,6 +75,11 @@ def goes_on(a: Column, b: Column) -> Column:
     return F.coalesce(base & (still | (typed & grown & ends)), F.lit(False))
 
 
+@remembered
+def _linked() -> Column:
+    return goes_on(F.col("a"), F.col("b"))
+
+
 def merge_navigation(rows: DataFrame) -> DataFrame:
     """The attempts of sessions with chains of navigation as one attempt each; adds lineage, the record IDs that an attempt stands for.
 
@@ -83,7 +89,7 @@ def merge_navigation(rows: DataFrame) -> DataFrame:
     placed = rows.join(places, ["session_id", "line"])
     whole = F.struct(*[F.col(c) for c in rows.columns])
     prior = placed.where("boundaryReason = 'selection_navigation'").select("session_id", (F.col("at_") + 1).alias("at_"), whole.alias("a"))
-    links = placed.select("session_id", "at_", whole.alias("b")).join(prior, ["session_id", "at_"]).where(goes_on(F.col("a"), F.col("b"))).select("session_id", "at_")
+    links = placed.select("session_id", "at_", whole.alias("b")).join(prior, ["session_id", "at_"]).where(_linked()).select("session_id", "at_")
     # links of one chain follow each other, so their place less their rank is the same; there are few links
     island = F.col("at_") - F.row_number().over(W.partitionBy("session_id").orderBy("at_"))
     links = links.withColumn("island_", island)

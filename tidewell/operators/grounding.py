@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
+from tidewell.functions.columns import Steps, remembered, with_steps
 from tidewell.functions.spans import SLIDE, over_columns
 from tidewell.sources.journal import instant
 
@@ -160,20 +161,25 @@ def with_grounded_edit(writes: DataFrame) -> DataFrame:
     checkpoint must have come to the same text. Else an edit that could stand at several places takes the one that the checkpoints
     prove, if no paste could have made them; it never changes its size. Else the smallest edit stands.
     """
+    return with_steps(writes, _grounding()).drop("states_", "replaced_", "placed_")
+
+
+@remembered
+def _grounding() -> Steps:
     hints = F.coalesce("inputHints", F.array().cast("array<string>"))
     until = instant(F.coalesce("chosen.observed_at", "terminalSnapshotAt", "terminalDecisionAt"))
     some = F.size(F.coalesce("mutationCheckpoints", F.array())) > 0
-    rows = writes.withColumn("states_", F.when(some, ordered_states(F.col("mutationCheckpoints"), until)))
+    steps: Steps = [{"states_": F.when(some, ordered_states(F.col("mutationCheckpoints"), until))}]
     typed = F.array_contains(hints, "typed") & ~F.arrays_overlap(hints, F.array(*map(F.lit, NOT_TYPED_ALONE)))
     reached = F.try_element_at("states_", F.lit(-1)) == F.col("after_value")
-    rows = rows.withColumn("replaced_", F.when(F.coalesce(some & typed & reached, F.lit(False)), selected_replacement()))
+    steps.append({"replaced_": F.when(F.coalesce(some & typed & reached, F.lit(False)), selected_replacement())})
     whole = text.apply_edit(F.col("before_value"), F.col("replaced_.offset"), F.col("replaced_.removed"), F.col("replaced_.inserted")).eqNullSafe(F.col("after_value"))
     other = ~(F.col("replaced_.offset").eqNullSafe(F.col("edit.offset")) & F.col("replaced_.removed").eqNullSafe(F.col("edit.removed")) & F.col("replaced_.inserted").eqNullSafe(F.col("edit.inserted")))
     use = F.col("replaced_").isNotNull() & (F.col("replaced_.inserted") != "") & whole & other
-    rows = rows.withColumn("replaced_", F.when(F.coalesce(use, F.lit(False)), F.col("replaced_")))
+    steps.append({"replaced_": F.when(F.coalesce(use, F.lit(False)), F.col("replaced_"))})
     unpasted = F.size(F.coalesce("pasteCheckpoints", F.array())) == 0
     asked = some & unpasted & F.col("replaced_").isNull() & (F.col("edit.operation") != "none") & F.col("before_value").isNotNull() & F.col("after_value").isNotNull()
-    rows = rows.withColumn("placed_", grounded_place(F.col("before_value"), F.col("after_value"), F.when(asked, F.col("states_")), initial_caret()))
+    steps.append({"placed_": grounded_place(F.col("before_value"), F.col("after_value"), F.when(asked, F.col("states_")), initial_caret())})
     at = F.col("placed_.offset")
     part = lambda t, n: F.substring(t, at + 1, F.length(n))
     moved = F.struct(F.col("edit.operation").alias("operation"), at.cast("bigint").alias("offset"), part(F.col("before_value"), F.col("edit.removed")).alias("removed"), part(F.col("after_value"), F.col("edit.inserted")).alias("inserted"))
@@ -181,6 +187,5 @@ def with_grounded_edit(writes: DataFrame) -> DataFrame:
     expanded = F.struct(kind.alias("operation"), F.col("replaced_.offset").alias("offset"), F.col("replaced_.removed").alias("removed"), F.col("replaced_.inserted").alias("inserted"))
     rule = F.when(F.col("replaced_").isNotNull(), REPLACEMENT).when(at.isNotNull(), EQUIVALENT).otherwise(CANONICAL)
     count = F.when(F.col("replaced_").isNotNull(), F.size("states_")).when(at.isNotNull(), F.col("placed_.states")).otherwise(0)
-    rows = rows.withColumn("alignment", F.struct(rule.alias("rule"), count.alias("states")))
-    rows = rows.withColumn("observed_edit", F.col("edit")).withColumn("edit", F.when(F.col("replaced_").isNotNull(), expanded).when(at.isNotNull(), moved).otherwise(F.col("edit")))
-    return rows.drop("states_", "replaced_", "placed_")
+    edit = F.when(F.col("replaced_").isNotNull(), expanded).when(at.isNotNull(), moved).otherwise(F.col("edit"))
+    return [*steps, {"alignment": F.struct(rule.alias("rule"), count.alias("states")), "observed_edit": F.col("edit"), "edit": edit}]

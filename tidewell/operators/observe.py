@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
+from tidewell.functions.columns import Steps, remembered, with_steps
 from tidewell.functions.targets import is_coherent, is_terminal_jump
 from tidewell.sources.journal import instant
 
@@ -47,18 +48,23 @@ def with_observation(writes: DataFrame) -> DataFrame:
     the terminal state jumps; what a cut left; the latest return or paste where the field looks as before; the latest
     checkpoint where it looks empty; the terminal state.
     """
-    rows = writes.withColumns({f"p{weight}_": points(F.col(name), source, weight) for name, source, weight in SOURCES})
+    return with_steps(writes, _choice()).drop("p1_", "p2_", "p3_", "latest_", "return_", "path_", "end_", "terminal_")
+
+
+@remembered
+def _choice() -> Steps:
+    steps: Steps = [{f"p{weight}_": points(F.col(name), source, weight) for name, source, weight in SOURCES}]
     before, last = F.coalesce("before_value", F.lit("")), F.col("lastEventTimestampNanoseconds")
     changed = lambda p: p.isNotNull() & (p["value"] != before)
     in_time = lambda p: last.isNull() | (p["t"] <= last)
-    rows = rows.withColumn("latest_", F.array_max(F.filter(F.concat("p3_", "p2_", "p1_"), lambda p: changed(p) & in_time(p))))
+    first = {"latest_": F.array_max(F.filter(F.concat("p3_", "p2_", "p1_"), lambda p: changed(p) & in_time(p)))}
     final_return = F.try_element_at("p3_", F.lit(-1))
-    rows = rows.withColumn("return_", F.when(changed(final_return), final_return))
+    first["return_"] = F.when(changed(final_return), final_return)
     # mutation checkpoints in order of time, for the trajectory
     timed = F.array_sort(F.transform(F.filter("p1_", lambda p: p.isNotNull() & p["seen"].isNotNull()), lambda p: F.struct(p["t"].alias("t"), p["seen"].alias("seen"), p.alias("p"))))
-    rows = rows.withColumn("path_", F.transform(timed, lambda x: x["p"])).withColumn("end_", F.try_element_at("path_", F.lit(-1)))
-    terminal = text.logical_value(F.col("after.value"), F.col("after.placeholderValue"))
-    rows = rows.withColumn("terminal_", terminal)
+    first["path_"] = F.transform(timed, lambda x: x["p"])
+    first["terminal_"] = text.logical_value(F.col("after.value"), F.col("after.placeholderValue"))
+    steps += [first, {"end_": F.try_element_at("path_", F.lit(-1))}]
     point = lambda p, reason: F.struct(p["value"].alias("value"), p["source"].alias("source"), p["checkpoint_id"].alias("checkpoint_id"), F.lit(reason).alias("reason"), p["observed_at"].alias("observed_at"), p["observation_id"].alias("observation_id")).cast(CHOSEN)
     seen, end, latest, ret = F.col("terminal_"), F.col("end_"), F.col("latest_"), F.col("return_")
     none = F.lit(None).cast(CHOSEN)
@@ -86,4 +92,4 @@ def with_observation(writes: DataFrame) -> DataFrame:
         .when((text.trimmed(seen) == "") & latest.isNotNull(), point(latest, "terminal_unpopulated"))
         .otherwise(F.struct(seen.alias("value"), F.lit("terminal_after").alias("source"), F.lit(None).cast("string").alias("checkpoint_id"), F.lit("terminal_observation").alias("reason"), F.col("after.observedAt").alias("observed_at"), F.col("after.observationID").alias("observation_id")).cast(CHOSEN))
     )
-    return rows.withColumn("chosen", chosen).drop("p1_", "p2_", "p3_", "latest_", "return_", "path_", "end_", "terminal_")
+    return [*steps, {"chosen": chosen}]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import first_reason
+from tidewell.operators.sequence import running
 
 #: Fixed value: the share of accepted generations below which a stage has deteriorated.
 GATE = 0.98
@@ -45,8 +46,8 @@ def outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def over_budget(operations: DataFrame, ceilings: DataFrame) -> DataFrame:
     """Operations (kind, place, amount) at which the running amount of their kind passes its ceiling (kind, ceiling)."""
-    running = F.sum("amount").over(W.partitionBy("kind").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return operations.withColumn("running", running).join(ceilings, "kind").where("running > ceiling")
+    summed = running(operations, ["kind"], ["place"], {"running": F.col("amount")})  # a kind may hold all operations
+    return summed.withColumn("running", F.col("running") + F.col("amount")).join(ceilings, "kind").where("running > ceiling")
 
 
 def usage(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

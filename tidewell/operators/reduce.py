@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import ids, text
+from tidewell.functions.columns import remembered
 from tidewell.operators.authorship import ZERO_WIDTH, with_authorship
 from tidewell.operators.causal import interval_join
 from tidewell.operators.chains import write_attempts
@@ -77,7 +78,15 @@ def write_candidates(journal: DataFrame) -> DataFrame:
     w = w.withColumn("before_value", text.logical_value(F.col("before.value"), F.col("before.placeholderValue")))
     w = with_observation(w).withColumn("after_value", F.col("chosen.value"))
     w = w.withColumn("edit", text.minimal_edit(F.coalesce("before_value", F.lit("")), F.coalesce("after_value", F.lit(""))))
-    w = with_authorship(with_grounded_edit(w))
+    w = with_authorship(with_grounded_edit(w)).withColumn("final_", F.coalesce("authored.edit", "edit"))
+    # cut: a filter on the reason would else be pushed down with all that the reason is made of, and be optimized for minutes
+    return cut(w.select(*_candidate()))
+
+
+@remembered
+def _candidate() -> list[Column]:
+    """The columns of a WRITE candidate, its reason last."""
+    empty = F.array().cast("array<string>")
     rebuilt = lambda e: text.apply_edit(F.col("before_value"), e["offset"], e["removed"], e["inserted"]).eqNullSafe(F.col("after_value"))
     seen, edit = F.col("observed_edit"), F.col("edit")
     within = lambda *known: F.size(F.array_except("hints", F.array(*map(F.lit, known)))) == 0
@@ -109,15 +118,13 @@ def write_candidates(journal: DataFrame) -> DataFrame:
         F.when(unproven, F.col("authored.resolution")),
         text.first_reason((marked, "application_generated_zero_width_scaffold"), (instant(F.col("beganAt")).isNull(), "began_at_missing")),
     )
-    final = F.coalesce("authored.edit", "edit")
-    w = w.withColumn("final_", final)
-    return w.select(
-        "session_id", "line", F.col("recordID").alias("record_id"), "lineage", F.coalesce(place["processIdentifier"], "targetIdentity.processIdentifier", F.lit(-1)).alias("pid"), F.coalesce(place["windowTitle"], "targetIdentity.windowTitle").alias("window_title"), "hints",
-        F.col("targetIdentity.elementHash").alias("element"), F.coalesce("inputEventCount", F.lit(0)).alias("input_events"), F.col("boundaryReason").alias("boundary_reason"), "before_value", "after_value", F.col("final_.operation").alias("operation"), F.col("final_.offset").alias("offset"),
+    return [
+        F.col("session_id"), F.col("line"), F.col("recordID").alias("record_id"), F.col("lineage"), F.coalesce(place["processIdentifier"], "targetIdentity.processIdentifier", F.lit(-1)).alias("pid"), F.coalesce(place["windowTitle"], "targetIdentity.windowTitle").alias("window_title"), F.col("hints"),
+        F.col("targetIdentity.elementHash").alias("element"), F.coalesce("inputEventCount", F.lit(0)).alias("input_events"), F.col("boundaryReason").alias("boundary_reason"), F.col("before_value"), F.col("after_value"), F.col("final_.operation").alias("operation"), F.col("final_.offset").alias("offset"),
         F.col("final_.removed").alias("removed"), F.col("final_.inserted").alias("inserted"), F.col("authored.completion").alias("content"), instant(F.col("beganAt")).alias("began_at"), instant(F.col("terminalDecisionAt")).alias("terminal_at"), F.col("authored.segments").alias("segments"),
         F.col("unresolved_paste").alias("authorship"), F.col("authored.continuity").alias("continuity"), F.col("authored.evidence").alias("evidence"), F.coalesce("alignment.rule", F.lit(CANONICAL)).alias("alignment"), F.col("alignment.states").alias("alignment_states"), F.when(F.col("recovered"), RECOVERED).alias("ineligible"),
         canonical(F.col("conditioningState")).alias("conditioning"), cursor_fidelity(F.col("before_value"), F.col("before"), F.col("final_.offset")).alias("fidelity"), F.col("chosen.source").alias("observed_by"), F.col("chosen.checkpoint_id").alias("checkpoint_id"), F.col("chosen.reason").alias("observed_because"), reason.alias("reason"),
-    )
+    ]
 
 
 def closures(journal: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def reduce_journal(journal: DataFrame, width: int = 60_000_000) -> tuple[DataFra
     a rejected one, clears what was seen. width: microseconds of the grid that intervals are joined on.
     """
     # each is used several times below
-    reads, writes = cut(read_candidates(journal)), cut(write_candidates(journal))
+    reads, writes = cut(read_candidates(journal)), write_candidates(journal)
     good_reads, good_writes = reads.where("reason is null"), writes.where("reason is null")
     spans = good_writes.select("session_id", "pid", F.col("record_id").alias("write_id"), "began_at", "terminal_at")
     r = good_reads.select("session_id", "pid", F.col("record_id").alias("read_id"), "last_activity", "captured_at")

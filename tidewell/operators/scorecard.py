@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import normalized_line, occurrences, prefix_length
+from tidewell.operators.sequence import ordinal_within
 
 #: Fixed value: what stands for a pasted payload in a target.
 PASTE = "<|paste|>"
@@ -47,10 +50,36 @@ def by_strata(scored: DataFrame, arm: str, *strata: str) -> DataFrame:
     return scored.groupingSets(sets, arm, *strata).agg(F.grouping_id().alias("level"), *scorecard())
 
 
-def latency_summary(value: Column) -> list[Column]:
-    """n, total, mean, exact median, p90 and p95 by linear interpolation, least and most."""
-    x = value.cast("double")
-    return [F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), *[F.percentile(x, q).alias(name) for name, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))], F.min(x).alias("least"), F.max(x).alias("most")]
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, a column for each quantile): percentiles with linear interpolation at (n - 1) q, for groups of any size.
+
+    Values are numbered in order by ranges, and the two ranks around each quantile are picked out, so no task holds a group's values. Null values
+    don't count; a group without others has no row. A null key is a group.
+    """
+    numbers = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x_"))
+    placed = ordinal_within(numbers, keys, ["x_"], "at_")
+    sizes = placed.groupBy(*[F.col(k).alias(f"{k}_own") for k in keys]).agg(F.count("*").alias("n_"))
+    met = placed.join(sizes, [F.col(k).eqNullSafe(F.col(f"{k}_own")) for k in keys])
+    spots = {name: (F.col("n_") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    wanted = [f(c) for c in spots.values() for f in (F.floor, F.ceil)]
+    few = met.where(F.col("at_").isin(*wanted))
+    pick = lambda rank: F.max(F.when(F.col("at_") == rank, F.col("x_")))
+    n = F.max("n_")
+    parts = {}
+    for name, q in quantiles.items():
+        spot = (n - 1) * F.lit(float(q))
+        low, high = pick(F.floor(spots[name])), pick(F.ceil(spots[name]))
+        parts[name] = F.when(F.floor(spot) == F.ceil(spot), low).otherwise((F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high)
+    return few.groupBy(*keys).agg(*[c.alias(name) for name, c in parts.items()])
+
+
+def latency_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, n, total, mean, median, p90, p95, least, most) of each group's values; percentiles are exact."""
+    x = F.col(value).cast("double")
+    sums = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    ranks = exact_percentiles(rows, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}).withColumnsRenamed({k: f"{k}_of" for k in keys})
+    met = sums.join(ranks, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys], "left")
+    return met.select(*keys, "n", "total", "mean", "median", "p90", "p95", "least", "most")
 
 
 def likelihood_summary(nll: str, tokens: str) -> list[Column]:
