@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -37,11 +38,12 @@ def test_scaled_sketch_is_the_part_below_the_threshold(spark):
 
 def test_merge_and_containment(spark):
     df = frame(spark).select("source", sketches.sketch(F.col("text"), scale=2).alias("sketch"))
-    merged = {r["source"]: set(r["sketch"]) for r in sketches.merged(df, "source").collect()}
+    merged = {r["source"]: set(r["sketch"]) for r in sketches.merged(df, "source", scale=2).collect()}
     want = {}
     for r in df.collect():
         want.setdefault(r["source"], set()).update(r["sketch"])
-    assert merged == {k: v for k, v in want.items() if v}
+    low = {k: {h for h in v if (h & (2**64 - 1)) < 2**63} for k, v in want.items()}
+    assert merged == {k: low[k] or {min(v)} for k, v in want.items() if v}
     one = spark.sql("select array(1L,2L) a, array(2L,3L,4L) b").select(sketches.containment(F.col("a"), F.col("b"))).first()[0]
     assert one == 0.5
 
@@ -51,3 +53,21 @@ def test_edges(spark):
     r = sketches.edited_pairs(frame(spark, [(5, "abcd", *[None] * 8), (5, "abca", *[None] * 8), (None, "q", *[None] * 8)])).collect()
     assert [(x["doc_id"], x["edited"]) for x in r] == [(5, "abab")]
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_merged_sketches_are_those_of_all_shingles_together(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    texts = [(g, " ".join(word() for _ in range(r.choice([5, 5, 6, 30])))) for g in range(60) for _ in range(r.randint(1, 3))]
+    # the shingles of a group together: each text's, whatever stands between them
+    rows = spark.createDataFrame(texts, "g int, text string").select("g", "text", sketches.sketch(F.col("text")).alias("sketch"))
+    got = {x["g"]: x["sketch"] for x in sketches.merged(rows, "g").collect()}
+    full = {}
+    for x in rows.select("g", sketches.sketch(F.col("text"), scale=1).alias("all")).collect():
+        full.setdefault(x["g"], set()).update(x["all"])
+    below = lambda h: (h % (1 << 64)) >> 1 <= (1 << 63) // sketches.SCALE - 1
+    for g, hashes in full.items():
+        low = sorted(h for h in hashes if below(h))
+        assert got[g] == (low or [min(hashes)])
+    pair = spark.createDataFrame([([5], [7, 5]), ([-5], [5]), ([], [5]), ([-5], [-5])], "a array<long>, b array<long>")
+    assert [x["c"] for x in pair.select(sketches.containment(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, None, 1.0, 1.0]

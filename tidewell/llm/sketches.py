@@ -26,12 +26,18 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < words, F.array(F.xxhash64(h))).otherwise(many)
 
-    def keep(s: Column) -> Column:
-        low = F.filter(s, lambda x: F.shiftrightunsigned(x, 1) <= F.lit((1 << 63) // scale - 1))
-        chosen = F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
-        return F.array_sort(F.array_distinct(chosen))
+    return _let(hashed, lambda h: _let(shingles(h), lambda s: _kept(s, scale)))
 
-    return _let(hashed, lambda h: _let(shingles(h), keep))
+
+def _below(scale: int):
+    return lambda x: F.shiftrightunsigned(x, 1) <= F.lit((1 << 63) // scale - 1)
+
+
+def _kept(s: Column, scale: int) -> Column:
+    """What a sketch keeps of some hashes: those below the threshold, or the smallest one if there are none."""
+    low = F.filter(s, _below(scale))
+    chosen = F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
+    return F.array_sort(F.array_distinct(chosen))
 
 
 def _let(value: Column, body) -> Column:
@@ -46,14 +52,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a is empty."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has; 1 if a is empty.
 
+    Null where it can't be told: a has no hash below the threshold, and b's sketch says nothing of those above it.
+    """
+    untold = ~F.exists(a, _below(scale)) & F.exists(b, _below(scale))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(untold, F.lit(None)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
-def merged(rows: DataFrame, key: str, column: str = "sketch") -> DataFrame:
-    """One sketch per key: the union of its rows' sketches, combined before the shuffle by distinct."""
-    return rows.select(key, F.explode(column).alias("h")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(column))
+
+def merged(rows: DataFrame, key: str, column: str = "sketch", scale: int = SCALE) -> DataFrame:
+    """One sketch per key, that of all its rows' shingles together: the union of their sketches, combined before the shuffle by distinct.
+
+    The smallest hashes of rows that have none below the threshold go as soon as another row has one; else the smallest of them stays.
+    """
+    union = rows.select(key, F.explode(column).alias("h")).distinct().groupBy(key).agg(F.collect_list("h").alias("h"))
+    return union.select(key, _kept(F.col("h"), scale).alias(column))
 
 
 def digest(s: Column) -> Column:
