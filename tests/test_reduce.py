@@ -90,7 +90,10 @@ def test_episodes_join_what_goes_on(spark, tmp_path):
     got = {names[k]: v for k, v in by.items() if k in names}
     assert got["w1"][0] != got["w2"][0] == got["w3"][0] != got["w7"][0]  # a novel read lies between w1 and w2
     assert got["w3"][1] == "same_region"
-    assert closed[(1, LONG)]["has_loss"] and closed[(1, "ok")]["reason"] == "submitted_below_minimum"
+    assert (closed[(1, LONG)]["reason"], closed[(1, LONG)]["closed_by"]) == ("prediction_time_onset_unavailable", "novel_read")  # these records have no conditioning
+    assert closed[(1, "ok")]["closure"] == "closed_submission"
+    stateless = episodes.closed(events.drop("conditioning"), members).where("reason is null").collect()
+    assert [r["target"] for r in stateless] == [LONG]
     order = events.selectExpr("session_id", "event_id", "sequence as place", "available_at")
     ctx = {r["target"]: r["context"] for r in episodes.episode_context(episodes.closed(events, members), members, order).collect()}
     assert len(ctx[LONG]) == 2 and len(ctx["ok"]) >= 4

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators.proposals import best_apart
 
 def counted(rules: dict[str, DataFrame]) -> DataFrame:
     """(rule, violations) from frames of violating rows."""
@@ -83,21 +83,9 @@ def nested_suffixes(small: DataFrame, large: DataFrame, key: str, ids: str) -> d
 def maximal_groups(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Longest groups first, then the earliest, leaving out those that share a member with one taken before.
 
-    candidates: (keys, candidate_id, began_at, members array). The choice is sequential inside a key, so it is a grouped map.
+    candidates: (keys, candidate_id, began_at, members array).
     """
-    names = [f.name for f in candidates.schema.fields]
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        keep = []
-        order = rows.assign(n_=rows["members"].map(len)).sort_values(["n_", "began_at", "candidate_id"], ascending=[False, True, True])
-        for i, members in zip(order.index, order["members"], strict=True):
-            if not taken & set(members):
-                keep.append(i)
-                taken |= set(members)
-        return rows.loc[keep, names]
-
-    return candidates.groupBy(*keys).applyInPandas(choose, candidates.schema)
+    return best_apart(candidates, keys, [-F.size("members"), F.col("began_at"), F.col("candidate_id")], F.col("members"))
 
 
 def tampered(expected: DataFrame, actual: DataFrame) -> DataFrame:

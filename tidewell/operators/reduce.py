@@ -120,6 +120,7 @@ def _candidate() -> list[Column]:
     )
     return [
         F.col("session_id"), F.col("line"), F.col("recordID").alias("record_id"), F.col("lineage"), F.coalesce(place["processIdentifier"], "targetIdentity.processIdentifier", F.lit(-1)).alias("pid"), F.coalesce(place["windowTitle"], "targetIdentity.windowTitle").alias("window_title"), F.col("hints"),
+        F.coalesce(place["appName"], "targetIdentity.bundleIdentifier", F.lit("Unknown")).alias("app"), *[F.col(f"targetIdentity.{c}").alias(name) for c, name in (("bundleIdentifier", "bundle"), ("role", "role"), ("fieldDescription", "field_description"), ("fieldLabel", "field_label"))],
         F.col("targetIdentity.elementHash").alias("element"), F.coalesce("inputEventCount", F.lit(0)).alias("input_events"), F.col("boundaryReason").alias("boundary_reason"), F.col("before_value"), F.col("after_value"), F.col("final_.operation").alias("operation"), F.col("final_.offset").alias("offset"),
         F.col("final_.removed").alias("removed"), F.col("final_.inserted").alias("inserted"), F.col("authored.completion").alias("content"), instant(F.col("beganAt")).alias("began_at"), instant(F.col("terminalDecisionAt")).alias("terminal_at"), F.col("authored.segments").alias("segments"),
         F.col("unresolved_paste").alias("authorship"), F.col("authored.continuity").alias("continuity"), F.col("authored.evidence").alias("evidence"), F.coalesce("alignment.rule", F.lit(CANONICAL)).alias("alignment"), F.col("alignment.states").alias("alignment_states"), F.when(F.col("recovered"), RECOVERED).alias("ineligible"),
@@ -213,11 +214,11 @@ def reduce_journal(journal: DataFrame, width: int = 60_000_000) -> tuple[DataFra
     ends = good_writes.select("session_id", "line", F.explode("lineage").alias("record_id")).join(closed.where("reason is null"), ["session_id", "record_id"])
     first = ends.groupBy("session_id", "line").agg(F.min(F.struct("observed_at", "closure_line", "closure_id")).alias("closure"))
     lineage = F.array("record_id")
-    read_events = judged.where("reason is null").select("session_id", "line", ids.stable_id("evt_", F.col("session_id"), lineage, F.lit(0)).alias("event_id"), F.lit("read").alias("kind"), "record_id", "pid", "window_title", F.col("emitted").alias("content"), F.lit(None).cast("long").alias("began_at"), F.col("captured_at").alias("available_at"))
+    read_events = judged.where("reason is null").select("session_id", "line", ids.stable_id("evt_", F.col("session_id"), lineage, F.lit(0)).alias("event_id"), F.lit("read").alias("kind"), "record_id", "pid", "window_title", F.col("app_name").alias("app"), F.col("emitted").alias("content"), F.lit(None).cast("long").alias("began_at"), F.col("captured_at").alias("available_at"))
     sources = F.concat("lineage", F.filter(F.array("closure.closure_id"), lambda x: x.isNotNull()))
     closing = F.when(F.col("closure").isNotNull(), "submission_boundary").otherwise(F.col("boundary_reason"))
     write_events = good_writes.join(first, ["session_id", "line"], "left").select(
-        "session_id", "line", ids.stable_id("evt_", F.col("session_id"), sources, F.lit(0)).alias("event_id"), F.lit("write").alias("kind"), "record_id", "lineage", "pid", "window_title", "content", "began_at", F.col("terminal_at").alias("available_at"), "operation", "offset", "removed", "inserted", "before_value", "after_value",
+        "session_id", "line", ids.stable_id("evt_", F.col("session_id"), sources, F.lit(0)).alias("event_id"), F.lit("write").alias("kind"), "record_id", "lineage", "pid", "window_title", "app", "bundle", "role", "field_description", "field_label", "content", "began_at", F.col("terminal_at").alias("available_at"), "operation", "offset", "removed", "inserted", "before_value", "after_value",
         "segments", "authorship", "continuity", "evidence", "alignment", "ineligible", "conditioning", "fidelity", "element", "hints", F.col("closure.observed_at").alias("submitted_at"), closing.alias("boundary_reason"),
     )
     events = write_events.unionByName(read_events, allowMissingColumns=True)

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import chains, compile, conditioning, grounding, reduce
-from tidewell.plans.catalog import STREAM, query, stream, table
+from tidewell.operators import chains, compile, conditioning, grounding, proposals, reduce
+from tidewell.plans.catalog import HOUR, STREAM, query, stream, table
 from tidewell.plans.records import ROWS, _journal, _stamp
 from tidewell.sources import journal as journals
 
@@ -140,3 +140,29 @@ def navigation_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = journals.records(journal, "active_tap_write_attempt").withColumn("state", F.from_json("conditioningState", conditioning.CONDITIONING))
     merged = chains.merge_navigation(records)
     return merged.select(F.col("session_id").cast("long").alias("user_id"), F.col("recordID").cast("long").alias("event_id"), F.array_join("lineage", ",").alias("lineage"), F.col("inputEventCount").cast("long").alias("input_events"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events in runs no more than twelve hours apart."""
+    near = lambda a, b: b["t"] - a["t"] <= 12 * HOUR
+    return proposals.runs(stream(spark, sf_dir).select("user_id", "event_id", "t", "event_type"), ["user_id"], ["t", "event_id"], near, ["t"])
+
+
+@query(f"""
+WITH o AS (SELECT user_id, event_id, t, row_number() OVER w - 1 AS place, CASE WHEN t - lag(t) OVER w <= {12 * HOUR} THEN 0 ELSE 1 END AS begins FROM {STREAM} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY place) AS run FROM o)
+SELECT a.user_id, CAST(a.run AS BIGINT) AS run, a.place AS first, b.place AS last FROM r a JOIN r b ON a.user_id = b.user_id AND a.run = b.run AND a.place < b.place
+""")
+def run_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of two events or more of each run of neighbours, as intervals of places."""
+    return proposals.subruns(_runs(spark, sf_dir), ["user_id"])
+
+
+@query()
+def chosen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the parts of runs that end with another kind of event than they begin with, the longest first, then the earliest, none sharing an event."""
+    placed = _runs(spark, sf_dir)
+    parts = proposals.subruns(placed, ["user_id"])
+    kind = lambda name: placed.select("user_id", F.col("place").alias(name), F.col("event_type").alias(f"{name}_kind"))
+    parts = parts.join(kind("first"), ["user_id", "first"]).join(kind("last"), ["user_id", "last"]).where("first_kind <> last_kind").select("user_id", "run", "first", "last")
+    return proposals.best_apart(parts, ["user_id"], [F.col("first") - F.col("last"), F.col("first")], F.sequence("first", "last"))
