@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import ids, targets, text
 from tidewell.operators import conditioning
+from tidewell.operators.sequence import ordinal_within
 
 #: Fixed value: least trimmed characters of an authored target.
 LEAST_TARGET = 4
@@ -90,22 +91,41 @@ def contexts(events: DataFrame) -> DataFrame:
     return counted.where("is_target = 1").select("session_id", "event_id", "began_at", F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"))
 
 
-def examples(events: DataFrame, minimum: int = LEAST_TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(examples, exclusions, rejections): each write is in exactly one of them.
-
-    An example holds the context text (events joined by line ends, in order), the query and the target. Where events have segments, a
-    target shows a mark for each paste, and a write whose pastes can't be told from what was typed is excluded. The query is what the
-    write was conditioned on, where its event has it.
-    """
+def _judged(events: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(good events with serialized, targets with n_context, query and content, exclusions, rejections)."""
     segmented = _has(events, "segments", "authorship")
     judged = convertible(events)
     rejections = judged.where("rejection is not null").select("session_id", "event_id", "kind", F.col("rejection").alias("reason"))
     good = judged.where("rejection is null").withColumn("serialized", serialized(events))
     writes = good.where("kind = 'write'").withColumn("exclusion", target_exclusion(good, minimum)).withColumn("target_", targets.target_text(F.col("segments")) if segmented else F.col("content"))
     exclusions = writes.where("exclusion is not null").select("session_id", "event_id", F.col("exclusion").alias("reason"), F.length("content").alias("n_chars"))
+    wanted = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", F.col("target_").alias("content"), _query(writes).alias("query"), "n_context")
+    return good, wanted, exclusions, rejections
+
+
+def planned_examples(events: DataFrame, minimum: int = LEAST_TARGET) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plans, blocks, exclusions, rejections): the examples without their histories written out, as rebuild.digests takes them.
+
+    plans: (key, target_id, first, last, cut, query, target), blocks: (key, place, event_id, serialized); a session is a key. Nothing grows with the square of a
+    session, and a session's events are placed by ranges.
+    """
+    good, wanted, exclusions, rejections = _judged(events, minimum)
+    placed = ordinal_within(good.select("session_id", "available_at", "line", "event_id", "serialized"), ["session_id"], ["available_at", "line"], "place")
+    blocks = placed.select(F.col("session_id").alias("key"), F.col("place").cast("long").alias("place"), "event_id", "serialized")
+    plans = wanted.select(F.col("session_id").alias("key"), "target_id", F.lit(0).cast("long").alias("first"), (F.col("n_context") - 1).alias("last"), F.lit(None).cast("long").alias("cut"), "query", F.col("content").alias("target"))
+    return plans, blocks, exclusions, rejections
+
+
+def examples(events: DataFrame, minimum: int = LEAST_TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(examples, exclusions, rejections): each write is in exactly one of them.
+
+    An example holds the context text (events joined by line ends, in order), the query and the target. Where events have segments, a
+    target shows a mark for each paste, and a write whose pastes can't be told from what was typed is excluded. The query is what the
+    write was conditioned on, where its event has it. Contexts are written out here, for short sessions; planned_examples says the same by places.
+    """
+    good, wanted, exclusions, rejections = _judged(events, minimum)
     order = W.partitionBy("session_id").orderBy("available_at", "line")
     placed = good.select("session_id", (F.row_number().over(order)).alias("place"), "event_id", "serialized")
-    wanted = writes.where("exclusion is null").join(contexts(events).drop("began_at"), ["session_id", "event_id"]).select("session_id", F.col("event_id").alias("target_id"), "began_at", F.col("target_").alias("content"), _query(writes).alias("query"), "n_context")
     history = wanted.join(placed, "session_id").where(F.col("place") <= F.col("n_context"))
     joined = F.array_sort(F.collect_list(F.struct("place", "event_id", "serialized")))
     history = history.groupBy("session_id", "target_id").agg(joined.alias("h"))

@@ -118,7 +118,7 @@ def suffix_budget(rows: DataFrame, target: Sequence[str], newest_first: Sequence
 
 
 def suffix_edges(rows: DataFrame, key: str, order: str, tokens: str, budgets: Sequence[int]) -> DataFrame:
-    """For each row and budget what suffix_budget keeps of the key's rows before it: n_whole, n_partial, n_tokens.
+    """For each row and budget what suffix_budget keeps of the key's rows before it: n_whole, n_partial, n_tokens, and n_cut of these of the partial one.
 
     No row is paired with its history: with the tokens before each row summed, the oldest row that is kept whole is the first one whose
     sum is at most the budget less. A key's order must be distinct, token counts neither null nor negative.
@@ -133,7 +133,7 @@ def suffix_edges(rows: DataFrame, key: str, order: str, tokens: str, budgets: Se
     out = out.select(*rows.columns, "before_", "rank_", F.explode(edges).alias("e"))
     held = F.col("before_") - F.col("e.edge.before_")
     partial = (F.col("e.edge.rank_") > 1) & (held < F.col("e.budget"))
-    return out.select(*rows.columns, F.col("e.budget").alias("budget"), (F.col("rank_") - F.col("e.edge.rank_")).cast("long").alias("n_whole"), partial.cast("long").alias("n_partial"), F.when(partial, F.col("e.budget").cast("long")).otherwise(held).alias("n_tokens"))
+    return out.select(*rows.columns, F.col("e.budget").alias("budget"), (F.col("rank_") - F.col("e.edge.rank_")).cast("long").alias("n_whole"), partial.cast("long").alias("n_partial"), F.when(partial, F.col("e.budget").cast("long")).otherwise(held).alias("n_tokens"), F.when(partial, F.col("e.budget") - held).otherwise(0).cast("long").alias("n_cut"))
 
 
 def token_spans(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str) -> DataFrame:
