@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import rebuild, sequence
+from tidewell.operators import ledger, rebuild, sequence, tokenizers
 from tidewell.plans.catalog import query, table
 
 BUDGETS = (200, 2000)
@@ -53,3 +56,77 @@ def private_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     private = table(spark, sf_dir, "conversations").where("conv_id % 10 = 3 and turn % 2 = 1").select(F.coalesce("text", F.lit("")).alias("serialized"))
     found = rebuild.leaks(plans, blocks, private)
     return found.select(F.col("key").cast("long").alias("conv_id"), "place", "n_targets")
+
+
+#: Two tokenizers by pattern: words and what is between them, and letters, single digits and the rest.
+WORDS, LETTERS = r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+"
+
+
+def by_pattern(pattern: str) -> tokenizers.Tokenizer:
+    """A tokenizer whose tokens are a pattern's matches, which must cover a text; ids are their CRC-32."""
+    found = re.compile(pattern)
+    return lambda text: [(zlib.crc32(m.group().encode()), m.end()) for m in found.finditer(text)]
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizers.encoded(tokenizers.encoded(rows, "text", "a", by_pattern(WORDS)), "text", "b", by_pattern(LETTERS))
+
+
+def _tokens(pattern: str) -> str:
+    listed = f"(SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS tok, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{pattern}'), 1) AS i FROM documents)"
+    return f"(SELECT doc_id, i, tok, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS BIGINT) AS s FROM {listed})"
+
+
+@query(f"""
+WITH a AS MATERIALIZED (SELECT * FROM {_tokens(WORDS)}), b AS MATERIALIZED (SELECT * FROM {_tokens(LETTERS)}),
+m AS (SELECT a.doc_id, count(*) AS n_a, count(b.e) AS n_cuts, count(*) FILTER (a.s = b.s) AS n_same, min(CASE WHEN b.s = a.s THEN NULL ELSE a.s END) AS first_difference FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.e = b.e GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n_b FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_cuts, 0) AS n_cuts, coalesce(n_same, 0) AS n_same, first_difference FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def tokenizer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut each document: their tokens, common cuts, equal tokens and where they part first."""
+    return tokenizers.agreement(_encoded(spark, sf_dir), "a", "b").select("doc_id", "n_a", "n_b", "n_cuts", "n_same", "first_difference")
+
+
+@query(f"""
+WITH a AS MATERIALIZED (SELECT * FROM {_tokens(WORDS)}), b AS MATERIALIZED (SELECT * FROM {_tokens(LETTERS)}),
+c AS (SELECT doc_id, e FROM a INTERSECT SELECT doc_id, e FROM b),
+t AS (SELECT doc_id, 0 AS side, s, e, tok FROM a UNION ALL SELECT doc_id, 1, s, e, tok FROM b),
+r AS (SELECT t.*, coalesce(sum(CASE WHEN c.e IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY t.doc_id, side ORDER BY t.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS region FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.e = t.e),
+g AS (SELECT doc_id, region, string_agg(tok, '' ORDER BY e) FILTER (side = 0) AS piece, string_agg(tok, chr(1) ORDER BY e) FILTER (side = 0) AS split_a, string_agg(tok, chr(1) ORDER BY e) FILTER (side = 1) AS split_b FROM r GROUP BY doc_id, region)
+SELECT sha256(piece) AS piece_sha256, sha256(split_a) AS a_sha256, sha256(split_b) AS b_sha256, count(*) AS n FROM g WHERE split_a <> split_b GROUP BY piece, split_a, split_b
+""")
+def tokenizer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stretches of the documents that two tokenizers split differently, by digest, and how often each is found."""
+    found = tokenizers.differing_pieces(_encoded(spark, sf_dir), "text", "a", "b")
+    digest = lambda c: F.sha2(F.array_join(c, "\x01"), 256)
+    return found.select(F.sha2("piece", 256).alias("piece_sha256"), digest("split_a").alias("a_sha256"), digest("split_b").alias("b_sha256"), "n")
+
+
+ALLOWANCES = {"score_retry": 40, "training_block_restart": 12}
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS n, l_suppkey % 30 AS run, l_partkey % 300 AS identity, CASE l_linenumber WHEN 7 THEN 'probe' WHEN 1 THEN 'training_block_restart' ELSE 'score_retry' END AS kind,
+  CAST(l_extendedprice AS DECIMAL(38,6)) AS cost, l_quantity IN (13, 14) AND (l_linenumber <> 7 OR l_orderkey % 40 = 0) AS crash, l_quantity <> 13 AS finished FROM lineitem),
+d AS (SELECT run, kind, identity, min(n) AS done FROM l WHERE finished GROUP BY ALL),
+j AS (SELECT l.*, coalesce(d.done <= l.n, false) AS stale FROM l LEFT JOIN d USING (run, kind, identity) WHERE crash),
+w AS (SELECT *, coalesce(sum(CASE WHEN stale THEN 0 ELSE cost END) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  coalesce(sum(CASE WHEN stale THEN 0 ELSE 1 END) OVER (PARTITION BY run, kind ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS of_kind,
+  coalesce(sum(CASE WHEN stale THEN 0 ELSE 1 END) OVER (PARTITION BY run, kind, identity ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS of_same FROM j),
+o AS (SELECT *, 1000 + cost + spent AS total, CASE WHEN kind = 'probe' THEN '{ledger.UNSUPPORTED}' WHEN stale THEN '{ledger.STALE}' WHEN of_kind >= CASE kind WHEN 'score_retry' THEN {ALLOWANCES["score_retry"]} ELSE {ALLOWANCES["training_block_restart"]} END THEN '{ledger.EXHAUSTED}'
+  WHEN of_same > 0 THEN '{ledger.REPEATED}' WHEN 1000 + cost + spent > 100000 * (1 + run) THEN '{ledger.CEILING}' ELSE '{ledger.ABANDONED}' END AS outcome FROM w),
+e AS (SELECT run, min(n) AS ends FROM o WHERE outcome NOT IN ('{ledger.STALE}', '{ledger.ABANDONED}') GROUP BY run)
+SELECT run, n, kind, identity, CASE WHEN n > ends THEN '{ledger.UNREACHED}' ELSE outcome END AS outcome, CASE WHEN outcome = '{ledger.ABANDONED}' AND coalesce(n <= ends, true) THEN CAST(total AS DOUBLE) END AS projected FROM o LEFT JOIN e USING (run)
+""")
+def recovery_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each interrupted operation of a run. Thirty runs take the order lines as operations; those of 13 pieces stop before their result, of 14 after it."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("run", F.col("l_suppkey") % 30).withColumn("identity", F.col("l_partkey") % 300)
+    kind = F.when(F.col("l_linenumber") == 7, "probe").when(F.col("l_linenumber") == 1, "training_block_restart").otherwise("score_retry")
+    crash = F.col("l_quantity").isin(13, 14) & ((F.col("l_linenumber") != 7) | (F.col("l_orderkey") % 40 == 0))
+    steps = F.array_compact(F.array(F.lit(ledger.BEGIN), F.when(F.col("l_quantity") != 13, ledger.COMMIT), F.when(crash, ledger.RESUME).otherwise(ledger.CLEAR)))
+    events = rows.select("run", "n", "identity", kind.alias("kind"), F.col("l_extendedprice").alias("cost"), F.posexplode(steps).alias("k", "event")).withColumn("seq", F.col("n") * 10 + F.col("k"))
+    runs = rows.select("run").distinct().withColumn("planned", F.lit(1000)).withColumn("ceiling", 100_000 * (1 + F.col("run")))
+    found = ledger.recoveries(runs, events, ALLOWANCES)
+    return found.select("run", F.floor(F.col("seq") / 10).cast("long").alias("n"), "kind", "identity", "outcome", F.col("projected").cast("double").alias("projected"))
