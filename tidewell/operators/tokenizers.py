@@ -28,14 +28,14 @@ def encoded(rows: DataFrame, text: str, name: str, tokenizer: Tokenizer) -> Data
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Adds n_a and n_b (tokens), n_cuts (places where both cut), n_same (stretches that are one token in both) and first_difference
     (the first character of the first token of a that b hasn't, or null). Tokens without characters count in n_a and n_b alone."""
+    # a token's stretch as one number, start and end, since sets of numbers are hashed and sets of structs are compared one by one
     ends = lambda n: F.array_distinct(F.filter(f"{n}_ends", lambda e: e > 0))
-    spans = lambda c: F.transform(c, lambda e, i: F.struct(F.when(i > 0, F.get(c, i - 1)).otherwise(0).alias("start"), e.alias("end")))
-    cols = {"cut_a_": ends(a), "cut_b_": ends(b)}
-    out = rows.withColumns(cols).withColumns({"span_a_": spans(F.col("cut_a_")), "span_b_": spans(F.col("cut_b_"))})
+    spans = lambda c: F.transform(c, lambda e, i: F.when(i > 0, F.get(c, i - 1)).otherwise(0).cast("long") * (1 << 32) + e)
+    out = rows.withColumns({"cut_a_": ends(a), "cut_b_": ends(b)}).withColumns({"span_a_": spans(F.col("cut_a_")), "span_b_": spans(F.col("cut_b_"))})
     long = lambda c: c.cast("long")
     out = out.withColumns({
         "n_a": long(F.size(f"{a}_ends")), "n_b": long(F.size(f"{b}_ends")), "n_cuts": long(F.size(F.array_intersect("cut_a_", "cut_b_"))),
-        "n_same": long(F.size(F.array_intersect("span_a_", "span_b_"))), "first_difference": long(F.array_min(F.transform(F.array_except("span_a_", "span_b_"), lambda s: s["start"]))),
+        "n_same": long(F.size(F.array_intersect("span_a_", "span_b_"))), "first_difference": F.shiftright(F.array_min(F.array_except("span_a_", "span_b_")), 32),
     })
     return out.drop("cut_a_", "cut_b_", "span_a_", "span_b_")
 

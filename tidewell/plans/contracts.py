@@ -108,7 +108,7 @@ ALLOWANCES = {"score_retry": 40, "training_block_restart": 12}
 
 
 @query(f"""
-WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS n, l_suppkey % 30 AS run, l_partkey % 300 AS identity, CASE l_linenumber WHEN 7 THEN 'probe' WHEN 1 THEN 'training_block_restart' ELSE 'score_retry' END AS kind,
+WITH l AS (SELECT row_number() OVER (PARTITION BY l_suppkey % 30 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS n, l_suppkey % 30 AS run, l_partkey % 300 AS identity, CASE l_linenumber WHEN 7 THEN 'probe' WHEN 1 THEN 'training_block_restart' ELSE 'score_retry' END AS kind,
   CAST(l_extendedprice AS DECIMAL(38,6)) AS cost, l_quantity IN (13, 14) AND (l_linenumber <> 7 OR l_orderkey % 40 = 0) AS crash, l_quantity <> 13 AS finished FROM lineitem),
 d AS (SELECT run, kind, identity, min(n) AS done FROM l WHERE finished GROUP BY ALL),
 j AS (SELECT l.*, coalesce(d.done <= l.n, false) AS stale FROM l LEFT JOIN d USING (run, kind, identity) WHERE crash),
@@ -122,7 +122,8 @@ SELECT run, n, kind, identity, CASE WHEN n > ends THEN '{ledger.UNREACHED}' ELSE
 """)
 def recovery_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each interrupted operation of a run. Thirty runs take the order lines as operations; those of 13 pieces stop before their result, of 14 after it."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("run", F.col("l_suppkey") % 30).withColumn("identity", F.col("l_partkey") % 300)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").withColumn("run", F.col("l_suppkey") % 30).withColumn("identity", F.col("l_partkey") % 300)
+    rows = sequence.ordinal_within(rows, ["run"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "n")
     kind = F.when(F.col("l_linenumber") == 7, "probe").when(F.col("l_linenumber") == 1, "training_block_restart").otherwise("score_retry")
     crash = F.col("l_quantity").isin(13, 14) & ((F.col("l_linenumber") != 7) | (F.col("l_orderkey") % 40 == 0))
     steps = F.array_compact(F.array(F.lit(ledger.BEGIN), F.when(F.col("l_quantity") != 13, ledger.COMMIT), F.when(crash, ledger.RESUME).otherwise(ledger.CLEAR)))
