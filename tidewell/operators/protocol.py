@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,8 +71,8 @@ def append_results(spark: SparkSession, path: str, rows: DataFrame, keys: list[s
         held = spark.read.schema(rows.schema).parquet(path)
         held.limit(1).count()
         new = rows.join(held.select(*keys), keys, "left_anti")
-    except Exception as e:  # no journal yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # no journal yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         new = rows
     new = new.dropDuplicates(keys).persist()
