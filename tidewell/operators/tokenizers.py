@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: A tokenizer here gives a token's id and where it ends in the text, in characters; tokens follow each other without gaps.
 Tokenizer = Callable[[str], list[tuple[int, int]]]
 
 
-def encoded(rows: DataFrame, text: str, name: str, tokenizer: Tokenizer) -> DataFrame:
-    """Adds {name}_ids and {name}_ends, in Arrow batches; a null text has no tokens."""
+#: A task hands on texts once they have so many tokens; a longer text goes alone.
+BATCH_TOKENS = 1 << 18
+
 
-    @F.pandas_udf("struct<ids:array<long>,ends:array<int>>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        found = [tokenizer(x) if x is not None else [] for x in s]
-        return pd.DataFrame({"ids": [[i for i, _ in f] for f in found], "ends": [[e for _, e in f] for f in found]})
+def encoded(rows: DataFrame, text: str, name: str, tokenizer: Tokenizer) -> DataFrame:
+    """Adds {name}_ids and {name}_ends; a null text has no tokens. A task holds the tokens of a few texts at a time, as plain numbers."""
+    schema = StructType([*rows.schema.fields, StructField(f"{name}_ids", ArrayType(LongType())), StructField(f"{name}_ends", ArrayType(IntegerType()))])
+    own = rows.columns.index(text)
 
-    made = rows.withColumn("made_", run(F.col(text)))
-    return made.withColumns({f"{name}_ids": F.col("made_.ids"), f"{name}_ends": F.col("made_.ends")}).drop("made_")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                begin, ids, ends, offsets = at, array("q"), array("i"), [0]
+                while at < b.num_rows and len(ids) < BATCH_TOKENS:
+                    x = b.column(own)[at].as_py()
+                    for i, e in tokenizer(x) if x is not None else ():
+                        ids.append(i)
+                        ends.append(e)
+                    offsets.append(len(ids))
+                    at += 1
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(v, dtype))) for v, dtype in ((ids, np.int64), (ends, np.int32))]
+                yield pa.RecordBatch.from_arrays([*b.slice(begin, at - begin).columns, *lists], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -49,7 +66,8 @@ def differing_pieces(rows: DataFrame, text: str, a: str, b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, ends_a, ends_b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for row in range(batch.num_rows):
+                x, ends_a, ends_b = (batch.column(c)[row].as_py() for c in range(3))
                 out, at, j, left, right = [], 0, 0, [], []
                 ends_b = [e for e in ends_b if e > 0]
                 for end in ends_a:
