@@ -47,7 +47,7 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     (the first character of the first token of a that b hasn't, or null). Tokens without characters count in n_a and n_b alone."""
     # a token's stretch as one number, start and end, since sets of numbers are hashed and sets of structs are compared one by one
     ends = lambda n: F.array_distinct(F.filter(f"{n}_ends", lambda e: e > 0))
-    spans = lambda c: F.transform(c, lambda e, i: F.when(i > 0, F.get(c, i - 1)).otherwise(0).cast("long") * (1 << 32) + e)
+    spans = lambda c: F.zip_with(F.slice(F.concat(F.array(F.lit(0)), c), F.lit(1), F.size(c)), c, lambda s, e: s.cast("long") * (1 << 32) + e)
     out = rows.withColumns({"cut_a_": ends(a), "cut_b_": ends(b)}).withColumns({"span_a_": spans(F.col("cut_a_")), "span_b_": spans(F.col("cut_b_"))})
     long = lambda c: c.cast("long")
     out = out.withColumns({
