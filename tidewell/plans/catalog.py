@@ -204,9 +204,19 @@ SELECT event_id, count(*) FILTER (p.t IS NOT NULL) AS n_linked, coalesce(sum(p.v
 """)
 def day_before_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each write: the events of the day before it, and whether they carry enough, as a range frame."""
+    return carried_before(stream(spark, sf_dir)).where("is_write").select("event_id", "n_linked", "reached")
+
+
+def carried_before(rows: DataFrame) -> DataFrame:
+    """Adds n_linked and reached: how many events lie in the day before, and whether their values sum to more than 100.
+
+    Values are summed as the decimals they are written as: a sum of doubles near 100 depends on the order it is taken in. Values
+    that such decimals can't hold are summed as doubles.
+    """
     w = W.partitionBy("user_id").orderBy("t").rangeBetween(-24 * HOUR, -1)
-    rows = stream(spark, sf_dir).withColumn("n_linked", F.count("*").over(w)).withColumn("reached", F.coalesce(F.sum("value").over(w), F.lit(0.0)) > 100)
-    return rows.where("is_write").select("event_id", "n_linked", "reached")
+    written = F.col("value").try_cast("decimal(38,18)")
+    exact = F.when(F.count(written).over(w) == F.count("value").over(w), F.try_sum(written).over(w))
+    return rows.withColumn("n_linked", F.count("*").over(w)).withColumn("reached", F.coalesce(exact > 100, F.sum("value").over(w) > 100, F.lit(False)))
 
 
 LINES = r"list_transform(list_filter(str_split({c}, chr(10)), lambda x: x <> ''), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g')))"
