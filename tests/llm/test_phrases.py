@@ -65,6 +65,24 @@ def test_without_sending_prefixes_results_are_the_same(spark, monkeypatch):
     assert result(phrases.collocations(table)) == brute(docs, 3, 10, 2000, 50)
 
 
+def test_too_many_prefixes_to_be_sent_are_marked_and_windows_still_cut(spark, monkeypatch):
+    docs = documents()
+    table = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    listed, _ = phrases.prefix_set(table, 3, 40)
+    cells, _ = phrases.frequent_prefixes(table, 3, 40)
+    every, _ = phrases.frequent_prefixes(table, 3, 1)
+    windows = lambda: {tuple(r) for r in phrases.window_counts(table, 3, 40).collect()}
+    cut = windows()
+    monkeypatch.setattr(phrases, "MOST_SENT", 0)
+    marks, _ = phrases.prefix_set(table, 3, 40)
+    assert isinstance(listed, phrases.Listed) and isinstance(marks, phrases.Marks) and marks.table.nbytes == 1 << 26
+    assert listed.has(cells).all() and marks.has(cells).all()
+    rare = np.setdiff1d(every, cells)
+    assert not listed.has(rare).any() and marks.has(rare).mean() < 0.01
+    assert len(cut) <= len(windows()) < 1.01 * len(cut) + 5
+    assert result(phrases.collocations(table)) == brute(docs, 3, 10, 2000, 50)
+
+
 def test_pruned_windows_keep_all_frequent_phrases(spark):
     docs = documents()
     table = spark.createDataFrame(docs, "text string, lang string").repartition(4)

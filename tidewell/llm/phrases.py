@@ -27,8 +27,8 @@ from tidewell.llm.sparktools import arrow_batches, released, written
 CHUNK_BYTES = 5 << 20
 #: Bytes of text for each slot that prefix hashes are dealt to, and the fewest slots, as a power of two.
 SLOT_BYTES, LEAST_SLOT_BITS = 4 << 20, 8
-#: The most frequent prefix hashes (8 bytes each) that are sent to all tasks; with more of them windows go uncut.
-MOST_SENT = 1 << 23
+#: The most frequent prefix hashes (8 bytes each) that are sent to all tasks; more of them are sent as marks in 2**MARK_BITS bits.
+MOST_SENT, MARK_BITS = 1 << 23, 29
 #: Pre-selection groups of the last ranking, from many to few.
 SALTS = (256, 16)
 
@@ -165,15 +165,90 @@ def _frequent_cells(least: int) -> Callable:
     return run
 
 
-def frequent_prefixes(docs: DataFrame, size: int, least: int) -> tuple[np.ndarray | None, int]:
-    """The sorted hashes of prefixes that are found at least so often, null if they are too many to be sent, and the bits of their slots."""
+def _places(cell: np.ndarray, slot_bits: int) -> Iterator[np.ndarray]:
+    """The two places of hashes among the marks: each slot has its own stretch of them."""
+    bits = max(3, MARK_BITS - slot_bits)
+    slot = (cell >> np.uint64(32)) << np.uint64(bits)
+    for factor in (1, 0x9E3779B1):
+        yield slot | ((cell * np.uint64(factor)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+
+
+class Marks:
+    """A set of hashes that holds all it was given and a few others: a hash is in it if both its places are marked."""
+
+    def __init__(self, slots: np.ndarray, marks: list[bytes], slot_bits: int):
+        bits = max(3, MARK_BITS - slot_bits)
+        self.slot_bits, self.table = slot_bits, np.zeros(1 << (slot_bits + bits - 3), np.uint8)
+        for slot, m in zip(slots, marks, strict=True):
+            at = int(slot) << (bits - 3)
+            self.table[at : at + len(m)] = np.frombuffer(m, np.uint8)
+
+    def has(self, cell: np.ndarray) -> np.ndarray:
+        found = np.ones(len(cell), bool)
+        for at in _places(cell, self.slot_bits):
+            found &= (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+class Listed:
+    """A set of hashes as a sorted array."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    def has(self, cell: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(len(cell), bool)
+        return self.cells[np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)] == cell
+
+
+def _marked(slot_bits: int) -> Callable:
+    """The marks of each slot's hashes."""
+    bits = max(3, MARK_BITS - slot_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cells in b.column(0).to_pylist():
+                cell = np.frombuffer(cells, np.uint64)
+                if len(cell):
+                    one = np.zeros(1 << bits, np.uint8)
+                    for at in _places(cell, slot_bits):
+                        one[(at & np.uint64((1 << bits) - 1)).astype(np.int64)] = 1
+                    marks = np.packbits(one, bitorder="little").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cell[0] >> np.uint64(32))], pa.int64()), pa.array([marks], pa.binary())], names=["slot", "marks"])
+
+    return run
+
+
+def _frequent(docs: DataFrame, size: int, least: int) -> tuple[DataFrame, int, int]:
+    """(n, cells) of each slot: the hashes of prefixes that are found at least so often; how many they are, and the bits of their slots."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slot_bits = min(30, max(LEAST_SLOT_BITS, int(total // SLOT_BYTES).bit_length()))
     counted = docs.mapInArrow(_prefix_counts(size, slot_bits), "slot int, once binary, more binary, counts binary")
     cells = written(counted.groupBy("slot").applyInArrow(_frequent_cells(min(least, 255)), "n long, cells binary"))
-    if (cells.agg(F.sum("n")).first()[0] or 0) > MOST_SENT:
-        return None, slot_bits
-    return np.sort(np.frombuffer(b"".join(r[0] for r in cells.select("cells").collect()), np.uint64)), slot_bits
+    return cells, cells.agg(F.sum("n")).first()[0] or 0, slot_bits
+
+
+def _collected(cells: DataFrame) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(r[0] for r in cells.select("cells").collect()), np.uint64))
+
+
+def frequent_prefixes(docs: DataFrame, size: int, least: int) -> tuple[np.ndarray | None, int]:
+    """The sorted hashes of prefixes that are found at least so often, null if they are too many to be sent, and the bits of their slots."""
+    cells, n, slot_bits = _frequent(docs, size, least)
+    return (None if n > MOST_SENT else _collected(cells)), slot_bits
+
+
+def prefix_set(docs: DataFrame, size: int, least: int) -> tuple[Listed | Marks, int]:
+    """A set that holds the hashes of all prefixes that are found at least so often, in bounded memory, and the bits of their slots.
+
+    Too many to be listed are marked on the executors, slot by slot. Hashes that the marks hold beside them leave some windows longer than need be and change no count.
+    """
+    cells, n, slot_bits = _frequent(docs, size, least)
+    if n <= MOST_SENT:
+        return Listed(_collected(cells)), slot_bits
+    marked = cells.select("cells").mapInArrow(_marked(slot_bits), "slot long, marks binary").collect()
+    return Marks([r[0] for r in marked], [r[1] for r in marked], slot_bits), slot_bits
 
 
 def window_counts(docs: DataFrame, size: int, least: int) -> DataFrame:
@@ -181,25 +256,22 @@ def window_counts(docs: DataFrame, size: int, least: int) -> DataFrame:
 
     A window whose first word is infrequent is all empty, so that each language's counts sum to its words.
     """
-    cells, slot_bits = frequent_prefixes(docs, size, least)
-    sent = docs.sparkSession.sparkContext.broadcast(cells)
+    known, slot_bits = prefix_set(docs, size, least)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         for chunk in _chunks(batches, size):
-            if frequent is not None:
-                of_lang, of_word = chunk.hashes()
-                alive, h = np.arange(len(chunk.ids)), of_lang[chunk.lang]
-                for k in range(size):
-                    stay = chunk.ids[alive, k] >= 0
-                    alive, h = alive[stay], h[stay]
-                    h = _with_word(h, of_word, chunk.ids[alive, k])
-                    cell = h >> np.uint64(32 - slot_bits)
-                    at = np.minimum(np.searchsorted(frequent, cell), max(len(frequent) - 1, 0))
-                    good = frequent[at] == cell if len(frequent) else np.zeros(len(cell), bool)
-                    chunk.ids[alive[~good], k:] = -1
-                    alive, h = alive[good], h[good]
+            of_lang, of_word = chunk.hashes()
+            alive, h = np.arange(len(chunk.ids)), of_lang[chunk.lang]
+            for k in range(size):
+                stay = chunk.ids[alive, k] >= 0
+                alive, h = alive[stay], h[stay]
+                h = _with_word(h, of_word, chunk.ids[alive, k])
+                good = frequent.has(h >> np.uint64(32 - slot_bits))
+                chunk.ids[alive[~good], k:] = -1
+                alive, h = alive[good], h[good]
             lang, ids, n = chunk.counted(chunk.ids)
             words = pa.concat_arrays([chunk.words, pa.array([""])])
             columns = [pa.array(chunk.langs, pa.string()).take(pa.array(lang))]
