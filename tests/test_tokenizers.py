@@ -50,3 +50,20 @@ def test_vocabulary_differences(spark):
     assert {x["id"] for x in tokenizers.vocabulary_differences(a, b).collect()} == {2, 3, 4}
     used = spark.createDataFrame([(1,), (2,), (2,), (7,)], "id long")
     assert sorted(x["id"] for x in tokenizers.vocabulary_differences(a, b, used).collect()) == [2, 7]
+
+
+def test_runs_are_the_patterns_and_a_pass_gives_what_tokens_give(spark):
+    r = random.Random(9)
+    texts = [None, "", " ", "7", "42", "a", "é", "🙂", "ab1 2c", "don't 12,5\n\n"] + ["".join(r.choice("abZé1 23🙂.\t\n'") for _ in range(r.randrange(60))) for _ in range(30)] + ["word1 é " * 300, ""]
+    every = tokenizers.Runs([], single=[0])  # each character alone
+    pairs = [(contracts.WORD_RUNS, contracts.WORDS), (contracts.LETTER_RUNS, contracts.LETTERS), (every, r"(?s).")]
+    for runs, pattern in pairs:
+        for text in texts:
+            assert text is None or runs(text) == contracts.by_pattern(pattern)(text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for (a, p), (b, q) in [(pairs[0], pairs[1]), (pairs[1], pairs[0]), (pairs[1], pairs[2]), (pairs[0], pairs[0])]:
+        both = tokenizers.encoded(tokenizers.encoded(rows, "text", "a", contracts.by_pattern(p)), "text", "b", contracts.by_pattern(q))
+        wanted = sorted(map(tuple, tokenizers.agreement(both, "a", "b").select("doc_id", "n_a", "n_b", "n_cuts", "n_same", "first_difference").collect()))
+        assert sorted(map(tuple, tokenizers.compared(rows, "text", a, b).collect())) == wanted
+        key = lambda x: (x["piece"], tuple(x["split_a"]), tuple(x["split_b"]), x["n"])
+        assert sorted(map(key, tokenizers.pieces_apart(rows, "text", a, b).collect())) == sorted(map(key, tokenizers.differing_pieces(both, "text", "a", "b").collect()))
