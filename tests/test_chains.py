@@ -167,3 +167,10 @@ def test_running_sums_of_a_hot_key(spark):
             assert (row["before"], row["place"]) == (total, place)
             total, place = total + row["x"], place + 1
     assert len(got) == 500
+
+
+def test_attempts_are_parsed_once(spark):
+    line = '{"type": "active_tap_write_attempt", "recordID": "r"}'
+    rows = chains.write_attempts(spark.createDataFrame([("s", 1, "active_tap_write_attempt", line)], "session_id string, line long, record_type string, raw string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()

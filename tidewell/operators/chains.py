@@ -14,10 +14,14 @@ from tidewell.functions.columns import remembered
 from tidewell.operators.conditioning import CONDITIONING
 from tidewell.operators.sequence import ordinal_within, running
 from tidewell.sources.journal import instant, records
+from tidewell.sources.shared import cut, written
 
 #: Fields of a chain that its last attempt decides, and those whose lists follow each other.
 FROM_LAST = ("after", "afterAXErrors", "boundaryReason", "lastEventTimestampNanoseconds", "lastInputAt", "observedAt", "terminalDecisionAt", "terminalSnapshotAt")
 JOINED = ("inputEvents", "mutationCheckpoints", "pasteCheckpoints", "returnCheckpoints")
+#: What is read of the first and of the second of two neighbours, beside their clipboards.
+OF_FIRST = ("boundaryReason", "inputHints", "after", "afterAXErrors", "lastInputAt", "configuredWriteDelaySeconds", "targetIdentity")
+OF_SECOND = ("inputHints", "before", "beforeAXErrors", "beganAt", "targetIdentity")
 #: Hints that no completed text may have, seconds between attempts where none are configured, and those that a fast start takes.
 NOT_COMPLETING, DELAY, FAST = ("cut", "delete", "paste", "undo_redo"), 3.0, 1_000_000
 #: What makes an editable field the same.
@@ -80,32 +84,44 @@ def _linked() -> Column:
     return goes_on(F.col("a"), F.col("b"))
 
 
+def attempts(journal: DataFrame) -> DataFrame:
+    """The journal's write attempts with their conditioning parsed as state, kept: chains read them several times, and parsing them is most of the work."""
+    return written(records(journal, "active_tap_write_attempt").withColumn("state", F.from_json("conditioningState", CONDITIONING)))
+
+
 def merge_navigation(rows: DataFrame) -> DataFrame:
     """The attempts of sessions with chains of navigation as one attempt each; adds lineage, the record IDs that an attempt stands for.
 
     A chain's attempts follow each other by (beganAt, line), and each goes on with the one before. A chain with a record that has no ID stays apart.
     """
-    places = ordinal_within(rows.select("session_id", "line", F.coalesce("beganAt", F.lit("")).alias("began_")), ["session_id"], ["began_", "line"], "at_").drop("began_")
-    placed = rows.join(places, ["session_id", "line"])
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    prior = placed.where("boundaryReason = 'selection_navigation'").select("session_id", (F.col("at_") + 1).alias("at_"), whole.alias("a"))
-    links = placed.select("session_id", "at_", whole.alias("b")).join(prior, ["session_id", "at_"]).where(_linked()).select("session_id", "at_")
+    nav, named = (F.col("boundaryReason") == "selection_navigation").alias("nav_"), F.col("recordID").isNotNull().alias("named_")
+    places = ordinal_within(rows.select("session_id", "line", F.coalesce("beganAt", F.lit("")).alias("began_"), nav, named), ["session_id"], ["began_", "line"], "at_")
+    places = places.where("session_id is not null and line is not null").select("session_id", "line", "at_", "nav_", "named_")
+    # what two neighbours are compared by is met by line where the first one ends with a navigation, so nothing wide is moved for the others
+    prior = places.where("nav_").select("session_id", (F.col("at_") + 1).alias("at_"), F.col("line").alias("prior_"))
+    pairs = places.select("session_id", "line", "at_").join(prior, ["session_id", "at_"])
+    part = lambda names: F.struct(*names, F.struct(F.col("state.clipboard").alias("clipboard")).alias("state"))
+    a = rows.select("session_id", F.col("line").alias("prior_"), part(OF_FIRST).alias("a"))
+    b = rows.select("session_id", "line", part(OF_SECOND).alias("b"))
+    links = pairs.join(a, ["session_id", "prior_"]).join(b, ["session_id", "line"]).where(_linked()).select("session_id", "at_")
     # links of one chain follow each other, so their place less their rank is the same; there are few links
     island = F.col("at_") - F.row_number().over(W.partitionBy("session_id").orderBy("at_"))
     links = links.withColumn("island_", island)
     heads = links.groupBy("session_id", "island_").agg((F.min("at_") - 1).alias("head_"))
     links = links.join(heads, ["session_id", "island_"])
     members = links.select("session_id", "head_", "at_").unionByName(heads.select("session_id", "head_", F.col("head_").alias("at_")))
-    chain = placed.join(members, ["session_id", "at_"]).groupBy("session_id", "head_").agg(F.array_sort(F.collect_list(F.struct("at_", whole.alias("r")))).alias("c_"))
-    chain = chain.where(F.forall("c_", lambda x: x["r"]["recordID"].isNotNull()))
+    members = members.join(places.select("session_id", "at_", "line", "named_"), ["session_id", "at_"])
+    unnamed = members.where("not named_").select("session_id", "head_").distinct()
+    members = cut(members.join(unnamed, ["session_id", "head_"], "left_anti").select("session_id", "head_", "at_", "line"))
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    chain = rows.join(members, ["session_id", "line"]).groupBy("session_id", "head_").agg(F.array_sort(F.collect_list(F.struct("at_", whole.alias("r")))).alias("c_"))
     first, last = F.get("c_", F.lit(0))["r"], F.element_at("c_", -1)["r"]
     listed = lambda c: F.flatten(F.transform("c_", lambda x: F.coalesce(x["r"][c], F.array())))
     total = lambda c, kind: F.aggregate("c_", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(x["r"][c], F.lit(0))).cast(kind)
     made = {c: F.coalesce(last[c], first[c]) for c in FROM_LAST} | {c: listed(c).cast(rows.schema[c].dataType) for c in JOINED}
     made |= {"inputEventCount": total("inputEventCount", "int"), "tapTimeoutCountDuringBurst": total("tapTimeoutCountDuringBurst", "bigint"), "inputHints": F.array_sort(F.array_distinct(F.filter(listed("inputHints"), lambda h: h.isNotNull())))}
     merged = chain.select(*[made.get(c, first[c]).alias(c) for c in rows.columns], F.transform("c_", lambda x: x["r"]["recordID"]).alias("lineage"))
-    taken = chain.select("session_id", F.explode("c_").alias("x")).select("session_id", F.col("x.r.line").alias("line"))
-    alone = rows.join(taken, ["session_id", "line"], "left_anti").withColumn("lineage", F.filter(F.array("recordID"), lambda x: x.isNotNull()))
+    alone = rows.join(members.select("session_id", "line"), ["session_id", "line"], "left_anti").withColumn("lineage", F.filter(F.array("recordID"), lambda x: x.isNotNull()))
     return alone.unionByName(merged)
 
 
@@ -146,7 +162,7 @@ def fast_starts(rows: DataFrame) -> DataFrame:
 
 def write_attempts(journal: DataFrame) -> DataFrame:
     """The journal's write attempts with their conditioning parsed as state, chains of navigation merged, and recovered set where a fast start lost the field before it."""
-    rows = records(journal, "active_tap_write_attempt").withColumn("state", F.from_json("conditioningState", CONDITIONING))
+    rows = attempts(journal)
     starts = fast_starts(rows)
     merged = merge_navigation(rows).join(starts, ["session_id", "line"], "left")
     return merged.withColumn("recovered", F.col("before_ids").isNotNull()).withColumn("lineage", F.when(F.col("recovered"), F.concat("before_ids", F.array("recordID"))).otherwise(F.col("lineage"))).drop("before_ids")

@@ -10,7 +10,6 @@ from tidewell.functions import text
 from tidewell.operators import chains, compile, conditioning, grounding, proposals, reduce
 from tidewell.plans.catalog import HOUR, STREAM, query, stream, table
 from tidewell.plans.records import ROWS, _journal, _stamp
-from tidewell.sources import journal as journals
 
 
 def _seen(value: Column, i: str, at: Column, location: Column | None = None, length: Column | None = None, probed: Column | None = None) -> Column:
@@ -118,7 +117,7 @@ def fast_start_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, "active_tap_write_attempt", F.col("user_id"), F.col("event_id"), recordID=F.col("event_id").cast("string"), beganAt=stamp, inputHints=F.array(F.lit("typed")), inputEventCount=1 + F.col("event_id") % 3, boundaryReason=F.when(fit, "target_changed").otherwise("write_delay_elapsed"),
         processIdentifier=F.floor(F.col("event_id") % 11 / 10).cast("int"), before=_seen(was, "b", stamp, long, F.lit(0)), mutationCheckpoints=F.array(point),
     )
-    found = chains.fast_starts(journals.records(journal, "active_tap_write_attempt"))
+    found = chains.fast_starts(chains.attempts(journal))
     return found.select(F.col("session_id").cast("long").alias("user_id"), F.col("line").alias("event_id"), F.array_join("before_ids", ",").alias("before_ids"))
 
 
@@ -137,8 +136,7 @@ def navigation_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, "active_tap_write_attempt", F.col("user_id"), F.col("event_id"), recordID=F.col("event_id").cast("string"), beganAt=stamp(F.col("at")), lastInputAt=stamp(F.col("at") + 200_000), inputHints=F.array(F.lit("typed")), inputEventCount=1 + F.col("event_id") % 3,
         boundaryReason=F.when(F.col("event_type") != "purchase", "selection_navigation").otherwise("write_delay_elapsed"), targetIdentity=F.struct(field.alias("elementHash")), before=_seen(value, "b", stamp(F.col("at")), F.lit(1), F.lit(0)), after=_seen(F.lit("v"), "a", stamp(F.col("at")), F.lit(1), F.lit(0)),
     )
-    records = journals.records(journal, "active_tap_write_attempt").withColumn("state", F.from_json("conditioningState", conditioning.CONDITIONING))
-    merged = chains.merge_navigation(records)
+    merged = chains.merge_navigation(chains.attempts(journal))
     return merged.select(F.col("session_id").cast("long").alias("user_id"), F.col("recordID").cast("long").alias("event_id"), F.array_join("lineage", ",").alias("lineage"), F.col("inputEventCount").cast("long").alias("input_events"))
 
 
