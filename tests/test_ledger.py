@@ -1,6 +1,8 @@
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from tidewell.operators import ledger as L
 
 ALLOWED = {"score": 4, "train": 2}
@@ -78,3 +80,28 @@ def test_ledger_is_the_fold_of_any_prefix_of_the_journal(spark):
         assert s["status"] == (refused[0] if refused else "recovering" if own else "clean")
         assert s["worst_cost"] == max([x[5] for x in own if x[5] is not None], default=runs[run][0])
     assert L.recoveries(table, rows.limit(0), ALLOWED).count() == 0
+
+
+def test_markers_are_met_inside_cells_without_a_place_for_each_event(spark, monkeypatch):
+    r = random.Random(5)
+    events = [e for k in range(6) for e in journal(r, f"r{k}", r.choice([3, 40]))]
+    # numbers below zero, far apart, and a resumption that begins a cell right after, or many cells after, its begin
+    events = [(run, seq - 40, *rest) for run, seq, *rest in events] + [("far", 7, L.BEGIN, "score", "i", Decimal(1)), ("far", 8, L.RESUME, None, None, None), ("far", 9, L.BEGIN, "score", "j", None), ("far", 10**12, L.RESUME, None, None, None), ("far", 10**12 + 64, L.RESUME, None, None, None), ("first", 16, L.RESUME, None, None, None)]
+    runs = {f"r{k}": (Decimal(1), Decimal(30)) for k in range(6)}
+    table = spark.createDataFrame([(k, *v) for k, v in runs.items()], "run string, planned decimal(10,2), ceiling decimal(10,2)")
+    rows = spark.createDataFrame(r.sample(events, len(events)), "run string, seq long, event string, kind string, identity string, cost decimal(10,2)")
+    placed, ordinal = [], L.ordinal_within
+
+    def spy(df, *rest):
+        placed.append(df.count())
+        return ordinal(df, *rest)
+
+    monkeypatch.setattr(L, "ordinal_within", spy)
+    want = fold(runs, events)
+    assert sorted(tuple(x) for x in L.recoveries(table, rows, ALLOWED).collect()) == want
+    assert sum(placed) <= len({(run, seq // 4096) for run, seq, *_ in events}) < len(events) / 4
+    monkeypatch.setattr(L, "_CELL_BITS", 2)
+    assert sorted(tuple(x) for x in L.recoveries(table, rows, ALLOWED).collect()) == want
+    # a sequence of another type
+    named = rows.withColumn("seq", F.col("seq") + F.lit(Decimal("0.5")))
+    assert sorted((run, int(seq - Decimal("0.5")), *rest) for run, seq, *rest in L.recoveries(table, named, ALLOWED).collect()) == want

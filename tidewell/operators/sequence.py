@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import novel_lines
 from tidewell.sources.shared import cut
 
+#: Fixed: first places of at most so many keys are broadcast.
+_FEW_KEYS = 20_000
+
 
 def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], joined: Column, name: str = "island") -> DataFrame:
     """Numbers the runs of rows of a key: a row goes on with the one before where ``joined`` holds.
@@ -59,9 +62,14 @@ def global_ordinal(rows: DataFrame, order: Sequence[Column | str], name: str) ->
 
 
 def ordinal_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
-    """Each row's place (from 0) among its key's rows; a null key is one key. A hot key is dealt over ranges like any other rows."""
+    """Each row's place (from 0) among its key's rows; a null key is one key. A hot key is dealt over ranges like any other rows.
+
+    Where there are few keys, counted first, their first places are broadcast, so that the rows are not shuffled once more by a key that may hold many of them.
+    """
     placed = global_ordinal(rows, [*keys, *order], name)
-    first = placed.groupBy(*[F.col(k).alias(f"{k}_of") for k in keys]).agg(F.min(name).alias("first_"))
+    first = cut(placed.groupBy(*[F.col(k).alias(f"{k}_of") for k in keys]).agg(F.min(name).alias("first_")))
+    if first.limit(_FEW_KEYS + 1).count() <= _FEW_KEYS:
+        first = F.broadcast(first)
     on = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
     return placed.join(first, on).withColumn(name, F.col(name) - F.col("first_")).drop("first_", *[f"{k}_of" for k in keys])
 
