@@ -63,3 +63,29 @@ def test_chosen_runs_against_brute_force(spark):
                     candidates.append((user, (a - b, a), range(a, b + 1)))
     want = {(user, first, first - size) for user, (size, first) in greedy(candidates)}
     assert {(r["user_id"], r["first"], r["last"]) for r in attempts.chosen_runs(spark, folder).collect()} == want
+
+
+def test_longest_parts_equal_the_choice_among_all_parts(spark):
+    r = random.Random(8)
+    rows, want = [], set()
+    for key in ["k%d" % k for k in range(60)] + [None]:
+        place = 0
+        for run in range(1, r.randint(2, 6)):
+            kinds = [r.choice(["a", "a", "a", "b", "c", None][: r.choice([1, 4, 5, 6])]) for _ in range(r.randint(1, 9))]
+            rows += [(key, run, place + i, x) for i, x in enumerate(kinds)]
+            parts = [(run, (a - b, a), range(a, b + 1)) for a in range(len(kinds)) for b in range(a + 1, len(kinds)) if kinds[a] and kinds[b] and kinds[a] != kinds[b]]
+            want |= {(key, run, place + a, place + a - size) for _, (size, a) in greedy(parts)}
+            place += len(kinds)
+    rows, want = rows + [(None, 9, 100 + i, x) for i, x in enumerate("aba")], want | {(None, 9, 100, 101)}
+    placed = spark.createDataFrame(r.sample(rows, len(rows)), "k string, run long, place long, kind string").repartition(4)
+    got = [tuple(x) for x in proposals.longest_unlike(placed, ["k"], "kind").collect()]
+    assert set(got) == want and len(got) == len(want) > 60 and any(x[0] is None for x in got)
+
+
+def test_chosen_runs_of_a_long_run_makes_no_pairs(spark, tmp_path):
+    from tidewell.plans import attempts
+
+    # one run of 5,000 events: 12 million parts, whose members no session could list
+    events = spark.range(5000).selectExpr("id as event_id", "timestamp_seconds(1700000000 + id * 60) as ts", "7L as user_id", "if(id between 40 and 4989 and id % 3 = 0, 'view', 'click') as event_type", "1.0D as value", "'{}' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(x) for x in attempts.chosen_runs(spark, str(tmp_path)).collect()] == [(7, 1, 0, 4989 - 4989 % 3)]

@@ -35,6 +35,26 @@ def subruns(placed: DataFrame, keys: Sequence[str], least: int = 2) -> DataFrame
     return spread.select(*keys, "run", "first", F.explode(F.sequence(F.col("first") + (least - 1), "to_")).alias("last"))
 
 
+def longest_unlike(placed: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """(keys, run, first, last): of the parts of each run whose ends are of different kinds, what a choice one by one takes: the longest first, then the earliest, none sharing a row.
+
+    That is one part of a run at most, so no part is made but the one taken. The longest one leaves rows out at one end only, else it could be longer; these are all of
+    the kind of the run's outermost row there or have none, so no further part with ends of different kinds is left among them. Each kind's first and last
+    place says which it is: from the run's first place to its last if they are of different kinds, else the longer of what is left by cutting that
+    kind off at either end. A null kind is unlike none. A run's kinds are summed, never listed, so a run may hold any share of the rows.
+    """
+    of = [*keys, "run"]
+    kinds = placed.where(F.col(kind).isNotNull()).groupBy(*of, kind).agg(F.min("place").alias("lo_"), F.max("place").alias("hi_"))
+    ends = kinds.groupBy(*[F.col(k).alias(f"{k}_of") for k in of]).agg(F.min("lo_").alias("from_"), F.max("hi_").alias("to_"), F.count("*").alias("kinds_")).where("kinds_ > 1")
+    met = kinds.join(ends, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in of])
+    begins, closes = F.col("lo_") == F.col("from_"), F.col("hi_") == F.col("to_")
+    told = met.groupBy(*of, "from_", "to_").agg(F.bool_or(begins & closes).alias("alike_"), F.min(F.when(~begins, F.col("lo_"))).alias("later_"), F.max(F.when(~closes, F.col("hi_"))).alias("sooner_"))
+    early = F.col("sooner_") - F.col("from_") >= F.col("to_") - F.col("later_")  # as long from the run's first row as to its last: the earlier one
+    first = F.when(~F.col("alike_") | early, F.col("from_")).otherwise(F.col("later_"))
+    last = F.when(F.col("alike_") & early, F.col("sooner_")).otherwise(F.col("to_"))
+    return told.select(*of, first.alias("first"), last.alias("last"))
+
+
 def best_apart(candidates: DataFrame, keys: Sequence[str], better: Sequence[Column], members: Column, rounds: int = 10_000) -> DataFrame:
     """The candidates that a choice one by one in the order of ``better`` takes: each one that shares no member with one taken before.
 

@@ -159,8 +159,4 @@ def run_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chosen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the parts of runs that end with another kind of event than they begin with, the longest first, then the earliest, none sharing an event."""
-    placed = _runs(spark, sf_dir)
-    parts = proposals.subruns(placed, ["user_id"])
-    kind = lambda name: placed.select("user_id", F.col("place").alias(name), F.col("event_type").alias(f"{name}_kind"))
-    parts = parts.join(kind("first"), ["user_id", "first"]).join(kind("last"), ["user_id", "last"]).where("first_kind <> last_kind").select("user_id", "run", "first", "last")
-    return proposals.best_apart(parts, ["user_id"], [F.col("first") - F.col("last"), F.col("first")], F.sequence("first", "last"))
+    return proposals.longest_unlike(_runs(spark, sf_dir).where("user_id is not null"), ["user_id"], "event_type")
