@@ -48,6 +48,21 @@ def test_digests_against_inputs_written_out(spark, monkeypatch, slice_):
     assert why["one", "lost"] == "plan_missing" and why.get(("one", "t0"), "plan_missing") in ("digest_differs", "plan_missing") and "not_claimed" in why.values()
 
 
+def test_a_key_stays_together_where_partitions_are_coalesced_at_run_time(spark):
+    r = random.Random(1)
+    blocks = [(f"k{k}", p, r.randbytes(400).hex(), 0) for k in range(200) for p in range(6)]
+    plans = [(f"k{k}", f"{last}", 0, last, None, "q") for k in range(200) for last in range(-1, 6)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "48KB"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = rebuild.digests(spark.createDataFrame(plans, PLAN), spark.createDataFrame(blocks, BLOCK), "do").collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert {(x["key"], x["target_id"]): tuple(x)[2:] for x in rows} == brute(plans, blocks, "do")
+
+
 def test_leaks_count_the_plans_that_show_a_block(spark):
     r = random.Random(5)
     blocks = [(k, p, r.choice(["secret", "other", "open", None]), 0) for k in ("a", "b") for p in range(30)]

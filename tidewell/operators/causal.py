@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators.sequence import passed
+
 
 def micros(ts: Column) -> Column:
     """Microseconds of a timestamp with or without zone, in UTC."""
@@ -55,8 +57,7 @@ def prefix_digests(rows: DataFrame, key: str, at: str, text: str) -> DataFrame:
                 digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(digests, pa.string())], [*kept, "n_context", "context_sha256"])
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key).sortWithinPartitions(key, at, text).mapInArrow(run, schema)
+    return passed(rows, [key], [at, text]).mapInArrow(run, schema)
 
 
 def causal_count(rows: DataFrame, keys: str | Sequence[str], at: str, name: str = "n_before") -> DataFrame:

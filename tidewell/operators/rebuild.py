@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.operators.sequence import running
+from tidewell.operators.sequence import passed, running
 
 #: Places of one key that are met in one task together.
 SLICE = 4096
@@ -51,9 +51,8 @@ def digests(plans: DataFrame, blocks: DataFrame, instruction: str = "") -> DataF
     last = asked.where("prefix_").groupBy("key_").agg(F.max("at_").alias("to_"))
     whole = blocks.join(last, "key_").where("at_ <= to_").select("key_", "at_", F.lit(0).alias("asks_"), "text_")
     whole = whole.unionByName(asked.where("prefix_").drop("prefix_", "slice_", "cut"), allowMissingColumns=True)
-    whole = whole.repartition(n, "key_").sortWithinPartitions("key_", "at_", "asks_")
     schema = "key string, target_id string, model_input_sha256 string, n_blocks long, n_chars long, missing long"
-    found = whole.mapInArrow(_prefixes(instruction), schema)
+    found = passed(whole, ["key_"], ["at_", "asks_"]).mapInArrow(_prefixes(instruction), schema)
 
     # one row for each slice and each slice of blocks that it reaches
     reach = asked.where("not prefix_ and at_ >= first").groupBy("key_", "slice_").agg(F.min("first").alias("from_"), F.max("at_").alias("to_"))

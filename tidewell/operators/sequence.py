@@ -74,6 +74,16 @@ def ordinal_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
     return placed.join(first, on).withColumn(name, F.col(name) - F.col("first_")).drop("first_", *[f"{k}_of" for k in keys])
 
 
+def passed(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a key in one task and in order, for a mapInArrow that carries something from row to row.
+
+    They are dealt by a hash of the keys. A repartition by the keys themselves is left out by Spark where joins below deal by them
+    already, and as mapInArrow asks for no dealing, what they read may be coalesced or broadcast at run time, each part of a union by itself, which parts a key.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
     """Adds for each name the sum of its column over the rows of the key that come before, by ranges, so that no task holds a hot key.
 
